@@ -24,7 +24,9 @@ from lodestone.sources.pages import as_questions, read_pages, spread
 from lodestone.streaming.ingest import ingest_stream, read_ingested
 
 LINK_STEPS = 24
-WALK_PAGES = 10
+WALK_PAGES = 5
+WALK_DEPTH = 3
+WALK_SHALLOW = 1
 
 
 def _table(spark, sf_dir, name) -> DataFrame:
@@ -307,8 +309,9 @@ def rules(spark, sf_dir) -> DataFrame:
     """Site rules derived from the pages: the .com sites forbid part of their pages."""
     sites = _pages(spark, sf_dir).select(url_fn.domain(F.col("url")).alias("domain")).distinct()
     return sites.where(F.endswith("domain", F.lit(".com"))).select("domain", F.inline(F.expr(
-        "array(struct(0 as seq, '/en/1' as path_prefix, true as allow), struct(1, '/en/', false),"
-        " struct(2, '/fr/4', false))")))
+        "array(named_struct('seq', 0, 'path_prefix', '/en/1', 'allow', true),"
+        " named_struct('seq', 1, 'path_prefix', '/en/', 'allow', false),"
+        " named_struct('seq', 2, 'path_prefix', '/fr/4', 'allow', false))")))
 
 
 def robots(spark, sf_dir):
@@ -327,17 +330,17 @@ def _walk(spark, sf_dir, use_rules, max_pages, max_depth):
 
 
 def walked_pages(spark, sf_dir):
-    visited, _, _ = _walk(spark, sf_dir, False, WALK_PAGES, settings.MAX_DEPTH)
+    visited, _, _ = _walk(spark, sf_dir, False, WALK_PAGES, WALK_DEPTH)
     order = Window.partitionBy("site").orderBy("depth", "ord")
     return visited.select("site", "url", "depth", F.row_number().over(order).alias("visit_no"))
 
 
 def walk_stats(spark, sf_dir):
-    return crawl_stats(*_walk(spark, sf_dir, True, settings.MAX_PAGES, 2))
+    return crawl_stats(*_walk(spark, sf_dir, True, settings.MAX_PAGES, WALK_SHALLOW))
 
 
 def walk_summary(spark, sf_dir):
-    summary = crawl_summary(*_walk(spark, sf_dir, True, WALK_PAGES, settings.MAX_DEPTH))
+    summary = crawl_summary(*_walk(spark, sf_dir, True, WALK_PAGES, WALK_DEPTH))
     return summary.select("site", "page_count", "skipped_count", "error_count",
                           F.array_join("urls", " ").alias("urls"))
 
