@@ -207,18 +207,24 @@ def _allowed(url):
             f"AND starts_with({path}, rules.prefix)), true)")
 
 
-def _walk(use_rules, max_pages, max_depth):
-    """CTEs ending in ``seen`` (all visited entries), ``deep`` and ``sites``.
+def _walk(per_page, use_rules, max_pages, max_depth):
+    """CTEs ending in ``seen`` (all visited entries), ``deep`` and ``counts``.
 
-    Budgets are running counts over a site's whole queue here, unlike the cut-off the engine computes.
+    Budgets are running counts over a walk's whole queue here, unlike the cut-off the engine computes.
     """
-    ctes = [_PAGE_TEXT, _RULES, f"""edges AS (
+    moved = ("regexp_replace(regexp_replace(url, '//[^/?#]*\\.(example\\.[a-z]+)', '//\\1'), '[?#].*$', '') "
+             "|| '?id=' || page_id")
+    sites = ("SELECT CAST(page_id AS VARCHAR) AS site, url FROM moved" if per_page else
+             f"SELECT {_domain('url')} AS site, arg_min(url, page_id) AS url FROM moved GROUP BY 1")
+    steps = ", ".join(f"({pos}, {step})" for pos, step in enumerate(LINK_STEPS))
+    ctes = [f"moved AS (SELECT page_id, {moved} AS url, html FROM pages)",
+            _PAGE_TEXT.replace("FROM pages", "FROM moved"), _RULES.replace("FROM pages", "FROM moved"),
+            f"""edges AS (
   SELECT p.url AS src_url, steps.pos, t.url AS dst_url
-  FROM pages p, (SELECT unnest(range(0, {LINK_STEPS})) AS pos, unnest(range(1, {LINK_STEPS} + 1)) AS step
-    UNION ALL SELECT {LINK_STEPS}, 1) steps, pages t WHERE t.page_id = p.page_id + steps.step
-  UNION ALL SELECT url, {LINK_STEPS + 1}, 'https://' || {_part('url', 2)} || '/gone' FROM pages)""",
+  FROM moved p, (VALUES {steps}) steps(pos, step), moved t WHERE t.page_id = p.page_id + steps.step
+  UNION ALL SELECT url, {len(LINK_STEPS)}, 'https://' || {_part('url', 2)} || '/gone' FROM moved)""",
             f"same AS (SELECT * FROM edges WHERE {_domain('src_url')} = {_domain('dst_url')})",
-            f"sites AS (SELECT {_domain('url')} AS site, arg_min(url, page_id) AS url FROM pages GROUP BY 1)",
+            f"sites AS ({sites})",
             "f0 AS (SELECT site, url, [0] AS ord FROM sites)",
             "t0 AS (SELECT site, 0 AS done FROM sites)"]
     allowed = _allowed("f.url") if use_rules else "true"
@@ -348,13 +354,13 @@ FROM conversations""",
     "links": f"""SELECT src_url, pos, dst_url FROM (
   SELECT src_url, pos, {_normalized('raw')} AS dst_url FROM ({_HREFS})) WHERE {_crawlable('dst_url')}""",
     "robots": f"WITH {_RULES} SELECT page_id, {_allowed('pages.url')} AS allowed FROM pages",
-    "walked_pages": _walk(False, WALK_PAGES, WALK_DEPTH) + """
+    "walked_pages": _walk(True, False, WALK_PAGES, WALK_DEPTH) + """
 SELECT site, url, CAST(depth AS INTEGER) AS depth,
   CAST(row_number() OVER (PARTITION BY site ORDER BY depth, ord) AS INTEGER) AS visit_no
 FROM seen WHERE status = 'accepted'""",
-    "walk_stats": _walk(True, settings.MAX_PAGES, WALK_SHALLOW) + """
+    "walk_stats": _walk(True, True, settings.MAX_PAGES, WALK_SHALLOW) + """
 SELECT site, page_count, CAST(skipped_count AS BIGINT) AS skipped_count, error_count FROM counts""",
-    "walk_summary": _walk(True, WALK_PAGES, WALK_DEPTH) + """
+    "walk_summary": _walk(False, True, settings.MAX_PAGES, settings.MAX_DEPTH) + """
 SELECT site, page_count, CAST(skipped_count AS BIGINT) AS skipped_count, error_count, coalesce((
   SELECT string_agg(url, ' ' ORDER BY depth, ord) FROM seen v WHERE v.site = counts.site AND status = 'accepted'), '')
   AS urls FROM counts""",

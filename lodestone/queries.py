@@ -23,7 +23,7 @@ from lodestone.plans.scratch import Scratch
 from lodestone.sources.pages import as_questions, read_pages, spread
 from lodestone.streaming.ingest import ingest_stream, read_ingested
 
-LINK_STEPS = 24
+LINK_STEPS = (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 1)
 WALK_PAGES = 5
 WALK_DEPTH = 3
 WALK_SHALLOW = 1
@@ -290,24 +290,29 @@ def links(spark, sf_dir):
     return page_links(_extracted(spark, sf_dir, removed_tags=("script", "style")))
 
 
-def edges(spark, sf_dir) -> DataFrame:
-    """Link table derived from the pages: each page links to the next ones by id, one link is given twice and
-    one leads nowhere."""
-    pages = _pages(spark, sf_dir).select("page_id", "url")
-    steps = F.sequence(F.lit(1), F.lit(LINK_STEPS))
-    steps = F.concat(steps, F.array(F.lit(1)))
+def site_pages(spark, sf_dir) -> DataFrame:
+    """The pages as if each top-level domain were one site: three sites, each with a third of the pages."""
+    host = F.regexp_replace("url", r"//[^/?#]*\.(example\.[a-z]+)", "//$1")
+    return _pages(spark, sf_dir).withColumn(
+        "url", F.concat(F.regexp_replace(host, "[?#].*$", ""), F.lit("?id="), "page_id"))
+
+
+def edges(pages: DataFrame) -> DataFrame:
+    """Link table derived from pages: each page links to some that follow it by id; one link is given twice,
+    one leads nowhere, and many lead to other sites."""
+    steps = F.array(*[F.lit(s) for s in LINK_STEPS])
     out = pages.select(F.col("url").alias("src_url"), "page_id", F.posexplode(steps).alias("pos", "step"))
     target = pages.select(F.col("page_id").alias("target"), F.col("url").alias("dst_url"))
     found = out.join(target, F.col("page_id") + F.col("step") == F.col("target")).select("src_url", "pos", "dst_url")
     gone = pages.select(
-        F.col("url").alias("src_url"), F.lit(LINK_STEPS + 1).alias("pos"),
+        F.col("url").alias("src_url"), F.lit(len(LINK_STEPS)).alias("pos"),
         F.concat(F.lit("https://"), url_fn.netloc(F.col("url")), F.lit("/gone")).alias("dst_url"))
     return found.unionByName(gone)
 
 
-def rules(spark, sf_dir) -> DataFrame:
-    """Site rules derived from the pages: the .com sites forbid part of their pages."""
-    sites = _pages(spark, sf_dir).select(url_fn.domain(F.col("url")).alias("domain")).distinct()
+def rules(pages: DataFrame) -> DataFrame:
+    """Site rules derived from pages: the .com sites forbid part of theirs."""
+    sites = pages.select(url_fn.domain(F.col("url")).alias("domain")).distinct()
     return sites.where(F.endswith("domain", F.lit(".com"))).select("domain", F.inline(F.expr(
         "array(named_struct('seq', 0, 'path_prefix', '/en/1', 'allow', true),"
         " named_struct('seq', 1, 'path_prefix', '/en/', 'allow', false),"
@@ -315,32 +320,44 @@ def rules(spark, sf_dir) -> DataFrame:
 
 
 def robots(spark, sf_dir):
-    return robots_filter(_pages(spark, sf_dir).select("page_id", "url"), rules(spark, sf_dir)).select(
-        "page_id", "allowed")
+    pages = _pages(spark, sf_dir).select("page_id", "url")
+    return robots_filter(pages, rules(pages)).select("page_id", "allowed")
 
 
-def _walk(spark, sf_dir, use_rules, max_pages, max_depth):
+def _walk(spark, sf_dir, starts, use_rules, max_pages, max_depth):
+    """Walks over the derived links; ``starts`` gives one or more (site, start_url) from the pages."""
     scratch = Scratch(spark, "pages")
-    sizes = scratch.write(_extracted(spark, sf_dir).select(
+    pages = site_pages(spark, sf_dir)
+    sizes = scratch.write(extract_pages(spread(pages)).select(
         "url", F.length("content").alias("content_length"), "error"), "sizes")
-    linked = scratch.write(edges(spark, sf_dir), "links")
-    starts = _pages(spark, sf_dir).groupBy(url_fn.domain(F.col("url")).alias("site")).agg(
-        F.min_by("url", "page_id").alias("start_url"))
-    return walk_links(starts, sizes, linked, rules(spark, sf_dir) if use_rules else None, max_pages, max_depth)
+    narrow = pages.select("page_id", "url")
+    linked = scratch.write(edges(narrow), "links")
+    return walk_links(starts(narrow), sizes, linked, rules(narrow) if use_rules else None, max_pages, max_depth)
+
+
+def _one_per_site(pages):
+    return pages.groupBy(url_fn.domain(F.col("url")).alias("site")).agg(F.min_by("url", "page_id").alias("start_url"))
+
+
+def _one_per_page(pages):
+    return pages.select(F.col("page_id").cast("string").alias("site"), F.col("url").alias("start_url"))
 
 
 def walked_pages(spark, sf_dir):
-    visited, _, _ = _walk(spark, sf_dir, False, WALK_PAGES, WALK_DEPTH)
+    """One short walk from every page."""
+    visited, _, _ = _walk(spark, sf_dir, _one_per_page, False, WALK_PAGES, WALK_DEPTH)
     order = Window.partitionBy("site").orderBy("depth", "ord")
     return visited.select("site", "url", "depth", F.row_number().over(order).alias("visit_no"))
 
 
 def walk_stats(spark, sf_dir):
-    return crawl_stats(*_walk(spark, sf_dir, True, settings.MAX_PAGES, WALK_SHALLOW))
+    """One walk from every page, limited by depth, under the site rules."""
+    return crawl_stats(*_walk(spark, sf_dir, _one_per_page, True, settings.MAX_PAGES, WALK_SHALLOW))
 
 
 def walk_summary(spark, sf_dir):
-    summary = crawl_summary(*_walk(spark, sf_dir, True, WALK_PAGES, WALK_DEPTH))
+    """One walk per site, limited by pages."""
+    summary = crawl_summary(*_walk(spark, sf_dir, _one_per_site, True, settings.MAX_PAGES, settings.MAX_DEPTH))
     return summary.select("site", "page_count", "skipped_count", "error_count",
                           F.array_join("urls", " ").alias("urls"))
 
