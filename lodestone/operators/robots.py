@@ -10,13 +10,25 @@ from lodestone.functions.urls import domain, robots_path
 def robots_filter(urls: DataFrame, rules: DataFrame, url_col: str = "url") -> DataFrame:
     """Add ``allowed``: the verdict of the first rule (lowest ``seq``) of the URL's site whose prefix it has.
 
-    ``rules``: ``domain, seq, path_prefix, allow``. No matching rule means allowed. A URL is expanded to its
-    prefixes of the lengths its site's rules use and joined on equality, so neither the rules nor the URLs of a
-    site are ever gathered in one place.
+    ``rules``: ``domain, seq, path_prefix, allow``. No matching rule means allowed.
     """
+    return apply_rules(urls, *rule_tables(rules), url_col)
+
+
+def rule_tables(rules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Per site the prefix lengths in use; per site and prefix its first rule."""
     lengths = rules.groupBy("domain").agg(F.collect_set(F.length("path_prefix")).alias("_lengths"))
     first = rules.groupBy("domain", F.col("path_prefix").alias("_prefix")).agg(
         F.min(F.struct("seq", "allow")).alias("_rule"))
+    return lengths, first
+
+
+def apply_rules(urls: DataFrame, lengths: DataFrame, first: DataFrame, url_col: str = "url") -> DataFrame:
+    """``robots_filter`` with prepared rule tables.
+
+    A URL is expanded to its prefixes of the lengths its site's rules use and joined on equality, so neither the
+    rules nor the URLs of a site are ever gathered in one place.
+    """
     asked = urls.select(F.col(url_col).alias("_url")).distinct().select(
         "_url", domain(F.col("_url")).alias("domain"), robots_path(F.col("_url")).alias("_path"))
     prefixes = asked.join(lengths, "domain").select(

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone import settings
 from lodestone.functions.urls import domain
-from lodestone.operators.robots import robots_filter
+from lodestone.operators.robots import apply_rules, rule_tables
 from lodestone.plans.scratch import Scratch
 
-_FRONTIER = "site string, url string, ord array<int>, depth int, status string"
+_QUEUE = ["site", "host", "url", "ord"]
+_LEVEL = "site string, host string, url string, ord array<int>, depth int, status string"
 
 
 def walk_links(starts: DataFrame, pages: DataFrame, links: DataFrame, rules: DataFrame | None = None,
@@ -31,39 +32,41 @@ def walk_links(starts: DataFrame, pages: DataFrame, links: DataFrame, rules: Dat
     scratch = Scratch(starts.sparkSession, "walk")
     pages = pages.select("url", "content_length",
                          (F.col("error") if "error" in pages.columns else F.lit(None).cast("string")).alias("bad"))
-    inner = links.where(domain(F.col("src_url")) == domain(F.col("dst_url")))
-    frontier = starts.select("site", F.col("start_url").alias("url"), F.array(F.lit(0)).alias("ord"))
+    if rules is not None:
+        lengths, first = rule_tables(rules)
+        rules = scratch.write_small(lengths, "rule-lengths"), scratch.write_small(first, "rules")
+    frontier = starts.select(F.col("site").cast("string").alias("site"), domain(F.col("start_url")).alias("host"),
+                             F.col("start_url").alias("url"), F.array(F.lit(0)).alias("ord"))
     ends, names = None, []
     for depth in range(max_depth + 1):
         level = _classify(frontier, pages, rules, min_chars).withColumn("depth", F.lit(depth))
-        level = scratch.write(level.select("site", "url", "ord", "depth", "status"), f"level-{depth}")
+        level = scratch.write(level.select(*_QUEUE, "depth", "status"), f"level-{depth}")
         if level.isEmpty():
             break
         names.append(f"level-{depth}")
         ends = scratch.write(_ends(ends, level, depth, max_pages), f"ends-{depth}")
-        visited = _within(scratch.read(_FRONTIER, *names), ends)
-        queued = _queue(_within(level, ends), ends, max_pages, inner, visited)
-        frontier = queued.groupBy("site", "url").agg(F.min("ord").alias("ord"))
+        visited = _within(scratch.read(_LEVEL, *names), ends)
+        queued = _queue(_within(level, ends), ends, max_pages, links, visited)
+        frontier = queued.groupBy("site", "host", "url").agg(F.min("ord").alias("ord"))
     else:
         depth = max_depth + 1
     if not names:
-        none = scratch.read(_FRONTIER, "level-0")
-        return none.where("status = 'accepted'").drop("status"), none, none
+        visited = queued = scratch.read(_LEVEL, "level-0")
     too_deep = (queued.withColumn("depth", F.lit(max_depth + 1)).withColumn("status", F.lit("too_deep"))
-                if depth > max_depth else scratch.read(_FRONTIER, names[0]).limit(0))
-    accepted = visited.where("status = 'accepted'").drop("status")
-    skipped = (visited.where("status = 'short'")
-               .unionByName(too_deep.select("site", "url", "ord", "depth", "status"))
-               .withColumnRenamed("status", "reason"))
-    errors = visited.where(~F.col("status").isin("accepted", "short")).withColumnRenamed("status", "reason")
-    return accepted, skipped, errors
+                if depth > max_depth else visited.limit(0))
+    entry = ["site", "url", "depth", "ord"]
+    reason = F.col("status").alias("reason")
+    skipped = visited.where("status = 'short'").unionByName(too_deep.select(*_QUEUE, "depth", "status"))
+    errors = visited.where(~F.col("status").isin("accepted", "short"))
+    return (visited.where("status = 'accepted'").select(*entry),
+            skipped.select(*entry, reason), errors.select(*entry, reason))
 
 
 def _classify(frontier, pages, rules, min_chars):
     if rules is None:
         frontier = frontier.withColumn("allowed", F.lit(True))
     else:
-        frontier = robots_filter(frontier, rules)
+        frontier = apply_rules(frontier, *rules)
     status = (F.when(~F.col("allowed"), F.lit("robots"))
               .when(F.col("content_length").isNull() & F.col("bad").isNull(), F.lit("missing"))
               .when(F.col("bad").isNotNull(), F.lit("unreadable"))
@@ -101,16 +104,20 @@ def _within(rows, ends):
     cut = ends.where(F.col("end_depth").isNotNull()).select("site", "end_depth", "end_ord")
     reached = (F.col("end_depth").isNull() | (F.col("depth") < F.col("end_depth"))
                | ((F.col("depth") == F.col("end_depth")) & (F.col("ord") <= F.col("end_ord"))))
-    return rows.join(cut, "site", "left").where(reached).select("site", "url", "ord", "depth", "status")
+    return rows.join(cut, "site", "left").where(reached).select(*_QUEUE, "depth", "status")
 
 
 def _queue(level, ends, max_pages, links, visited):
-    """Entries the accepted pages of a level add to the queues of walks that go on, duplicates included."""
+    """Entries the accepted pages of a level add to the queues of walks that go on, duplicates included.
+
+    The site test compares with the host carried by the entry, so it runs on the links found, not on the table.
+    """
     going = ends.where(F.col("pages") < max_pages).select("site")
     parents = level.where("status = 'accepted'").join(going, "site", "left_semi").select(
-        "site", F.col("url").alias("src_url"), "ord")
-    found = parents.join(links, "src_url").select(
-        "site", F.col("dst_url").alias("url"), F.concat("ord", F.array(F.col("pos").cast("int"))).alias("ord"))
+        "site", "host", F.col("url").alias("src_url"), "ord")
+    inner = (parents["src_url"] == links["src_url"]) & (domain(links["dst_url"]) == parents["host"])
+    found = parents.join(links, inner).select(
+        "site", "host", F.col("dst_url").alias("url"), F.concat("ord", F.array(F.col("pos").cast("int"))).alias("ord"))
     return found.join(visited.select("site", "url"), ["site", "url"], "left_anti")
 
 
