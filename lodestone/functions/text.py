@@ -19,6 +19,8 @@ BOILERPLATE = (
     "(?iu)Privacy +Policy.*?Terms",
     "(?iu)Subscribe +to.*?Newsletter",
 )
+# Lower-case pieces every such run contains; none of their letters has a second lower-case form.
+BOILERPLATE_SIGNS = (("cook", "accept"), ("vacy", "term"), ("ubscr", "letter"))
 MENU_WORD = "(?iu)^(Home|About|Contact|Menu|Navigation)( |$)"
 
 
@@ -30,12 +32,17 @@ def strip_ws(col: Column) -> Column:
 def clean_text(col: Column) -> Column:
     """Collapse whitespace, delete boilerplate, strip last.
 
+    Texts without a sign of any boilerplate skip the three searches: nothing is deleted, so nothing can appear.
     The strip comes last on purpose: a text that begins with whitespace keeps its menu word.
     """
-    out = F.regexp_replace(F.coalesce(col, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " ")
-    for pattern in (*BOILERPLATE, MENU_WORD):
+    collapsed = F.regexp_replace(F.coalesce(col, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " ")
+    lowered = F.lower(collapsed)
+    suspect, out = F.lit(False), collapsed
+    for (first, last), pattern in zip(BOILERPLATE_SIGNS, BOILERPLATE):
+        suspect = suspect | (F.contains(lowered, F.lit(first)) & F.contains(lowered, F.lit(last)))
         out = F.regexp_replace(out, pattern, "")
-    return F.trim(out)
+    out = F.when(suspect, out).otherwise(collapsed)
+    return F.trim(F.regexp_replace(out, MENU_WORD, ""))
 
 
 def snippet(col: Column, n: int = SNIPPET_CHARS) -> Column:

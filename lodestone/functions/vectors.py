@@ -33,20 +33,22 @@ def hash_tokens(dim: int = EMBED_DIM):
 
     Token = run of letters and digits, lower case; bucket = first 32 bits of its MD5 modulo ``dim``. The counts
     are whole numbers, so similarity is one exact division and does not depend on the order of summation.
+    Declared non-deterministic so that the optimizer never evaluates it twice to move a filter below it.
     """
 
     @F.arrow_udf("array<float>")
     def embed(texts: pa.Array) -> pa.Array:
-        out = np.zeros((len(texts), dim), dtype=np.float32)
-        buckets = _bucket_cache(dim)
-        for i, text in enumerate(texts):
-            tokens = _TOKEN.findall((text.as_py() or "").lower())
-            if tokens:
-                np.add.at(out[i], [buckets[t] for t in tokens], 1)
-        offsets = np.arange(0, out.size + 1, dim, dtype=np.int32)
-        return pa.ListArray.from_arrays(offsets, out.ravel())
-
-    return embed
+        bucket = _bucket_cache(dim).__getitem__
+        cells = []
+        for i, text in enumerate(texts.to_pylist()):
+            tokens = _TOKEN.findall((text or "").lower())
+            cells.append(np.fromiter(map(bucket, tokens), np.int64, len(tokens)) + i * dim)
+        size = len(texts) * dim
+        counts = np.bincount(np.concatenate(cells), minlength=size) if cells else np.zeros(0)
+        offsets = np.arange(0, size + 1, dim, dtype=np.int32)
+        return pa.ListArray.from_arrays(offsets, counts.astype(np.float32))
+
+    return embed.asNondeterministic()
 
 
 class _Buckets(dict):

@@ -64,9 +64,8 @@ def chunk_docs(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
     def chunk(batches):
         for batch in batches:
             rows, chars = [], 0
-            for i, value in enumerate(batch.column(text_col)):
-                text = value.as_py() or ""
-                recorded = 0
+            for i, text in enumerate(batch.column(text_col).to_pylist()):
+                text, recorded = text or "", 0
                 for index, (a, b) in enumerate(chunk_windows(text, size, overlap)):
                     end = recorded + b - a
                     rows.append((i, index, text[a:b], recorded, end, a, b))

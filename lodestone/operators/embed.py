@@ -19,5 +19,5 @@ def embed(df: DataFrame, text_col: str, embed_fn=None, dim: int = EMBED_DIM,
     """
     if embed_fn is None:
         return df.withColumn(out_col, hash_tokens(dim)(F.col(text_col)))
-    model = F.pandas_udf(embed_fn, "array<float>", F.PandasUDFType.SCALAR_ITER)
+    model = F.pandas_udf(embed_fn, "array<float>", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
     return df.withColumn(out_col, l2_normalize(model(F.col(text_col))))

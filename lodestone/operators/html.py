@@ -182,8 +182,8 @@ def extract_pages(pages: DataFrame, removed_tags=REMOVED_TAGS) -> DataFrame:
 
     def scan(batches):
         for batch in batches:
-            rows = [_scan(u.as_py(), h.as_py(), removed)
-                    for u, h in zip(batch.column("url"), batch.column("html"))]
+            pairs = zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())
+            rows = [_scan(url, markup, removed) for url, markup in pairs]
             titles, texts, links, errors = zip(*rows) if rows else ((), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept),

@@ -16,8 +16,9 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 from lodestone import settings
 from lodestone.plans.scratch import Scratch
 
-_TILE = 2048           # questions scored together
+_TILE = 1024           # questions scored together
 _BATCH = 4096          # vectors scored together
+_GATHER = 8192         # pairs re-scored together
 _MAX_SPLITS = 24
 
 
@@ -34,65 +35,80 @@ def _matrix(column, dim=None) -> np.ndarray:
 
 
 class _Scorer:
-    """Scores tiles of a question matrix against batches of vectors.
+    """Best vectors of a batch per question.
 
-    Whole-number vectors (token counts) are multiplied in float32 while their products stay exact in it.
+    A float32 matrix product with a proven error margin selects candidates, which are then scored exactly in
+    float64 and rounded to six decimals. Ranking rounded scores makes the order independent of summation
+    order, hence of batching and retries.
     """
 
     def __init__(self, questions, metric):
-        self.metric = metric
+        self.cosine = metric == "cosine"
+        self.q32 = questions.astype(np.float32)
         self.q64 = questions.astype(np.float64)
         self.q_sq = np.einsum("ij,ij->i", self.q64, self.q64)
-        self.whole = bool((self.q64 == np.rint(self.q64)).all())
-        self.q32 = questions.astype(np.float32) if self.whole else None
-
-    def prepare(self, vectors):
-        v64 = vectors.astype(np.float64)
-        v_sq = np.einsum("ij,ij->i", v64, v64)
-        exact32 = (self.whole and bool((v64 == np.rint(v64)).all())
-                   and self.q_sq.max(initial=0) * v_sq.max(initial=0) < 2.0 ** 48)
-        return (vectors.astype(np.float32) if exact32 else v64), v_sq, exact32
-
-    def tile(self, prepared, lo, hi):
-        vectors, v_sq, exact32 = prepared
-        scores = ((self.q32 if exact32 else self.q64)[lo:hi] @ vectors.T).astype(np.float64)
-        if self.metric == "cosine":
-            norm = np.sqrt(np.multiply.outer(self.q_sq[lo:hi], v_sq))
-            scores = np.divide(scores, norm, out=np.zeros_like(scores), where=norm > 0)
-        return scores
-
-
-def _rounded(scores):
-    """Six decimals. Ranking rounded scores makes the order independent of summation order, hence of batching."""
-    return np.copysign(np.floor(np.abs(scores) * 1e6 + 0.5) / 1e6, scores)
-
-
-def _best_k(scores, floor, k):
-    """Row numbers, column numbers and rounded values of each row's best ``k`` scores >= ``floor``; of equal scores the first columns."""
-    live = np.flatnonzero(scores.max(axis=1, initial=-np.inf) >= floor - 1e-6)
-    if not len(live):
-        return live, live, scores[:0, 0]
-    part = _rounded(scores[live])
-    part = np.where(part >= floor[live, None], part, -np.inf)
-    if part.shape[1] > k:
-        kth = np.partition(part, part.shape[1] - k, axis=1)[:, part.shape[1] - k][:, None]
-        above = part > kth
-        level = (part == kth) & (kth > -np.inf)
-        room = k - above.sum(axis=1, keepdims=True)
-        take = above | (level & (np.cumsum(level, axis=1) <= room))
-    else:
-        take = part > -np.inf
-    rows, cols = np.nonzero(take)
-    return live[rows], cols, part[rows, cols]
+        self.q_scale = _inverse(self.q_sq) if self.cosine else None
+
+    def load(self, vectors):
+        self.v32 = vectors.astype(np.float32, copy=False)
+        self.v64 = vectors.astype(np.float64)
+        self.v_sq = np.einsum("ij,ij->i", self.v64, self.v64)
+        self.v_scale = _inverse(self.v_sq) if self.cosine else None
+        longest = np.sqrt(self.v_sq.max(initial=0.0))
+        reach = 1.0 if self.cosine else np.sqrt(self.q_sq) * longest
+        self.margin = np.broadcast_to(vectors.shape[1] * 2.0 ** -22 * reach + 1e-6, self.q_sq.shape)
+
+    def _exact(self, rows, cols):
+        out = np.empty(len(rows))
+        for at in range(0, len(rows), _GATHER):
+            r, c = rows[at:at + _GATHER], cols[at:at + _GATHER]
+            out[at:at + _GATHER] = np.einsum("ij,ij->i", self.q64[r], self.v64[c])
+        if self.cosine:
+            length = np.sqrt(self.q_sq[rows] * self.v_sq[cols])
+            out = np.divide(out, length, out=np.zeros_like(out), where=length > 0)
+        return np.copysign(np.floor(np.abs(out) * 1e6 + 0.5) / 1e6, out)
+
+    def best(self, lo, hi, floor, k):
+        """Question numbers, vector numbers and scores of the best ``k`` per question that reach its ``floor``.
+
+        Of equal scores the earlier vectors count.
+        """
+        rough = self.q32[lo:hi] @ self.v32.T
+        if self.cosine:
+            rough *= self.q_scale[lo:hi, None]
+            rough *= self.v_scale
+        least = floor[lo:hi] - self.margin[lo:hi]
+        live = np.flatnonzero(rough.max(axis=1, initial=-np.inf) >= least)
+        rough, least = rough[live], least[live]
+        if rough.shape[1] > k:
+            kth = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
+            least = np.maximum(least, kth - 2 * self.margin[lo:hi][live])
+        rows, cols = np.nonzero(rough >= least[:, None])
+        rows = live[rows] + lo
+        scores = self._exact(rows, cols)
+        keep = scores >= floor[rows]
+        rows, cols, scores = rows[keep], cols[keep], scores[keep]
+        order = np.lexsort((cols, -scores, rows))
+        rows, cols, scores = rows[order], cols[order], scores[order]
+        keep = _place(rows) < k
+        return rows[keep], cols[keep], scores[keep]
+
+
+def _inverse(squares):
+    return np.divide(1.0, np.sqrt(squares), out=np.zeros_like(squares), where=squares > 0).astype(np.float32)
+
+
+def _place(groups):
+    """Position of each element within its run of equal values."""
+    at = np.arange(len(groups))
+    first = np.r_[True, groups[1:] != groups[:-1]] if len(groups) else np.zeros(0, bool)
+    return at - np.maximum.accumulate(np.where(first, at, 0))
 
 
 def _keep_best(table, k, key_cols):
     """Best ``k`` rows per question of a small candidate table, total order (score desc, keys)."""
     table = table.sort_by([("_q", "ascending"), ("score", "descending"), *[(c, "ascending") for c in key_cols]])
-    q = table.column("_q").to_numpy()
-    first = np.r_[True, q[1:] != q[:-1]] if len(q) else np.zeros(0, bool)
-    start = np.maximum.accumulate(np.where(first, np.arange(len(q)), 0))
-    return table.filter(pa.array(np.arange(len(q)) - start < k))
+    return table.filter(pa.array(_place(table.column("_q").to_numpy()) < k))
 
 
 def _score_partition(shared, key_cols, vec_col, k, threshold, metric):
@@ -106,15 +122,14 @@ def _score_partition(shared, key_cols, vec_col, k, threshold, metric):
             for at in range(0, whole_batch.num_rows, _BATCH):
                 batch = pa.Table.from_batches([whole_batch.slice(at, _BATCH)])
                 batch = batch.sort_by([(c, "ascending") for c in key_cols])
-                prepared = scorer.prepare(_matrix(batch.column(vec_col), dim))
+                scorer.load(_matrix(batch.column(vec_col), dim))
                 keys = batch.select(key_cols)
                 found = []
                 for lo in range(0, n, _TILE):
-                    scores = scorer.tile(prepared, lo, lo + _TILE)
-                    rows, cols, values = _best_k(scores, floor[lo:lo + _TILE], k)
+                    rows, cols, scores = scorer.best(lo, min(lo + _TILE, n), floor, k)
                     if len(rows):
-                        hit = keys.take(pa.array(cols)).append_column("_q", pa.array(rows + lo))
-                        found.append(hit.append_column("score", pa.array(values)))
+                        hit = keys.take(pa.array(cols)).append_column("_q", pa.array(rows))
+                        found.append(hit.append_column("score", pa.array(scores)))
                 if not found:
                     continue
                 best = pa.concat_tables(([best] if best is not None else []) + found)

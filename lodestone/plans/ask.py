@@ -38,7 +38,7 @@ def retrieve(questions: DataFrame, index: DataFrame, k: int = settings.TOP_K,
 def _generate(rows: DataFrame, generate_fn) -> DataFrame:
     """Run a generator over the rows that have a context; an empty or failed generation is *insufficient*."""
     has_context = strip_ws(F.col("context")) != ""
-    model = F.pandas_udf(generate_fn, "string")
+    model = F.pandas_udf(generate_fn, "string").asNondeterministic()
     made = rows.where(has_context).withColumn(
         "answer", strip_ws(model(build_prompt(F.col("question"), F.col("context")))))
     made = made.withColumn("answer", cap_answer(F.coalesce(
