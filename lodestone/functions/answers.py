@@ -50,8 +50,12 @@ def answer_extractive(question: Column, context: Column) -> Column:
     asked = F.lower(question)
     count = F.when(contains_any(asked, settings.DEFINITION_WORDS), 3).when(
         contains_any(asked, settings.EXPLANATION_WORDS), 4).otherwise(3)
-    chosen = F.slice(sentences, F.lit(1), count)
-    joined = F.concat(F.array_join(chosen, ". "), F.lit("."))
-    return (F.when(strip_ws(context) == "", F.lit(settings.ANSWER_NOT_FOUND))
-            .when(F.size(chosen) == 0, F.lit(settings.ANSWER_INSUFFICIENT))
-            .otherwise(F.concat(F.lit(settings.ANSWER_PREFIX), cap_answer(joined))))
+    joined = F.nullif(F.array_join(F.slice(sentences, F.lit(1), count), ". "), F.lit(""))
+    answer = _let(F.concat(joined, F.lit(".")), lambda text: F.coalesce(
+        F.concat(F.lit(settings.ANSWER_PREFIX), cap_answer(text)), F.lit(settings.ANSWER_INSUFFICIENT)))
+    return F.when(strip_ws(context) == "", F.lit(settings.ANSWER_NOT_FOUND)).otherwise(answer)
+
+
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), 0)

@@ -3,16 +3,16 @@
 from __future__ import annotations
 
 import hashlib
-import re
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, functions as F
 
 from lodestone.settings import EMBED_DIM
 
-_TOKEN = re.compile(r"[^\W_]+")
-_CACHE_TOKENS = 500_000
+_NO_TOKEN = r"[^\p{L}\p{N}]+"
 
 
 def l2_normalize(col: Column) -> Column:
@@ -38,34 +38,20 @@ def hash_tokens(dim: int = EMBED_DIM):
 
     @F.arrow_udf("array<float>")
     def embed(texts: pa.Array) -> pa.Array:
-        bucket = _bucket_cache(dim).__getitem__
-        cells = []
-        for i, text in enumerate(texts.to_pylist()):
-            tokens = _TOKEN.findall((text or "").lower())
-            cells.append(np.fromiter(map(bucket, tokens), np.int64, len(tokens)) + i * dim)
+        words = pc.replace_substring_regex(pc.utf8_lower(texts.fill_null("")), _NO_TOKEN, " ")
+        words = pc.ascii_split_whitespace(words)
+        rows = pc.list_parent_indices(words).to_numpy()
+        tokens = words.flatten().dictionary_encode()
+        buckets = np.array([_bucket(t) % dim if t else -1 for t in tokens.dictionary.to_pylist()], np.int64)
+        cells = buckets[tokens.indices.to_numpy()] if len(buckets) else np.zeros(0, np.int64)
+        cells = (rows * dim + cells)[cells >= 0]
         size = len(texts) * dim
-        counts = np.bincount(np.concatenate(cells), minlength=size) if cells else np.zeros(0)
-        offsets = np.arange(0, size + 1, dim, dtype=np.int32)
-        return pa.ListArray.from_arrays(offsets, counts.astype(np.float32))
+        counts = np.bincount(cells, minlength=size).astype(np.float32)
+        return pa.ListArray.from_arrays(np.arange(0, size + 1, dim, dtype=np.int32), counts)
 
     return embed.asNondeterministic()
 
 
-class _Buckets(dict):
-    def __init__(self, dim):
-        super().__init__()
-        self.dim = dim
-
-    def __missing__(self, token):
-        if len(self) >= _CACHE_TOKENS:
-            self.clear()
-        bucket = int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % self.dim
-        self[token] = bucket
-        return bucket
-
-
-_CACHES = {}
-
-
-def _bucket_cache(dim):
-    return _CACHES.setdefault(dim, _Buckets(dim))
+@lru_cache(maxsize=500_000)
+def _bucket(token: str) -> int:
+    return int(hashlib.md5(token.encode()).hexdigest()[:8], 16)

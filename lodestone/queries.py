@@ -20,6 +20,7 @@ from lodestone.operators.walk import crawl_stats, crawl_summary, walk_links
 from lodestone.plans.ask import answer_hits, retrieve
 from lodestone.plans.index import build_index, error_digest, index_config, index_result, index_status, split_docs
 from lodestone.plans.scratch import Scratch
+from lodestone.sources.index import write_index
 from lodestone.sources.pages import as_questions, read_pages, spread
 from lodestone.streaming.ingest import ingest_stream, read_ingested
 
@@ -150,7 +151,8 @@ def hash_embed(spark, sf_dir):
 
 
 def _index(spark, sf_dir):
-    return build_index(spread(documents(spark, sf_dir)))[0]
+    """The stored index of all documents: built once, then read for scoring and for the texts of the hits."""
+    return write_index(build_index(spread(documents(spark, sf_dir)))[0], Scratch(spark, "index").path)
 
 
 def index_info(spark, sf_dir):
