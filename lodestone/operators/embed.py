@@ -1,8 +1,9 @@
 """Text -> vector, with the model as a parameter."""
 
-from __future__ import annotations
+from typing import Iterator
 
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from lodestone.functions.vectors import hash_tokens, l2_normalize
 from lodestone.settings import EMBED_DIM
@@ -19,5 +20,14 @@ def embed(df: DataFrame, text_col: str, embed_fn=None, dim: int = EMBED_DIM,
     """
     if embed_fn is None:
         return df.withColumn(out_col, hash_tokens(dim)(F.col(text_col)))
-    model = F.pandas_udf(embed_fn, "array<float>", F.PandasUDFType.SCALAR_ITER).asNondeterministic()
-    return df.withColumn(out_col, l2_normalize(model(F.col(text_col))))
+    model = F.pandas_udf(_typed(embed_fn), T.ArrayType(T.FloatType())).asNondeterministic()
+    return df.withColumn(out_col, model(F.col(text_col))).withColumn(out_col, l2_normalize(F.col(out_col)))
+
+
+def _typed(embed_fn):
+    """``embed_fn`` with the type hints by which Spark knows an iterator UDF."""
+
+    def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        yield from embed_fn(texts)
+
+    return run

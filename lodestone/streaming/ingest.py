@@ -40,7 +40,8 @@ def ingest_stream(docs: DataFrame, out_dir: str, checkpoint: str, size: int = se
 
 def doc_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """Stream of document parquet files appearing below ``path``."""
-    return spark.readStream.schema(schemas.DOC).option("maxFilesPerTrigger", max_files).parquet(path)
+    return (spark.readStream.schema(schemas.DOC).option("recursiveFileLookup", True)
+            .option("maxFilesPerTrigger", max_files).parquet(path))
 
 
 def read_ingested(spark: SparkSession, out_dir: str) -> DataFrame:
