@@ -9,8 +9,10 @@ from lodestone.functions.urls import domain
 from lodestone.operators.robots import apply_rules, rule_tables
 from lodestone.plans.scratch import Scratch
 
-_QUEUE = ["site", "host", "url", "ord"]
-_LEVEL = "site string, host string, url string, ord array<int>, depth int, status string"
+# A queue entry: walk, its domain, pages accepted before this level, URL, path of link positions.
+_QUEUE = ["site", "host", "done", "url", "ord"]
+_LEVEL = "site string, host string, done bigint, url string, ord array<int>, depth int, status string"
+_ENDS = "site string, depth int, pages bigint, end_ord array<int>"
 
 
 def walk_links(starts: DataFrame, pages: DataFrame, links: DataFrame, rules: DataFrame | None = None,
@@ -36,18 +38,19 @@ def walk_links(starts: DataFrame, pages: DataFrame, links: DataFrame, rules: Dat
         lengths, first = rule_tables(rules)
         rules = scratch.write_small(lengths, "rule-lengths"), scratch.write_small(first, "rules")
     frontier = starts.select(F.col("site").cast("string").alias("site"), domain(F.col("start_url")).alias("host"),
-                             F.col("start_url").alias("url"), F.array(F.lit(0)).alias("ord"))
-    ends, names = None, []
+                             F.lit(0).cast("bigint").alias("done"), F.col("start_url").alias("url"), F.array(F.lit(0)).alias("ord"))
+    names = []
     for depth in range(max_depth + 1):
         level = _classify(frontier, pages, rules, min_chars).withColumn("depth", F.lit(depth))
         level = scratch.write(level.select(*_QUEUE, "depth", "status"), f"level-{depth}")
         if level.isEmpty():
             break
-        names.append(f"level-{depth}")
-        ends = scratch.write(_ends(ends, level, depth, max_pages), f"ends-{depth}")
-        visited = _within(scratch.read(_LEVEL, *names), ends)
-        queued = _queue(_within(level, ends), ends, max_pages, links, visited)
-        frontier = queued.groupBy("site", "host", "url").agg(F.min("ord").alias("ord"))
+        names.append(depth)
+        ends = scratch.write(_ends(level, max_pages), f"ends-{depth}")
+        visited = _within(scratch.read(_LEVEL, *[f"level-{d}" for d in names]),
+                          scratch.read(_ENDS, *[f"ends-{d}" for d in names]))
+        queued = _queue(_within(level, ends), ends, links, visited)
+        frontier = queued.groupBy("site", "host", "done", "url").agg(F.min("ord").alias("ord"))
     else:
         depth = max_depth + 1
     if not names:
@@ -75,50 +78,41 @@ def _classify(frontier, pages, rules, min_chars):
     return frontier.join(pages, "url", "left").withColumn("status", status)
 
 
-def _ends(before, level, depth, max_pages):
-    """Per site: pages accepted so far and, once that is ``max_pages``, where the walk ended.
+def _ends(level, max_pages):
+    """Per walk with accepted pages on a level: pages accepted so far and, once that is ``max_pages``, the last one.
 
-    Only the first ``max_pages`` accepted entries of a site can matter, so a group limit cuts every map task's
-    share to that many rows before the shuffle, whatever the size of the site.
+    Only the first ``max_pages`` accepted entries of a walk can matter, so a group limit cuts every map task's
+    share to that many rows before the shuffle, however long the queue is.
     """
     queue = Window.partitionBy("site").orderBy("ord")
-    first = (level.where("status = 'accepted'").select("site", "ord")
-             .withColumn("_n", F.row_number().over(queue)).where(F.col("_n") <= max_pages))
-    if before is None:
-        before = level.select("site").distinct().select(
-            "site", F.lit(0).cast("long").alias("pages"), F.lit(None).cast("int").alias("end_depth"),
-            F.lit(None).cast("array<int>").alias("end_ord"))
-    room = before.select("site", F.col("pages").alias("_before"))
-    fresh = first.join(room, "site").where(F.col("_n") + F.col("_before") <= max_pages).groupBy("site").agg(
-        F.count("*").alias("_new"), F.max("ord").alias("_last"))
-    total = F.col("pages") + F.coalesce("_new", F.lit(0))
-    ended = F.col("end_depth").isNull() & (total >= max_pages)
-    return before.join(fresh, "site", "left").select(
-        "site", total.alias("pages"),
-        F.when(ended, F.lit(depth)).otherwise(F.col("end_depth")).alias("end_depth"),
-        F.when(ended, F.col("_last")).otherwise(F.col("end_ord")).alias("end_ord"))
+    first = (level.where("status = 'accepted'").select("site", "depth", "done", "ord")
+             .withColumn("_n", F.row_number().over(queue)).where(F.col("_n") <= max_pages)
+             .where(F.col("_n") + F.col("done") <= max_pages))
+    ends = first.groupBy("site", "depth").agg(
+        (F.max("done") + F.count("*")).alias("pages"), F.max_by("ord", "_n").alias("_last"))
+    return ends.select("site", "depth", "pages", F.when(F.col("pages") >= max_pages, F.col("_last")).alias("end_ord"))
 
 
 def _within(rows, ends):
     """Entries a walk got to before it ended."""
-    cut = ends.where(F.col("end_depth").isNotNull()).select("site", "end_depth", "end_ord")
-    reached = (F.col("end_depth").isNull() | (F.col("depth") < F.col("end_depth"))
-               | ((F.col("depth") == F.col("end_depth")) & (F.col("ord") <= F.col("end_ord"))))
-    return rows.join(cut, "site", "left").where(reached).select(*_QUEUE, "depth", "status")
+    cut = ends.where(F.col("end_ord").isNotNull()).select("site", "depth", "end_ord")
+    reached = F.col("end_ord").isNull() | (F.col("ord") <= F.col("end_ord"))
+    return rows.join(cut, ["site", "depth"], "left").where(reached).select(*_QUEUE, "depth", "status")
 
 
-def _queue(level, ends, max_pages, links, visited):
+def _queue(level, ends, links, visited):
     """Entries the accepted pages of a level add to the queues of walks that go on, duplicates included.
 
-    The site test compares with the host carried by the entry, so it runs on the links found, not on the table.
+    The site test compares with the domain carried by the entry, so it runs on the links found, not on the table.
     """
-    going = ends.where(F.col("pages") < max_pages).select("site")
-    parents = level.where("status = 'accepted'").join(going, "site", "left_semi").select(
-        "site", "host", F.col("url").alias("src_url"), "ord")
+    going = ends.where(F.col("end_ord").isNull()).select("site", F.col("pages").alias("done"))
+    parents = level.where("status = 'accepted'").drop("done").join(going, "site").select(
+        "site", "host", "done", F.col("url").alias("src_url"), "ord")
     inner = (parents["src_url"] == links["src_url"]) & (domain(links["dst_url"]) == parents["host"])
     found = parents.join(links, inner).select(
-        "site", "host", F.col("dst_url").alias("url"), F.concat("ord", F.array(F.col("pos").cast("int"))).alias("ord"))
-    return found.join(visited.select("site", "url"), ["site", "url"], "left_anti")
+        "site", "host", "done", F.col("dst_url").alias("url"),
+        F.concat("ord", F.array(F.col("pos").cast("int"))).alias("ord"))
+    return found.join(visited.select("site", "url"), ["site", "url"], "left_anti").select(*_QUEUE)
 
 
 def crawl_summary(visited: DataFrame, skipped: DataFrame, errors: DataFrame) -> DataFrame:
