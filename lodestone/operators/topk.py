@@ -2,8 +2,9 @@
 
 The corpus is never shuffled and no score row leaves a task unless it is among the task's best k of a
 question. A block of questions of proven size is broadcast as one matrix; partitions of the corpus stream
-past it in Arrow batches (one matrix product each). Question tables beyond the bound are split by hash
-until every block fits, one pass over the vectors per block, partial results written to the checkpoint folder.
+past it in Arrow batches (one matrix product each). Question tables beyond the bound are written out in hash
+blocks, each again checked (and split) before it is broadcast; one pass over the vectors per block, partial
+results written to the checkpoint folder.
 """
 
 from __future__ import annotations
@@ -154,10 +155,12 @@ def _head(questions: DataFrame) -> pa.Table:
     return questions.limit(settings.BROADCAST_QUESTIONS + 1).toArrow()
 
 
-def _by_block(questions, score, schema):
+def _by_block(questions, count, score, schema, scratch):
     """Score a question table too big to broadcast at once, block by block, into written tables."""
-    scratch = Scratch(questions.sparkSession, "top-k")
-    todo, done = [(scratch.write(questions, "questions"), 0)], []
+    blocks = max(2, -(-2 * count // settings.BROADCAST_QUESTIONS))
+    split = questions.withColumn("block", F.pmod(F.xxhash64("q_id"), F.lit(blocks)).cast("int"))
+    stored = scratch.write(split, "questions", partition_by="block")
+    todo, done = [(stored.where(F.col("block") == i).drop("block"), 1) for i in range(blocks)], []
     while todo:
         block, depth = todo.pop()
         head = _head(block)
@@ -171,6 +174,8 @@ def _by_block(questions, score, schema):
             hits, shared = score(head)
             scratch.write(hits, done[-1])
             shared.destroy()
+    if not done:
+        return questions.sparkSession.createDataFrame([], schema)
     return scratch.read(schema, *done)
 
 
@@ -191,7 +196,7 @@ def bounded_top_k(questions: DataFrame, vectors: DataFrame, k: int = settings.TO
                threshold: float | None = settings.SIMILARITY_THRESHOLD,
                keys=("doc_key", "chunk_index"), vec_col: str = "embedding",
                metric: str = "inner"):
-    """``top_k_join`` and the most rows it can hold: None unless all questions fit one broadcast block."""
+    """``top_k_join`` and the most rows it can hold."""
     if k < 1:
         raise ValueError("k must be at least 1")
     if metric not in ("inner", "cosine"):
@@ -209,19 +214,25 @@ def bounded_top_k(questions: DataFrame, vectors: DataFrame, k: int = settings.TO
         return vectors.select(*keys, vec_col).mapInArrow(run, schema), shared
 
     asked = questions.select("q_id", "embedding")
-    head, most = _head(asked), None
-    if not head.num_rows:
+    count, scratch = questions.select("q_id").count(), None
+    head = _head(asked) if count <= settings.BROADCAST_QUESTIONS else None
+    if count == 0:
         hits, most = spark.createDataFrame([], schema), 0
-    elif _fits(head):
+    elif head is not None and _fits(head):
         hits, most = score(head)[0], head.num_rows * k
     else:
-        hits = _by_block(asked, score, schema)
+        scratch = Scratch(spark, "top-k")
+        hits = _by_block(asked, count, score, schema, scratch)
     order = Window.partitionBy("q_id").orderBy(F.desc("score"), *keys)
     ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     if "top_k" in questions.columns:
         ranked = (ranked.join(questions.select("q_id", "top_k"), "q_id", "left")
                   .where(F.col("rank") <= F.coalesce("top_k", F.lit(k))).drop("top_k"))
-    return ranked.select("q_id", "rank", *keys, "score"), most
+    ranked = ranked.select("q_id", "rank", *keys, "score")
+    if scratch is not None:
+        ranked = scratch.write(ranked, "ranked")
+        most = ranked.count()
+    return ranked, most
 
 
 def best_score(questions: DataFrame, hits: DataFrame) -> DataFrame:

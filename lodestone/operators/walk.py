@@ -38,7 +38,8 @@ def walk_links(starts: DataFrame, pages: DataFrame, links: DataFrame, rules: Dat
         lengths, first = rule_tables(rules)
         rules = scratch.write_small(lengths, "rule-lengths"), scratch.write_small(first, "rules")
     frontier = starts.select(F.col("site").cast("string").alias("site"), domain(F.col("start_url")).alias("host"),
-                             F.lit(0).cast("bigint").alias("done"), F.col("start_url").alias("url"), F.array(F.lit(0)).alias("ord"))
+                             F.lit(0).cast("bigint").alias("done"), F.col("start_url").alias("url"),
+                             F.array(F.lit(0)).alias("ord"))
     names = []
     for depth in range(max_depth + 1):
         level = _classify(frontier, pages, rules, min_chars).withColumn("depth", F.lit(depth))

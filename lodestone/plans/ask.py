@@ -1,8 +1,7 @@
 """Questions -> hits -> grounded answers, for a whole table of questions at once."""
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, functions as F
+import pandas as pd
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from lodestone import settings
 from lodestone.functions.answers import answer_extractive, build_prompt, cap_answer, flag_unsafe, is_refusal
@@ -12,7 +11,7 @@ from lodestone.operators.embed import embed
 from lodestone.operators.topk import bounded_top_k
 
 _KEYS = ["doc_key", "chunk_index"]
-_BROADCAST_HITS = 500_000    # rows of (question, keys, score)
+_BROADCAST_HITS = 1_000_000    # rows of (question, keys, score)
 
 
 def retrieve(questions: DataFrame, index: DataFrame, k: int = settings.TOP_K,
@@ -28,17 +27,35 @@ def retrieve(questions: DataFrame, index: DataFrame, k: int = settings.TOP_K,
     asked = embed(questions.select(*wanted), "question", embed_fn, dim)
     metric = "cosine" if embed_fn is None else "inner"
     hits, most = bounded_top_k(asked, index, k, threshold, _KEYS, metric=metric)
-    if most is not None and most <= _BROADCAST_HITS:
+    if most <= _BROADCAST_HITS:
         hits = F.broadcast(hits)
     texts = index.select(*_KEYS, "url", "title", "content")
     return texts.join(hits, _KEYS).select(
         "q_id", "rank", *_KEYS, "url", "title", "content", "score")
 
 
+def _guarded(generate_fn):
+    """A failing batch is tried row by row, so that only the rows that fail by themselves get no answer."""
+
+    def run(prompts: pd.Series) -> pd.Series:
+        try:
+            return pd.Series(generate_fn(prompts), dtype=object)
+        except Exception:
+            return pd.Series([alone(p) for p in prompts], dtype=object)
+
+    def alone(prompt):
+        try:
+            return pd.Series(generate_fn(pd.Series([prompt])), dtype=object).iloc[0]
+        except Exception:
+            return None
+
+    return run
+
+
 def _generate(rows: DataFrame, generate_fn) -> DataFrame:
     """Run a generator over the rows that have a context; an empty or failed generation is *insufficient*."""
     has_context = strip_ws(F.col("context")) != ""
-    model = F.pandas_udf(generate_fn, "string").asNondeterministic()
+    model = F.pandas_udf(_guarded(generate_fn), T.StringType()).asNondeterministic()
     made = rows.where(has_context).withColumn(
         "answer", strip_ws(model(build_prompt(F.col("question"), F.col("context")))))
     made = made.withColumn("answer", cap_answer(F.coalesce(
@@ -52,7 +69,7 @@ def answer_hits(questions: DataFrame, hits: DataFrame, generate_fn=None,
     """Exactly one row per question: ``q_id, question, answer, sources, is_refusal, unsafe_phrase``.
 
     ``generate_fn`` maps a pandas Series of prompts to one of answers (null for a failed one). Unsafe rows and
-    rows without context are split off first, so they never reach it.
+    rows without context are split off first, so they never reach it. A null question is an error and refused.
     """
     rows = questions.select("q_id", "question").join(
         context_and_sources(hits, max_context), "q_id", "left")
@@ -61,15 +78,17 @@ def answer_hits(questions: DataFrame, hits: DataFrame, generate_fn=None,
             .withColumn("sources", F.coalesce("sources", none)))
     rows = flag_unsafe(rows)
     unsafe = F.col("unsafe_phrase").isNotNull()
+    rejected = unsafe | F.col("question").isNull()
+    fixed = F.when(unsafe, F.lit(settings.ANSWER_UNSAFE)).otherwise(F.lit(settings.ANSWER_ERROR))
     if generate_fn is None:
-        rows = rows.withColumn("answer", F.when(unsafe, F.lit(settings.ANSWER_UNSAFE)).otherwise(
+        rows = rows.withColumn("answer", F.when(rejected, fixed).otherwise(
             answer_extractive(F.col("question"), F.col("context"))))
     else:
-        rows = _generate(rows.where(~unsafe), generate_fn).unionByName(
-            rows.where(unsafe).withColumn("answer", F.lit(settings.ANSWER_UNSAFE)))
+        rows = _generate(rows.where(~rejected), generate_fn).unionByName(
+            rows.where(rejected).withColumn("answer", fixed))
     return rows.select(
-        "q_id", "question", "answer", F.when(unsafe, none).otherwise(F.col("sources")).alias("sources"),
-        (unsafe | is_refusal(F.col("answer"))).alias("is_refusal"), "unsafe_phrase")
+        "q_id", "question", "answer", F.when(rejected, none).otherwise(F.col("sources")).alias("sources"),
+        (rejected | is_refusal(F.col("answer"))).alias("is_refusal"), "unsafe_phrase")
 
 
 def ask_batch(questions: DataFrame, index: DataFrame, k: int = settings.TOP_K,

@@ -31,9 +31,10 @@ class Scratch:
         self.spark = spark
         self.path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
+    def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         target = f"{self.path}/{name}"
-        df.write.mode("overwrite").parquet(target)
+        writer = df.write.mode("overwrite")
+        (writer.partitionBy(partition_by) if partition_by else writer).parquet(target)
         return self.spark.read.schema(df.schema).parquet(target)
 
     def read(self, schema, *names: str) -> DataFrame:

@@ -25,9 +25,9 @@ def ingest_stream(docs: DataFrame, out_dir: str, checkpoint: str, size: int = se
     """
 
     def store(batch: DataFrame, batch_id: int):
-        batch = latest_by_key(batch, ties=("content",))
-        write_docs(batch, f"{out_dir}/docs", batch=str(batch_id))
-        good, errors = split_docs(batch)
+        newest = latest_by_key(batch, ties=("content",))
+        stored = write_docs(newest, f"{out_dir}/docs", batch=str(batch_id))
+        good, errors = split_docs(batch.sparkSession.read.schema(schemas.DOC).parquet(stored))
         chunks = chunk_docs(good.select("doc_key", "url", "title", "content", "ts"), size, overlap)
         chunks = chunks.withColumn("chunk_id", chunk_id(F.col("url"), F.col("chunk_index")))
         embed(chunks, "content", embed_fn, dim).write.mode("overwrite").parquet(
