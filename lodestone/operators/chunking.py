@@ -5,6 +5,7 @@ from __future__ import annotations
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from lodestone.operators.arrow import slices
 from lodestone.settings import CHUNK_OVERLAP, CHUNK_SIZE
 
 _FLUSH_CHARS = 8 * 1024 * 1024
@@ -62,7 +63,7 @@ def chunk_docs(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
         return pa.RecordBatch.from_arrays(passed + fresh, names=names)
 
     def chunk(batches):
-        for batch in batches:
+        for batch in slices(batches):
             rows, chars = [], 0
             for i, text in enumerate(batch.column(text_col).to_pylist()):
                 text, recorded = text or "", 0

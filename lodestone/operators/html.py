@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from lodestone.functions.text import clean_text
 from lodestone.functions.urls import is_crawlable, normalize_url
+from lodestone.operators.arrow import slices
 from lodestone.settings import REMOVED_TAGS
 
 # --- fixed values -----------------------------------------------------------
@@ -181,10 +182,10 @@ def extract_pages(pages: DataFrame, removed_tags=REMOVED_TAGS) -> DataFrame:
         F.array(F.lit("")).alias("links"), F.lit("").alias("error")).schema
 
     def scan(batches):
-        for batch in batches:
+        for batch in slices(batches):
             pairs = zip(batch.column("url").to_pylist(), batch.column("html").to_pylist())
             rows = [_scan(url, markup, removed) for url, markup in pairs]
-            titles, texts, links, errors = zip(*rows) if rows else ((), (), (), ())
+            titles, texts, links, errors = zip(*rows)
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(c) for c in kept),
                  pa.array(titles, pa.string()), pa.array(texts, pa.string()),

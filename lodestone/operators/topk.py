@@ -9,12 +9,15 @@ results written to the checkpoint folder.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from lodestone import settings
+from lodestone.operators.arrow import slices
 from lodestone.plans.scratch import Scratch
 
 _TILE = 1024           # questions scored together
@@ -49,21 +52,28 @@ class _Scorer:
         self.q64 = questions.astype(np.float64)
         self.q_sq = np.einsum("ij,ij->i", self.q64, self.q64)
         self.q_scale = _inverse(self.q_sq) if self.cosine else None
+        self.whole = _whole(self.q64)
 
     def load(self, vectors):
         self.v32 = vectors.astype(np.float32, copy=False)
         self.v64 = vectors.astype(np.float64)
         self.v_sq = np.einsum("ij,ij->i", self.v64, self.v64)
         self.v_scale = _inverse(self.v_sq) if self.cosine else None
+        # Sums of products of whole numbers below 2^24 are exact in float32 already.
+        self.exact32 = (self.whole and _whole(self.v64)
+                        and self.q_sq.max(initial=0.0) * self.v_sq.max(initial=0.0) < 2.0 ** 48)
         longest = np.sqrt(self.v_sq.max(initial=0.0))
         reach = 1.0 if self.cosine else np.sqrt(self.q_sq) * longest
         self.margin = np.broadcast_to(vectors.shape[1] * 2.0 ** -22 * reach + 1e-6, self.q_sq.shape)
 
-    def _exact(self, rows, cols):
-        out = np.empty(len(rows))
-        for at in range(0, len(rows), _GATHER):
-            r, c = rows[at:at + _GATHER], cols[at:at + _GATHER]
-            out[at:at + _GATHER] = np.einsum("ij,ij->i", self.q64[r], self.v64[c])
+    def _exact(self, rows, cols, products):
+        if self.exact32:
+            out = products.astype(np.float64)
+        else:
+            out = np.empty(len(rows))
+            for at in range(0, len(rows), _GATHER):
+                r, c = rows[at:at + _GATHER], cols[at:at + _GATHER]
+                out[at:at + _GATHER] = np.einsum("ij,ij->i", self.q64[r], self.v64[c])
         if self.cosine:
             length = np.sqrt(self.q_sq[rows] * self.v_sq[cols])
             out = np.divide(out, length, out=np.zeros_like(out), where=length > 0)
@@ -74,10 +84,11 @@ class _Scorer:
 
         Of equal scores the earlier vectors count.
         """
-        rough = self.q32[lo:hi] @ self.v32.T
+        product = self.q32[lo:hi] @ self.v32.T
+        rough = product
         if self.cosine:
+            rough = product * self.v_scale
             rough *= self.q_scale[lo:hi, None]
-            rough *= self.v_scale
         least = floor[lo:hi] - self.margin[lo:hi]
         live = np.flatnonzero(rough.max(axis=1, initial=-np.inf) >= least)
         rough, least = rough[live], least[live]
@@ -85,8 +96,9 @@ class _Scorer:
             kth = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k]
             least = np.maximum(least, kth - 2 * self.margin[lo:hi][live])
         rows, cols = np.nonzero(rough >= least[:, None])
+        products = product[live[rows], cols]
         rows = live[rows] + lo
-        scores = self._exact(rows, cols)
+        scores = self._exact(rows, cols, products)
         keep = scores >= floor[rows]
         rows, cols, scores = rows[keep], cols[keep], scores[keep]
         order = np.lexsort((cols, -scores, rows))
@@ -95,6 +107,21 @@ class _Scorer:
         return rows[keep], cols[keep], scores[keep]
 
 
+def _whole(numbers):
+    return bool((numbers == np.rint(numbers)).all())
+
+
+def _first_copies(vectors, k):
+    """Rows other than the later copies of a vector: of equal vectors only the first ``k`` can be among the best."""
+    seen = Counter()
+    keep = np.ones(len(vectors), bool)
+    for i, vector in enumerate(vectors):
+        copy = vector.tobytes()
+        seen[copy] += 1
+        keep[i] = seen[copy] <= k
+    return keep
+
+
 def _inverse(squares):
     return np.divide(1.0, np.sqrt(squares), out=np.zeros_like(squares), where=squares > 0).astype(np.float32)
 
@@ -119,26 +146,26 @@ def _score_partition(shared, key_cols, vec_col, k, threshold, metric):
         scorer = _Scorer(questions, metric)
         floor = np.full(n, -np.inf if threshold is None else float(threshold))
         best = None
-        for whole_batch in batches:
-            for at in range(0, whole_batch.num_rows, _BATCH):
-                batch = pa.Table.from_batches([whole_batch.slice(at, _BATCH)])
-                batch = batch.sort_by([(c, "ascending") for c in key_cols])
-                scorer.load(_matrix(batch.column(vec_col), dim))
-                keys = batch.select(key_cols)
-                found = []
-                for lo in range(0, n, _TILE):
-                    rows, cols, scores = scorer.best(lo, min(lo + _TILE, n), floor, k)
-                    if len(rows):
-                        hit = keys.take(pa.array(cols)).append_column("_q", pa.array(rows))
-                        found.append(hit.append_column("score", pa.array(scores)))
-                if not found:
-                    continue
-                best = pa.concat_tables(([best] if best is not None else []) + found)
-                best = _keep_best(best, k, key_cols).combine_chunks()
-                q, score = best.column("_q").to_numpy(), best.column("score").to_numpy()
-                last = np.flatnonzero(np.r_[q[1:] != q[:-1], True])
-                full = last[np.bincount(q, minlength=n)[q[last]] >= k]
-                floor[q[full]] = score[full]
+        for piece in slices(batches, _BATCH):
+            batch = pa.Table.from_batches([piece]).sort_by([(c, "ascending") for c in key_cols])
+            matrix = _matrix(batch.column(vec_col), dim)
+            keep = _first_copies(matrix, k)
+            scorer.load(matrix[keep])
+            keys = batch.select(key_cols).filter(pa.array(keep))
+            found = []
+            for lo in range(0, n, _TILE):
+                rows, cols, scores = scorer.best(lo, min(lo + _TILE, n), floor, k)
+                if len(rows):
+                    hit = keys.take(pa.array(cols)).append_column("_q", pa.array(rows))
+                    found.append(hit.append_column("score", pa.array(scores)))
+            if not found:
+                continue
+            best = pa.concat_tables(([best] if best is not None else []) + found)
+            best = _keep_best(best, k, key_cols).combine_chunks()
+            q, score = best.column("_q").to_numpy(), best.column("score").to_numpy()
+            last = np.flatnonzero(np.r_[q[1:] != q[:-1], True])
+            full = last[np.bincount(q, minlength=n)[q[last]] >= k]
+            floor[q[full]] = score[full]
         if best is not None:
             out = best.select(key_cols).add_column(0, "q_id", pc.take(ids, best.column("_q")))
             yield from out.append_column("score", best.column("score")).combine_chunks().to_batches()

@@ -21,7 +21,7 @@ def retrieve(questions: DataFrame, index: DataFrame, k: int = settings.TOP_K,
     content, score``.
 
     Scoring reads keys and vectors only; the text is joined to the winners afterwards, so the text of the
-    corpus is neither sent to Python nor shuffled.
+    corpus is neither sent to Python nor shuffled. ``index`` is read for both, so it should be a stored table.
     """
     wanted = [c for c in ("q_id", "question", "top_k") if c in questions.columns]
     asked = embed(questions.select(*wanted), "question", embed_fn, dim)

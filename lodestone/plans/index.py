@@ -21,7 +21,7 @@ def split_docs(docs: DataFrame, min_chars: int = settings.MIN_DOC_CHARS) -> tupl
 
 def build_index(docs: DataFrame, size: int = settings.CHUNK_SIZE, overlap: int = settings.CHUNK_OVERLAP,
                 embed_fn=None, dim: int = settings.EMBED_DIM) -> tuple[DataFrame, DataFrame]:
-    """``docs`` (doc_key, url, title, content) -> ``(chunks with embedding, errors)``.
+    """``docs`` (doc_key unique, url, title, content) -> ``(chunks with embedding, errors)``.
 
     A narrow pipeline: no shuffle between the document scan and the chunk sink.
     """

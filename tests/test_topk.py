@@ -139,3 +139,11 @@ def test_hash_tokens(spark):
     for token in ("héllo", "hello", "hello", "42"):
         want[int(hashlib.md5(token.encode()).hexdigest()[:8], 16) % 16] += 1
     assert got == [want, [0.0] * 16, [0.0] * 16, [0.0] * 16]
+
+
+def test_copies_cost_no_more_than_others():
+    """Within a batch only the first k of equal vectors are scored."""
+    from lodestone.operators.topk import _first_copies
+
+    vectors = np.array([[1, 2], [3, 4], [1, 2], [1, 2], [3, 4], [1, 2]], dtype=np.float32)
+    assert _first_copies(vectors, 2).tolist() == [True, True, True, False, True, False]
