@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone import settings
 from lodestone.functions.urls import domain
+from lodestone.operators.numbering import number_within
 from lodestone.operators.robots import apply_rules, rule_tables
 from lodestone.plans.scratch import Scratch
 
 # A queue entry: walk, its domain, pages accepted before this level, URL, path of link positions.
 _QUEUE = ["site", "host", "done", "url", "ord"]
 _LEVEL = "site string, host string, done bigint, url string, ord array<int>, depth int, status string"
+_GROUP_LIMIT = "spark.sql.optimizer.windowGroupLimitThreshold"
 _ENDS = "site string, depth int, pages bigint, end_ord array<int>"
 
 
@@ -47,7 +51,7 @@ def walk_links(starts: DataFrame, pages: DataFrame, links: DataFrame, rules: Dat
         if level.isEmpty():
             break
         names.append(depth)
-        ends = scratch.write(_ends(level, max_pages), f"ends-{depth}")
+        ends = scratch.write(_ends(level, max_pages, scratch), f"ends-{depth}")
         visited = _within(scratch.read(_LEVEL, *[f"level-{d}" for d in names]),
                           scratch.read(_ENDS, *[f"ends-{d}" for d in names]))
         queued = _queue(_within(level, ends), ends, links, visited)
@@ -79,16 +83,19 @@ def _classify(frontier, pages, rules, min_chars):
     return frontier.join(pages, "url", "left").withColumn("status", status)
 
 
-def _ends(level, max_pages):
+def _ends(level, max_pages, scratch):
     """Per walk with accepted pages on a level: pages accepted so far and, once that is ``max_pages``, the last one.
 
-    Only the first ``max_pages`` accepted entries of a walk can matter, so a group limit cuts every map task's
-    share to that many rows before the shuffle, however long the queue is.
+    Only the first ``max_pages`` accepted entries of a walk can matter. Up to Spark's group limit, every map task's
+    share is cut to that many rows before the shuffle; beyond it entries are numbered without gathering a walk.
     """
-    queue = Window.partitionBy("site").orderBy("ord")
-    first = (level.where("status = 'accepted'").select("site", "depth", "done", "ord")
-             .withColumn("_n", F.row_number().over(queue)).where(F.col("_n") <= max_pages)
-             .where(F.col("_n") + F.col("done") <= max_pages))
+    accepted = level.where("status = 'accepted'").select("site", "depth", "done", "ord")
+    if max_pages <= int(level.sparkSession.conf.get(_GROUP_LIMIT)):
+        queue = Window.partitionBy("site").orderBy("ord")
+        accepted = accepted.withColumn("_n", F.row_number().over(queue)).where(F.col("_n") <= max_pages)
+    else:
+        accepted = number_within(accepted, "site", "ord", scratch, f"numbered-{uuid.uuid4().hex}", "_n")
+    first = accepted.where(F.col("_n") + F.col("done") <= max_pages)
     ends = first.groupBy("site", "depth").agg(
         (F.max("done") + F.count("*")).alias("pages"), F.max_by("ord", "_n").alias("_last"))
     return ends.select("site", "depth", "pages", F.when(F.col("pages") >= max_pages, F.col("_last")).alias("end_ord"))
@@ -116,6 +123,13 @@ def _queue(level, ends, links, visited):
     return found.join(visited.select("site", "url"), ["site", "url"], "left_anti").select(*_QUEUE)
 
 
+def error_rows(errors: DataFrame) -> DataFrame:
+    """Walk errors in the shape of all other error tables: ``stage, key, message``."""
+    message = F.when(F.col("reason") == "robots", F.concat(F.lit("Blocked by robots.txt: "), "url")).otherwise(
+        F.concat(F.lit("Error fetching "), "url", F.lit(": page "), "reason"))
+    return errors.select(F.lit("crawl").alias("stage"), F.col("url").alias("key"), message.alias("message"))
+
+
 def crawl_summary(visited: DataFrame, skipped: DataFrame, errors: DataFrame) -> DataFrame:
     """One row per site: counts and the accepted URLs in visiting order (at most ``max_pages`` of them).
 

@@ -7,8 +7,11 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.operators.robots import robots_filter
-from lodestone.operators.walk import crawl_stats, crawl_summary, walk_links
+from lodestone.operators.numbering import number_within
+from lodestone.operators.walk import crawl_stats, crawl_summary, error_rows, walk_links
 from lodestone.plans.crawl import crawl
+from lodestone.plans.index import error_digest
+from lodestone.plans.scratch import Scratch
 
 
 def host(url):
@@ -48,6 +51,22 @@ def random_web(seed, n=60):
     return urls, pages, links
 
 
+def test_budgets_beyond_the_group_limit(spark):
+    spark.conf.set("spark.sql.optimizer.windowGroupLimitThreshold", "2")
+    try:
+        test_equals_a_queue(spark, 2, 5, 3)
+    finally:
+        spark.conf.unset("spark.sql.optimizer.windowGroupLimitThreshold")
+
+
+def test_number_within_a_hot_key(spark):
+    rows = [("hot", i * 7 % 4001) for i in range(4001)] + [("cold", 5), ("cold", 2)]
+    frame = spark.createDataFrame(rows, "k string, o int").repartition(5)
+    got = number_within(frame, "k", "o", Scratch(spark, "n"), "rows", "n").collect()
+    assert sorted((r["o"], r["n"]) for r in got if r["k"] == "hot") == [(i, i + 1) for i in range(4001)]
+    assert sorted((r["o"], r["n"]) for r in got if r["k"] == "cold") == [(2, 1), (5, 2)]
+
+
 @pytest.mark.parametrize("seed, max_pages, max_depth", [
     (1, 50, 3), (2, 5, 3), (3, 1, 2), (5, 50, 0), (6, 12, 4)])
 def test_equals_a_queue(spark, seed, max_pages, max_depth):
@@ -123,6 +142,8 @@ def test_crawl_from_html(spark):
     assert {(r["url"], r["reason"]) for r in skipped.collect()} == {
         ("https://a.com/short", "short"), ("https://a.com/d", "too_deep")}
     assert [(r["url"], r["reason"]) for r in errors.collect()] == [("https://a.com/gone", "missing")]
+    digest = error_digest(error_rows(errors)).collect()
+    assert [(r["message"], r["more"]) for r in digest] == [("Error fetching https://a.com/gone: page missing", 0)]
     stored = {r["url"]: r for r in docs.collect()}
     assert set(stored) == {"https://a.com/", "https://a.com/b", "https://a.com/c"}
     assert stored["https://a.com/b"]["content_length"] == len(stored["https://a.com/b"]["content"])
