@@ -80,7 +80,8 @@ def site_sizes(spark, sf_dir):
 # --- text -------------------------------------------------------------------
 
 def clean_text(spark, sf_dir):
-    return _table(spark, sf_dir, "documents").select("doc_id", text_fn.clean_text(F.col("text")).alias("cleaned"))
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", text_fn.clean_text(F.col("text")).alias("cleaned"))
 
 
 def clean_boilerplate(spark, sf_dir):
@@ -89,7 +90,8 @@ def clean_boilerplate(spark, sf_dir):
     noisy = F.concat(
         F.lit("Menu "), F.expr("substring(text, 1, length(text) div 2)"), F.lit(" COOKIE  policy text, accept "),
         F.substring(F.col("text"), half + 1, F.length("text")), F.lit(" subscribe to our newsletter\n"))
-    return _table(spark, sf_dir, "documents").select("doc_id", text_fn.clean_text(noisy).alias("cleaned"))
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", text_fn.clean_text(noisy).alias("cleaned"))
 
 
 def snippets(spark, sf_dir):

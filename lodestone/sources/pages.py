@@ -19,7 +19,7 @@ def as_questions(df: DataFrame, q_id: str, question: str, top_k: int | None = No
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Give a scan at least one partition per core before per-row Python work.
+    """Give a scan at least one partition per core before costly per-row work.
 
     Only for plain scans: a table of few files gets repartitioned, one of many files is returned as it is.
     """
