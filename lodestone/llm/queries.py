@@ -6,6 +6,23 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm.columns import table
 from lodestone.llm.rules import quality_rules
+from lodestone.llm.simhash import near_duplicates
+from lodestone.llm.toxicity import toxicity, train
+
+FOLDS = 5
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
+    model = train(docs, labels.filter(~held_out))
+    return docs.select("doc_id", held_out.alias("held_out"), toxicity(F.col("text"), model).alias("score")).withColumn(
+        "predicted", (F.col("score") >= 0.5).cast("int"))
+
+
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents")).select(
+        "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,5 +32,7 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op4_toxicity": op4_toxicity,
+    "op7_simhash": op7_simhash,
     "op10_quality_rules": op10_quality_rules,
 }
