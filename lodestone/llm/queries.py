@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from lodestone.llm.columns import table
+from lodestone.llm.columns import table, text_of, words_of
+from lodestone.llm.mixing import mix
 from lodestone.llm.rules import quality_rules
 from lodestone.llm.simhash import near_duplicates
 from lodestone.llm.toxicity import toxicity, train
@@ -31,7 +32,18 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_lines_removed", "lost_chars")
 
 
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "source", F.size(words_of(text_of("text"))).cast("long").alias("size"), F.xxhash64("text").alias("content"))
+    mixed, plan = mix(docs, F.array("source"), F.col("size"), ["doc_id", "content"])
+    sources = spark.createDataFrame([(s, n, float(t)) for s, n, t in plan.sources],
+                                    "name string, source_size long, target double")
+    return mixed.join(F.broadcast(sources), F.col("source").eqNullSafe(F.col("name")), "left").select(
+        "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
+
+
 QUERIES = {
+    "op9_mixing": op9_mixing,
     "op4_toxicity": op4_toxicity,
     "op7_simhash": op7_simhash,
     "op10_quality_rules": op10_quality_rules,
