@@ -36,6 +36,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
     n_lines_removed, lost_chars
 FROM c"""
 
+_ITEM_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
+
+OP2 = rf"""
+WITH item AS (SELECT item_id::VARCHAR AS item, {_ITEM_WORDS} AS w FROM benchmark),
+win AS (SELECT DISTINCT item, k, array_to_string(list_slice(w, p, p + k - 1), ' ') AS run
+    FROM (SELECT item, w, least(len(w), 10) AS k, unnest(range(1, greatest(len(w) - 8, 2))) AS p FROM item WHERE len(w) > 0)),
+lens AS (SELECT DISTINCT k FROM win),
+d AS (SELECT row_number() OVER () AS r, doc_id, {_ITEM_WORDS} AS w FROM documents),
+runs AS (SELECT r, k, p, array_to_string(list_slice(w, p, p + k - 1), ' ') AS run
+    FROM (SELECT r, k, w, unnest(range(1, len(w) - k + 2)) AS p FROM d, lens WHERE len(w) >= k)),
+hit AS (SELECT r, k, p, item FROM runs JOIN win USING (k, run)),
+words AS (SELECT r, count(DISTINCT x) AS n_hit FROM (SELECT r, unnest(range(p, p + k)) AS x FROM hit) GROUP BY r),
+items AS (SELECT r, count(DISTINCT item) AS n, string_agg(DISTINCT item, ',' ORDER BY item) AS ids FROM hit GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n, 0)::BIGINT AS n_items,
+    sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
+
 ORACLES = {
+    "op2_decontamination": OP2,
     "op10_quality_rules": OP10,
 }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm.columns import table, text_of, words_of
+from lodestone.llm.decontam import contamination
 from lodestone.llm.mixing import mix
 from lodestone.llm.rules import quality_rules
 from lodestone.llm.simhash import near_duplicates
@@ -13,6 +14,13 @@ from lodestone.llm.toxicity import toxicity, train
 FOLDS = 5
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
@@ -43,6 +51,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontamination": op2_decontamination,
     "op9_mixing": op9_mixing,
     "op4_toxicity": op4_toxicity,
     "op7_simhash": op7_simhash,
