@@ -54,7 +54,23 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
     sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (r) LEFT JOIN items USING (r)"""
 
+def _base32(digest: str) -> str:
+    """Forty hex digits as 32 digits of five bits."""
+    part = lambda i: f"('0x' || substr({digest}, {1 + 10 * (i // 8)}, 10))::BIGINT"
+    return " || ".join(f"substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + (({part(i)} >> {35 - 5 * (i % 8)}) & 31)::INT, 1)"
+                       for i in range(32))
+
+
+OP6 = f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS hex,
+    min(page_id) OVER (PARTITION BY coalesce(html, '')) AS low FROM pages)
+SELECT page_id, payload_bytes, {_base32('hex')} AS payload_digest,
+    CASE WHEN page_id = low THEN 'response' ELSE 'revisit' END AS record_type,
+    CASE WHEN page_id = low THEN NULL ELSE low END AS refers_to, 1::BIGINT AS n_requests, 1::BIGINT AS n_metadata
+FROM p"""
+
 ORACLES = {
+    "op6_warc": OP6,
     "op2_decontamination": OP2,
     "op10_quality_rules": OP10,
 }

@@ -10,6 +10,8 @@ from lodestone.llm.mixing import mix
 from lodestone.llm.rules import quality_rules
 from lodestone.llm.simhash import near_duplicates
 from lodestone.llm.toxicity import toxicity, train
+from lodestone.llm.warc import assemble, read_warc, write_warc
+from lodestone.plans.scratch import Scratch
 
 FOLDS = 5
 
@@ -29,6 +31,17 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{Scratch(spark, 'warc').path}/archives"
+    write_warc(table(spark, sf_dir, "pages"), path)
+    captures = assemble(read_warc(spark, path, keep_payload=False))
+    header = lambda name: F.try_element_at("response.headers", F.lit(name))
+    return captures.select(
+        header("x-page-id").cast("long").alias("page_id"), F.col("response.payload_bytes"), F.col("response.payload_digest"),
+        F.col("response.record_type"), header("x-refers-to-page-id").cast("long").alias("refers_to"),
+        F.size("requests").cast("long").alias("n_requests"), F.size("metadata").cast("long").alias("n_metadata"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents")).select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -51,6 +64,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op6_warc": op6_warc,
     "op2_decontamination": op2_decontamination,
     "op9_mixing": op9_mixing,
     "op4_toxicity": op4_toxicity,
