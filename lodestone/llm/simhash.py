@@ -105,16 +105,16 @@ def links(fingerprints: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) ->
     mark = F.lit(1 << 40)
     placed = fingerprints.select("fp", F.explode(F.concat(_anchors(low), F.transform(_anchors(high), lambda x: x + mark)))
                                  .alias("anchor"))
-    sizes = placed.groupBy("anchor").agg(F.count("*").alias("size")).filter("size > 1")
-    met = placed.join(sizes, "anchor").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
-    cold = (met.filter("blocks = 1").groupBy("anchor").agg(F.collect_list("fp").alias("fps"))
-            .filter((F.size("fps") > 2) | (F.bit_count(F.col("fps")[0].bitwiseXOR(F.col("fps")[1])) <= bits)))
+    sizes = placed.groupBy("anchor").agg(F.count("*").alias("size"), F.min("fp").alias("a"), F.max("fp").alias("b"))
+    pairs = sizes.filter((F.col("size") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b")
+    met = placed.join(sizes.filter("size > 2").select("anchor", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "anchor")
+    cold = met.filter("blocks = 1").groupBy("anchor").agg(F.collect_list("fp").alias("fps"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     hot = (met.filter("blocks > 1").withColumn("own", own)
            .select("anchor", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
            .select("anchor", "fp", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
            .repartition("anchor", "i", "j").groupBy("anchor", "i", "j").agg(F.collect_list("fp").alias("fps")))
-    return _links(cold, bits).unionByName(_links(hot, bits)).distinct()
+    return pairs.unionByName(_links(cold, bits)).unionByName(_links(hot, bits)).distinct()
 
 
 def groups(marked: DataFrame, key: str, scratch: Scratch, bits: int = MAX_BITS) -> DataFrame:
