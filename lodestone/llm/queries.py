@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodestone.llm.columns import table, text_of, words_of
 from lodestone.llm.decontam import contamination
 from lodestone.llm.mixing import mix
+from lodestone.llm.quality import quality
 from lodestone.llm.rules import quality_rules
 from lodestone.llm.simhash import near_duplicates
 from lodestone.llm.toxicity import toxicity, train
@@ -23,6 +24,10 @@ def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
                         (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id", "lang"])
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0, F.lit(True))
@@ -64,6 +69,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_quality": op3_quality,
     "op6_warc": op6_warc,
     "op2_decontamination": op2_decontamination,
     "op9_mixing": op9_mixing,
