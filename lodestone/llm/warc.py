@@ -15,6 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lodestone.llm.columns import text_of
+from lodestone.plans.scratch import Scratch
 
 # Fixed values of the format.
 VERSION = "WARC/1.1"
@@ -66,7 +67,8 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     first = (rows.filter(F.col("size") >= least_bytes).groupBy("digest")
              .agg(F.min("key").alias("first"), F.min_by("url", "key").alias("first_url"), F.count("*").alias("n"))
              .filter("n > 1").drop("n"))
-    joined = rows.join(first, "digest", "left")
+    # written first: the engine then knows its size, and shuffles the payloads only if there are many repeated ones
+    joined = rows.join(Scratch(pages.sparkSession, "warc").write(first, "first"), "digest", "left")
     again = F.coalesce((F.col("size") >= least_bytes) & F.col("first").isNotNull()
                        & ~F.col("key").eqNullSafe(F.col("first")), F.lit(False))
     joined = joined.withColumns({"again": again, "base": F.uuid()})
