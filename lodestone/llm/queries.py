@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from lodestone.llm.columns import table, text_of, words_of
 from lodestone.llm.decontam import contamination
 from lodestone.llm.mixing import mix
+from lodestone.llm.pii import counts, with_surrogates
 from lodestone.llm.quality import quality
 from lodestone.llm.rules import quality_rules
 from lodestone.llm.simhash import near_duplicates
@@ -36,6 +37,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
         "predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return docs.select("doc_id", "text", F.size("pii").cast("long").alias("n_entities"), *counts(F.col("pii")))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{Scratch(spark, 'warc').path}/archives"
     write_warc(table(spark, sf_dir, "pages"), path)
@@ -69,6 +75,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op5_pii": op5_pii,
     "op3_quality": op3_quality,
     "op6_warc": op6_warc,
     "op2_decontamination": op2_decontamination,

@@ -1,0 +1,84 @@
+import re
+
+import pytest
+
+from lodestone.llm.pii import KINDS, rekeyed, with_surrogates
+from lodestone.llm.queries import QUERIES
+from lodestone.plans.scratch import Scratch
+
+TEXT = ("Write to Ann.Lee42@mail7.example.com or ann.lee42@MAIL7.example.com, call +1 (974) 555-3436 or +1 974 555 3436, "
+        "card 4111 1111 1111 1111 or 4111111111111111, host 152.143.123.131###, token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\", "
+        "TOKEN = \"24BE64439E3E49CF46B2D7C90F3602A3D0B907FF\", id 078-05-1120, IBAN DE89 3704 0044 0532 0130 00. "
+        "Mrs. Mary Stone met Mr Stone and Господин Иван Петров. paré.12@mail3.example.org Version 1.2.3, year 2024, 12345.")
+
+
+def _luhn(digits):
+    twice = [int(d) * (1 + i % 2) for i, d in enumerate(reversed(digits))]
+    return sum(d - 9 if d > 9 else d for d in twice) % 10
+
+
+def test_forms_and_coreference(spark):
+    docs = spark.createDataFrame([(1, TEXT, "clash"), (2, "Call +1-974-555-3436 now", "x")], "doc_id long, text string, _k string")
+    out = {r["doc_id"]: r for r in with_surrogates(docs).collect()}
+    got = {e["raw"]: (e["kind"], e["surrogate"]) for e in out[1]["pii"]}
+    assert [e["kind"] for e in out[1]["pii"]] == ["email", "email", "phone", "phone", "card", "card", "ip", "secret", "secret", "id",
+                                                 "iban", "name", "name", "name", "email"]
+    digits = lambda t: re.sub(r"\D", "", t)
+    mail = got["ann.lee42@MAIL7.example.com"][1]
+    assert got["Ann.Lee42@mail7.example.com"][1].lower() == mail.lower() and re.fullmatch(r"[a-z]{3}\.[a-z]{3}\d\d@[A-Za-z]{4}\d\.[a-z]+\.com", mail)
+    assert re.fullmatch(r"\+1 \(\d{3}\) \d{3}-\d{4}", got["+1 (974) 555-3436"][1])
+    assert digits(got["+1 (974) 555-3436"][1]) == digits(got["+1 974 555 3436"][1]) == digits(out[2]["pii"][0]["surrogate"])
+    assert digits(got["4111 1111 1111 1111"][1]) == got["4111111111111111"][1] and _luhn(got["4111111111111111"][1]) == 0
+    assert all(0 < int(x) < 255 for x in got["152.143.123.131"][1].split("."))
+    low = got["24be64439e3e49cf46b2d7c90f3602a3d0b907ff"][1]
+    assert re.fullmatch("[0-9a-f]{40}", low) and got["24BE64439E3E49CF46B2D7C90F3602A3D0B907FF"][1] == low.upper()
+    assert re.fullmatch(r"\d{3}-\d{2}-\d{4}", got["078-05-1120"][1])
+    assert re.fullmatch(r"DE\d{2}( \d{4}){4} \d\d", got["DE89 3704 0044 0532 0130 00"][1])
+    assert got["Mrs. Mary Stone"][1].startswith("Mrs. ") and got["Mrs. Mary Stone"][1].split()[-1] == got["Mr Stone"][1].split()[-1]
+    assert re.fullmatch("Господин [А-Я][а-я]+ [А-Я][а-я]+", got["Господин Иван Петров"][1])
+    assert all(raw.lower() != s.lower() for raw, (_, s) in got.items())
+    want = TEXT
+    for e in out[1]["pii"]:
+        want = want.replace(e["raw"], "\0", 1)
+    for e in out[1]["pii"]:
+        want = want.replace("\0", e["surrogate"], 1)
+    assert out[1]["text"] == want and want.endswith("Version 1.2.3, year 2024, 12345.") and out[1]["_k"] == "clash"
+
+
+def test_nothing_to_replace(spark):
+    docs = spark.createDataFrame([(1, None), (2, ""), (3, "plain text, 12 words"), (4, "no mail @ all"), (5, "word " * 40000)],
+                                 "doc_id long, text string")
+    assert {r["doc_id"]: (r["text"], r["pii"]) for r in with_surrogates(docs).collect()} == {r["doc_id"]: (r["text"], []) for r in docs.collect()}
+    assert with_surrogates(docs.limit(0)).count() == 0
+
+
+def test_crowded_types_stay_distinct(spark):
+    names = [(i, f"Mr. N{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} met", ) for i in range(400)]
+    phones = [(1000 + i, f"call 555-{i % 1000:03d}-{7 * i % 10000:04d}, 555.{i % 1000:03d}.{7 * i % 10000:04d}") for i in range(3000)]
+    docs = spark.createDataFrame([(i, t) for i, t in names] + phones * 2, "doc_id long, text string")
+    rows = with_surrogates(docs, key="k").collect()
+    assert len(rows) == 6400
+    given = {}
+    for r in rows:
+        for e in r["pii"]:
+            normal = re.sub(r"\D", "", e["raw"]) if e["kind"] == "phone" else e["raw"]
+            shown = re.sub(r"\D", "", e["surrogate"]) if e["kind"] == "phone" else e["surrogate"]
+            assert given.setdefault(normal, shown) == shown
+    assert len(set(given.values())) == len(given) and not set(given) & set(given.values())
+
+
+def test_exhausted_types_are_reported(spark):
+    # one-digit strings: more entities than surrogates that are no entity themselves
+    table = spark.createDataFrame([("id", str(i)) for i in range(10)], "kind string, normal string")
+    with pytest.raises(ValueError):
+        rekeyed(table, "k", Scratch(spark, "pii"), attempts=3).count()
+
+
+def test_query_leaves_no_entity_behind(spark, sf_dir):
+    before = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    pattern = re.compile(r"[\w.]+@mail\d+\.example\.com|\+1 \(\d{3}\) \d{3}-\d{4}|(?<!\w)\d{16}(?!\w)|(?<!\w)(?:\d+\.){3}\d+|(?<!\w)[0-9a-f]{40}(?!\w)")
+    for r in QUERIES["op5_pii"](spark, sf_dir).collect():
+        found = pattern.findall(before[r["doc_id"]])
+        assert not any(x in r["text"] for x in found)
+        assert r["n_entities"] == len(found) == sum(r[f"n_{k}"] for k in KINDS)
+        assert found or r["text"] == before[r["doc_id"]]
