@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lodestone.llm.columns import table, text_of, words_of
 from lodestone.llm.decontam import contamination
+from lodestone.llm.mincut import main_texts
 from lodestone.llm.mixing import mix
 from lodestone.llm.pii import counts, with_surrogates
 from lodestone.llm.quality import quality
@@ -64,6 +65,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         "n_lines_removed", "lost_chars")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", main_texts(F.col("html")).alias("text"))
+    return pages.withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(
         "doc_id", "source", F.size(words_of(text_of("text"))).cast("long").alias("size"), F.xxhash64("text").alias("content"))
@@ -75,6 +81,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op8_html": op8_html,
     "op5_pii": op5_pii,
     "op3_quality": op3_quality,
     "op6_warc": op6_warc,
