@@ -12,6 +12,7 @@ from lodestone.llm.pii import counts, with_surrogates
 from lodestone.llm.quality import quality
 from lodestone.llm.rules import quality_rules
 from lodestone.llm.simhash import near_duplicates
+from lodestone.llm.spans import remove_repeats
 from lodestone.llm.toxicity import toxicity, train
 from lodestone.llm.warc import assemble, read_warc, write_warc
 from lodestone.plans.scratch import Scratch
@@ -19,6 +20,15 @@ from lodestone.plans.scratch import Scratch
 FOLDS = 5
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.transform("removed", lambda r: r["end"] - r["begin"])
+    return docs.select(
+        "doc_id", F.octet_length(text_of("text")).cast("long").alias("n_bytes"),
+        F.aggregate(gone, F.lit(0), lambda a, b: a + b).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"),
@@ -81,6 +91,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op8_html": op8_html,
     "op5_pii": op5_pii,
     "op3_quality": op3_quality,
