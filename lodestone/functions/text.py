@@ -19,7 +19,7 @@ BOILERPLATE = (
     "(?iu)Privacy +Policy.*?Terms",
     "(?iu)Subscribe +to.*?Newsletter",
 )
-# Lower-case pieces every such run contains; none of their letters has a second lower-case form.
+# Lower-case pieces every such run contains; the long s, an s to the patterns, is folded before they are looked for.
 BOILERPLATE_SIGNS = (("cook", "accept"), ("vacy", "term"), ("ubscr", "letter"))
 MENU_WORD = "(?iu)^(Home|About|Contact|Menu|Navigation)( |$)"
 
@@ -36,7 +36,7 @@ def clean_text(col: Column) -> Column:
     The strip comes last on purpose: a text that begins with whitespace keeps its menu word.
     """
     collapsed = F.regexp_replace(F.coalesce(col, F.lit("")), r"(?U)[\s\x1c-\x1f]+", " ")
-    lowered = F.lower(collapsed)
+    lowered = F.replace(F.lower(collapsed), F.lit("\u017f"), F.lit("s"))
     suspect, out = F.lit(False), collapsed
     for (first, last), pattern in zip(BOILERPLATE_SIGNS, BOILERPLATE):
         suspect = suspect | (F.contains(lowered, F.lit(first)) & F.contains(lowered, F.lit(last)))

@@ -151,15 +151,15 @@ class _PageScan(HTMLParser):
 
 
 def _scan(url, markup, removed):
-    """``(title, text, absolute links, error)`` of one page; a link that cannot be resolved fails the page."""
+    """``(title, text, absolute links, error)`` of one page; whatever cannot be read or resolved fails this page only."""
     if isinstance(markup, bytes):
         markup = markup.decode("utf-8", "ignore")
     page = _PageScan(removed)
-    page.feed(markup or "")
-    title, text, hrefs = page.result()
     try:
+        page.feed(markup or "")
+        title, text, hrefs = page.result()
         return title, text, [urljoin(url, h) if url else h for h in hrefs], None
-    except ValueError as problem:
+    except Exception as problem:  # the tokenizer has no narrower error for a malformed declaration
         return None, None, None, f"Error fetching {url}: {problem}"
 
 

@@ -9,8 +9,6 @@ results written to the checkpoint folder.
 
 from __future__ import annotations
 
-from collections import Counter
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -24,6 +22,7 @@ _TILE = 1024           # questions scored together
 _BATCH = 4096          # vectors scored together
 _GATHER = 8192         # pairs re-scored together
 _MAX_SPLITS = 24
+_PRINT = np.random.default_rng(7).integers(1, 1 << 40, 1 << 16).astype(np.float64)
 
 
 def _matrix(column, dim=None) -> np.ndarray:
@@ -79,11 +78,12 @@ class _Scorer:
             out = np.divide(out, length, out=np.zeros_like(out), where=length > 0)
         return np.copysign(np.floor(np.abs(out) * 1e6 + 0.5) / 1e6, out)
 
-    def best(self, lo, hi, floor, k):
-        """Question numbers, vector numbers and scores of the best ``k`` per question that reach its ``floor``.
+    def best(self, lo, hi, floor, ks):
+        """Question numbers, vector numbers and scores of the best ``ks`` of each question that reach its ``floor``.
 
         Of equal scores the earlier vectors count.
         """
+        k = max(int(ks[lo:hi].max(initial=1)), 1)
         product = self.q32[lo:hi] @ self.v32.T
         rough = product
         if self.cosine:
@@ -103,7 +103,7 @@ class _Scorer:
         rows, cols, scores = rows[keep], cols[keep], scores[keep]
         order = np.lexsort((cols, -scores, rows))
         rows, cols, scores = rows[order], cols[order], scores[order]
-        keep = _place(rows) < k
+        keep = _place(rows) < ks[rows]
         return rows[keep], cols[keep], scores[keep]
 
 
@@ -113,12 +113,15 @@ def _whole(numbers):
 
 def _first_copies(vectors, k):
     """Rows other than the later copies of a vector: of equal vectors only the first ``k`` can be among the best."""
-    seen = Counter()
+    words = np.ascontiguousarray(vectors).view(np.uint8).reshape(len(vectors), -1)
+    prints = words @ _PRINT[:words.shape[1]]
+    order = np.argsort(prints, kind="stable")
+    place = _place(prints[order])
     keep = np.ones(len(vectors), bool)
-    for i, vector in enumerate(vectors):
-        copy = vector.tobytes()
-        seen[copy] += 1
-        keep[i] = seen[copy] <= k
+    if place.max(initial=0) >= k:  # only then compare the vectors themselves
+        order = np.lexsort(np.flipud(words.T))
+        copies = np.cumsum(np.r_[False, (words[order[1:]] != words[order[:-1]]).any(axis=1)])
+        keep[order] = _place(copies) < k
     return keep
 
 
@@ -133,15 +136,16 @@ def _place(groups):
     return at - np.maximum.accumulate(np.where(first, at, 0))
 
 
-def _keep_best(table, k, key_cols):
-    """Best ``k`` rows per question of a small candidate table, total order (score desc, keys)."""
+def _keep_best(table, ks, key_cols):
+    """Best ``ks`` rows of each question of a small candidate table, total order (score desc, keys)."""
     table = table.sort_by([("_q", "ascending"), ("score", "descending"), *[(c, "ascending") for c in key_cols]])
-    return table.filter(pa.array(_place(table.column("_q").to_numpy()) < k))
+    q = table.column("_q").to_numpy()
+    return table.filter(pa.array(_place(q) < ks[q]))
 
 
-def _score_partition(shared, key_cols, vec_col, k, threshold, metric):
+def _score_partition(shared, key_cols, vec_col, threshold, metric):
     def run(batches):
-        ids, questions = shared.value
+        ids, questions, ks = shared.value
         n, dim = questions.shape
         scorer = _Scorer(questions, metric)
         floor = np.full(n, -np.inf if threshold is None else float(threshold))
@@ -149,26 +153,28 @@ def _score_partition(shared, key_cols, vec_col, k, threshold, metric):
         for piece in slices(batches, _BATCH):
             batch = pa.Table.from_batches([piece]).sort_by([(c, "ascending") for c in key_cols])
             matrix = _matrix(batch.column(vec_col), dim)
-            keep = _first_copies(matrix, k)
+            keep = _first_copies(matrix, int(ks.max(initial=1)))
             scorer.load(matrix[keep])
             keys = batch.select(key_cols).filter(pa.array(keep))
             found = []
             for lo in range(0, n, _TILE):
-                rows, cols, scores = scorer.best(lo, min(lo + _TILE, n), floor, k)
+                rows, cols, scores = scorer.best(lo, min(lo + _TILE, n), floor, ks)
                 if len(rows):
                     hit = keys.take(pa.array(cols)).append_column("_q", pa.array(rows))
                     found.append(hit.append_column("score", pa.array(scores)))
             if not found:
                 continue
             best = pa.concat_tables(([best] if best is not None else []) + found)
-            best = _keep_best(best, k, key_cols).combine_chunks()
+            best = _keep_best(best, ks, key_cols).combine_chunks()
             q, score = best.column("_q").to_numpy(), best.column("score").to_numpy()
             last = np.flatnonzero(np.r_[q[1:] != q[:-1], True])
-            full = last[np.bincount(q, minlength=n)[q[last]] >= k]
+            full = last[np.bincount(q, minlength=n)[q[last]] >= ks[q[last]]]
             floor[q[full]] = score[full]
         if best is not None:
             out = best.select(key_cols).add_column(0, "q_id", pc.take(ids, best.column("_q")))
-            yield from out.append_column("score", best.column("score")).combine_chunks().to_batches()
+            out = out.append_column("score", best.column("score")).append_column(
+                "_k", pa.array(ks[best.column("_q").to_numpy()], pa.int32()))
+            yield from out.combine_chunks().to_batches()
 
     return run
 
@@ -214,7 +220,8 @@ def top_k_join(questions: DataFrame, vectors: DataFrame, k: int = settings.TOP_K
 
     ``metric="cosine"`` divides by both lengths, for vectors stored unnormalised. ``threshold`` is inclusive and
     the same before or after the cut to k, so it is applied inside the tasks. Equal scores rank by ``keys``.
-    A ``top_k`` column overrides ``k`` per question and may only lower it.
+    A ``top_k`` column overrides ``k`` per question, in either direction; a question with less than 1 has no hits.
+    Repeated ids are refused.
     """
     return bounded_top_k(questions, vectors, k, threshold, keys, vec_col, metric)[0]
 
@@ -232,30 +239,33 @@ def bounded_top_k(questions: DataFrame, vectors: DataFrame, k: int = settings.TO
     spark = vectors.sparkSession
     schema = T.StructType([T.StructField("q_id", questions.schema["q_id"].dataType)]
                           + [T.StructField(c, vectors.schema[c].dataType) for c in keys]
-                          + [T.StructField("score", T.DoubleType())])
+                          + [T.StructField("score", T.DoubleType()), T.StructField("_k", T.IntegerType())])
 
     def score(block):
         shared = spark.sparkContext.broadcast(
-            (block.column("q_id").combine_chunks(), _matrix(block.column("embedding"))))
-        run = _score_partition(shared, keys, vec_col, k, threshold, metric)
+            (block.column("q_id").combine_chunks(), _matrix(block.column("embedding")), block.column("_k").to_numpy()))
+        run = _score_partition(shared, keys, vec_col, threshold, metric)
         return vectors.select(*keys, vec_col).mapInArrow(run, schema), shared
 
-    asked = questions.select("q_id", "embedding")
-    count, scratch = questions.select("q_id").count(), None
+    own = F.greatest(F.coalesce("top_k", F.lit(k)), F.lit(0)) if "top_k" in questions.columns else F.lit(k)
+    asked = questions.select("q_id", "embedding", own.cast("int").alias("_k"))
+    per_id = asked.groupBy("q_id").agg(F.count("*").alias("n"), F.max("_k").alias("_k"))
+    count, copies, largest, rows = per_id.agg(
+        F.coalesce(F.sum("n"), F.lit(0)), F.max("n"), F.max("_k"), F.sum(F.col("_k").cast("long"))).first()
+    if (copies or 1) > 1:
+        raise ValueError("question ids are not unique")
+    scratch = None
     head = _head(asked) if count <= settings.BROADCAST_QUESTIONS else None
     if count == 0:
         hits, most = spark.createDataFrame([], schema), 0
     elif head is not None and _fits(head):
-        hits, most = score(head)[0], head.num_rows * k
+        hits, most = score(head)[0], rows
     else:
         scratch = Scratch(spark, "top-k")
         hits = _by_block(asked, count, score, schema, scratch)
     order = Window.partitionBy("q_id").orderBy(F.desc("score"), *keys)
-    ranked = hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    if "top_k" in questions.columns:
-        ranked = (ranked.join(questions.select("q_id", "top_k"), "q_id", "left")
-                  .where(F.col("rank") <= F.coalesce("top_k", F.lit(k))).drop("top_k"))
-    ranked = ranked.select("q_id", "rank", *keys, "score")
+    ranked = (hits.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= max(largest or k, 1))
+              .where(F.col("rank") <= F.col("_k")).select("q_id", "rank", *keys, "score"))
     if scratch is not None:
         ranked = scratch.write(ranked, "ranked")
         most = ranked.count()

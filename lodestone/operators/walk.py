@@ -24,8 +24,8 @@ def walk_links(starts: DataFrame, pages: DataFrame, links: DataFrame, rules: Dat
                min_chars: int = settings.MIN_PAGE_CHARS):
     """``(visited, skipped, errors)`` of one walk per row of ``starts`` (site, start_url).
 
-    ``pages``: ``url, content_length`` (and optionally ``error``), one row per URL; ``links``: ``src_url, pos,
-    dst_url``. A walk visits URLs of the start's domain first come, first served; a page that is missing,
+    ``pages``: ``url, content_length`` (and optionally ``error``); of a URL given more than once, the longest readable
+    row counts. ``links``: ``src_url, pos, dst_url``. Repeated starts count once; one site with several is refused. A walk visits URLs of the start's domain first come, first served; a page that is missing,
     forbidden or not HTML is an error, a page shorter than ``min_chars`` is skipped and not followed; the walk
     ends with its ``max_pages``-th accepted page, and links deeper than ``max_depth`` are skipped.
 
@@ -38,6 +38,11 @@ def walk_links(starts: DataFrame, pages: DataFrame, links: DataFrame, rules: Dat
     scratch = Scratch(starts.sparkSession, "walk")
     pages = pages.select("url", "content_length",
                          (F.col("error") if "error" in pages.columns else F.lit(None).cast("string")).alias("bad"))
+    row = F.struct(F.col("bad").isNull().alias("good"), "content_length", "bad")
+    pages = pages.groupBy("url").agg(F.max(row).alias("row")).select("url", "row.content_length", "row.bad")
+    starts = starts.select("site", "start_url").distinct()
+    if not starts.groupBy("site").count().where("count > 1").isEmpty():
+        raise ValueError("a site has more than one start")
     if rules is not None:
         lengths, first = rule_tables(rules)
         rules = scratch.write_small(lengths, "rule-lengths"), scratch.write_small(first, "rules")

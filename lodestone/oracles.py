@@ -5,7 +5,7 @@ from __future__ import annotations
 from lodestone import settings
 from lodestone.functions.answers import PROMPT
 from lodestone.functions.text import WHITESPACE
-from lodestone.queries import LINK_STEPS, WALK_DEPTH, WALK_PAGES, WALK_SHALLOW
+from lodestone.queries import LINK_STEPS
 
 
 def _text(value: str) -> str:
@@ -326,6 +326,12 @@ SELECT count(*) AS vector_count, (SELECT count(*) FROM documents WHERE NOT ({_GO
     "vector_topk": f"SELECT q_id, rank, vec_id, score FROM ({_RANKED_VECTORS}) WHERE rank <= 5",
     "vector_topk_threshold": f"""SELECT q_id, rank, vec_id, score FROM ({_RANKED_VECTORS})
 WHERE score >= 0.3 AND rank <= 1 + q_id % 5""",
+    "vector_topk_each": f"SELECT q_id, rank, vec_id, score FROM ({_RANKED_VECTORS}) WHERE rank <= 1 + q_id % 20",
+    "vector_topk_edges": f"""SELECT q_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY rank) AS INTEGER) AS rank, vec_id, score
+FROM ({_RANKED_VECTORS}) WHERE q_id % 100 = 0 AND vec_id % 50 = 7""",
+    "unit_vectors": """SELECT vec_id, CAST(p - 1 AS INTEGER) AS pos, round(CAST(x / n AS FLOAT)::DOUBLE, 4) + 0.0 AS x FROM (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS p,
+    sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)""",
     "vector_best_score": """SELECT q.vec_id AS q_id, coalesce(max(score) FILTER (score >= 0.3), 0) AS top_similarity
 FROM (SELECT q.vec_id, round(list_inner_product(list_reverse(q.embedding::DOUBLE[]), v.embedding::DOUBLE[]), 6) AS score
   FROM embeddings q, embeddings v) q GROUP BY 1""",
@@ -351,16 +357,20 @@ FROM conversations""",
     "page_titles": f"""SELECT page_id,
   trim({_decoded("regexp_extract(html, '(?s)<title>(.*?)</title>', 1)")}, {_WS}) AS title FROM pages""",
     "page_text": f"WITH {_PAGE_TEXT} SELECT page_id, content, CAST(length(content) AS INTEGER) AS content_length FROM page_text",
+    "page_errors": f"""WITH {_PAGE_TEXT}, bad AS (SELECT page_id, page_id % 7 IN (1, 3)
+    OR page_id % 7 = 2 AND contains(html, '</body>') AS bad FROM pages)
+SELECT page_id, NOT bad AS readable, CASE WHEN NOT bad THEN CAST(length(content) AS BIGINT) ELSE -1 END AS chars
+FROM bad JOIN page_text USING (page_id)""",
     "links": f"""SELECT src_url, pos, dst_url FROM (
   SELECT src_url, pos, {_normalized('raw')} AS dst_url FROM ({_HREFS})) WHERE {_crawlable('dst_url')}""",
     "robots": f"WITH {_RULES} SELECT page_id, {_allowed('pages.url')} AS allowed FROM pages",
-    "walked_pages": _walk(True, False, WALK_PAGES, WALK_DEPTH) + """
+    "walked_pages": _walk(True, False, 50, 3) + """
 SELECT site, url, CAST(depth AS INTEGER) AS depth,
   CAST(row_number() OVER (PARTITION BY site ORDER BY depth, ord) AS INTEGER) AS visit_no
 FROM seen WHERE status = 'accepted'""",
-    "walk_stats": _walk(True, True, settings.MAX_PAGES, WALK_SHALLOW) + """
+    "walk_stats": _walk(True, True, 50, 3) + """
 SELECT site, page_count, CAST(skipped_count AS BIGINT) AS skipped_count, error_count FROM counts""",
-    "walk_summary": _walk(False, True, settings.MAX_PAGES, settings.MAX_DEPTH) + """
+    "walk_summary": _walk(False, True, 50, 3) + """
 SELECT site, page_count, CAST(skipped_count AS BIGINT) AS skipped_count, error_count, coalesce((
   SELECT string_agg(url, ' ' ORDER BY depth, ord) FROM seen v WHERE v.site = counts.site AND status = 'accepted'), '')
   AS urls FROM counts""",

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from lodestone import settings
 from lodestone.functions import answers as answer_fn, text as text_fn, urls as url_fn
-from lodestone.functions.vectors import hash_tokens
+from lodestone.functions.vectors import hash_tokens, l2_normalize
 from lodestone.operators import context as context_op
 from lodestone.operators.chunking import chunk_docs, chunk_id, chunk_stats
 from lodestone.operators.html import extract_pages, page_links
@@ -25,9 +25,6 @@ from lodestone.sources.pages import as_questions, read_pages, spread
 from lodestone.streaming.ingest import ingest_stream, read_ingested
 
 LINK_STEPS = (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 1)
-WALK_PAGES = 5
-WALK_DEPTH = 3
-WALK_SHALLOW = 1
 
 
 def _table(spark, sf_dir, name) -> DataFrame:
@@ -186,6 +183,27 @@ def vector_topk_threshold(spark, sf_dir):
     return top_k_join(asked, _vectors(spark, sf_dir), keys=["vec_id"])
 
 
+def vector_topk_each(spark, sf_dir):
+    """Questions that ask for one to twenty hits each."""
+    asked = _vector_questions(spark, sf_dir).withColumn("top_k", F.expr("1 + int(q_id % 20)"))
+    return top_k_join(asked, _vectors(spark, sf_dir), threshold=None, keys=["vec_id"])
+
+
+def vector_topk_edges(spark, sf_dir):
+    """More hits asked for than there are vectors: all of them, ranked; and nothing to search at all."""
+    asked = _vector_questions(spark, sf_dir).where("q_id % 100 = 0")
+    few = _vectors(spark, sf_dir).where("vec_id % 50 = 7")
+    every = top_k_join(asked, few, k=1000, threshold=None, keys=["vec_id"])
+    return every.unionByName(top_k_join(asked, few.limit(0), threshold=None, keys=["vec_id"]))
+
+
+def unit_vectors(spark, sf_dir):
+    """Vectors scaled to unit length, every component."""
+    unit = l2_normalize(F.transform("embedding", lambda x: x * 3))
+    return _vectors(spark, sf_dir).select("vec_id", F.posexplode(unit).alias("pos", "x")).select(
+        "vec_id", "pos", (F.round(F.col("x").cast("double"), 4) + 0.0).alias("x"))
+
+
 def vector_best_score(spark, sf_dir):
     """Reversed vectors as questions, so that some find nothing above the threshold."""
     asked = _vector_questions(spark, sf_dir).withColumn("embedding", F.reverse("embedding"))
@@ -289,6 +307,21 @@ def page_text(spark, sf_dir):
     return _extracted(spark, sf_dir).select("page_id", "content", F.length("content").alias("content_length"))
 
 
+def _broken(spark, sf_dir):
+    """The pages with a content type; of every seven one has a malformed declaration, one a bad link, one is no HTML."""
+    kind = F.col("page_id") % 7
+    html = (F.when(kind == 1, F.concat("html", F.lit("<![foo[bar]]>")))
+            .when(kind == 2, F.replace("html", F.lit("</body>"), F.lit("<a href='http://[bad'>x</a></body>"))).otherwise(F.col("html")))
+    return _pages(spark, sf_dir).withColumns({
+        "html": html, "content_type": F.when(kind == 3, "application/pdf").otherwise("Text/HTML; charset=utf-8")})
+
+
+def page_errors(spark, sf_dir):
+    """Pages that cannot be read: one error row each, all others as they are."""
+    rows = extract_pages(spread(_broken(spark, sf_dir)))
+    return rows.select("page_id", F.col("error").isNull().alias("readable"), F.coalesce(F.length("content").cast("long"), F.lit(-1)).cast("long").alias("chars"))
+
+
 def links(spark, sf_dir):
     """Links with menus kept: in the test pages every link sits in a menu."""
     return page_links(_extracted(spark, sf_dir, removed_tags=("script", "style")))
@@ -348,15 +381,15 @@ def _one_per_page(pages):
 
 
 def walked_pages(spark, sf_dir):
-    """One short walk from every page."""
-    visited, _, _ = _walk(spark, sf_dir, _one_per_page, False, WALK_PAGES, WALK_DEPTH)
+    """One walk from every page."""
+    visited, _, _ = _walk(spark, sf_dir, _one_per_page, False, settings.MAX_PAGES, settings.MAX_DEPTH)
     order = Window.partitionBy("site").orderBy("depth", "ord")
     return visited.select("site", "url", "depth", F.row_number().over(order).alias("visit_no"))
 
 
 def walk_stats(spark, sf_dir):
-    """One walk from every page, limited by depth, under the site rules."""
-    return crawl_stats(*_walk(spark, sf_dir, _one_per_page, True, settings.MAX_PAGES, WALK_SHALLOW))
+    """One walk from every page, under the site rules."""
+    return crawl_stats(*_walk(spark, sf_dir, _one_per_page, True, settings.MAX_PAGES, settings.MAX_DEPTH))
 
 
 def walk_summary(spark, sf_dir):
@@ -385,8 +418,8 @@ QUERIES = {f.__name__: f for f in (
     url_domain, url_normalize, doc_key, same_site, site_sizes,
     clean_text, clean_boilerplate, snippets, short_docs, doc_error_digest, doc_stats, latest_docs,
     chunks, chunks_small, chunk_offsets, chunk_totals, hash_embed, index_info, index_counts,
-    vector_topk, vector_topk_threshold, vector_best_score, retrieved, retrieved_turns,
+    vector_topk, vector_topk_threshold, vector_topk_each, vector_topk_edges, unit_vectors, vector_best_score, retrieved, retrieved_turns,
     context, sources, prompts, answers, answers_strict, unsafe_flags, refusals, turn_answers,
-    page_titles, page_text, links, robots, walked_pages, walk_stats, walk_summary,
+    page_titles, page_text, page_errors, links, robots, walked_pages, walk_stats, walk_summary,
     streamed_chunks,
 )}
