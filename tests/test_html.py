@@ -95,3 +95,10 @@ def test_content_type(spark):
 def test_many_unclosed_tags_are_linear(spark):
     html = "<body>" + "<p><i>x</b>" * 50_000
     assert len(extract(spark, html)["content"]) == 50_000
+
+
+def test_a_page_that_cannot_be_read_is_one_error_row(spark):
+    rows = [("https://a.com/1", "<p>fine</p>"), ("https://a.com/2", "<p>x</p><![foo[bar]]>"), ("https://a.com/3", "<a href='http://[x'>y</a>")]
+    got = {r["url"]: r for r in extract_pages(spark.createDataFrame(rows, "url string, html string")).collect()}
+    assert [got[u]["error"] is None for u, _ in rows] == [True, False, False]
+    assert got["https://a.com/1"]["content"] == "fine" and got["https://a.com/2"]["content"] is None

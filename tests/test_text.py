@@ -9,7 +9,10 @@ def one(spark, column, value):
 
 
 @pytest.mark.parametrize("value, expected", [
-    ("  This   has    extra    spaces   and\n\nnewlines  ", "This has extra spaces and newlines"),
+    ("\tslate \u00a0 and\r\n  chalk\n", "slate and chalk"),
+    ("a Sub\u017fcribe to all of the Newsletter b", "a  b"),
+    ("a Coo\u212aie Policy x Accept b", "a  b"),
+    ("a Pr\u0131vacy Policy x Terms b", "a  b"),
     ("Home page of x", "page of x"),
     ("home", ""),
     (" Home page", "Home page"),

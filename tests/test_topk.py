@@ -147,3 +147,16 @@ def test_copies_cost_no_more_than_others():
 
     vectors = np.array([[1, 2], [3, 4], [1, 2], [1, 2], [3, 4], [1, 2]], dtype=np.float32)
     assert _first_copies(vectors, 2).tolist() == [True, True, True, False, True, False]
+
+
+def test_each_question_has_its_own_k_and_ids_are_unique(spark):
+    rows = [(i, [float(i % 7 + 1), float(i % 5 - 2)]) for i in range(60)]
+    vectors = spark.createDataFrame(rows, "doc_key int, embedding array<float>").repartition(3)
+    asked = spark.createDataFrame([(q, v, k) for (q, v), k in zip(rows, [None, 0, 1, 20, 100] * 12)],
+                                  "q_id int, embedding array<float>, top_k int")
+    got = top_k_join(asked, vectors, threshold=None, keys=["doc_key"]).collect()
+    assert {q: sum(r["q_id"] == q for r in got) for q in range(5)} == {0: 5, 1: 0, 2: 1, 3: 20, 4: 60}
+    best = sorted(rows, key=lambda v: (-round(sum(a * b for a, b in zip(v[1], rows[3][1])), 6), v[0]))[:20]
+    assert [r["doc_key"] for r in sorted(got, key=lambda r: r["rank"]) if r["q_id"] == 3] == [i for i, _ in best]
+    with pytest.raises(ValueError):
+        top_k_join(asked.unionByName(asked.limit(1)), vectors, keys=["doc_key"])

@@ -1,7 +1,6 @@
-"""The set-based walk against a plain queue, one site at a time."""
+"""The set-based walk against the definition of its order, one site at a time."""
 
 import random
-from collections import deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -19,27 +18,34 @@ def host(url):
     return name[4:] if name.startswith("www.") else name
 
 
-def queue_walk(start, pages, links, blocked, max_pages, max_depth):
-    visited, accepted, skipped, errors = set(), [], [], []
-    todo = deque([(start, 0)])
-    while todo and len(accepted) < max_pages:
-        url, depth = todo.popleft()
-        if url in visited:
-            continue
-        if depth > max_depth:
-            skipped.append((url, "too_deep"))
-            continue
-        visited.add(url)
-        if url in blocked:
-            errors.append((url, "robots"))
-        elif url not in pages:
-            errors.append((url, "missing"))
-        elif pages[url] < 100:
-            skipped.append((url, "short"))
-        else:
-            accepted.append((url, depth))
-            todo.extend((u, depth + 1) for u in links.get(url, ()) if u not in visited and host(u) == host(start))
-    return accepted, skipped, errors
+def listed_walk(start, pages, links, blocked, max_pages, max_depth):
+    """The walk from its definition: every chain of links through readable pages, shortest first and then by the places
+    of its links; the first chain to a URL is its visit, and the visit of the last page of the budget ends the list."""
+    def readable(url):
+        return url not in blocked and pages.get(url, 0) >= 100
+
+    chains = {0: [((), start)]}
+    first = {start: ()}
+    for depth in range(1, max_depth + 2):
+        chains[depth] = []
+        for place, url in chains[depth - 1]:
+            if readable(url) and first[url] == place:
+                chains[depth] += [(place + (i,), u) for i, u in enumerate(links.get(url, ())) if host(u) == host(start)]
+        chains[depth].sort()
+        for place, url in chains[depth]:
+            if depth <= max_depth:
+                first.setdefault(url, place)
+    visits = sorted(((len(p), p, u) for u, p in first.items()))
+    good = [i for i, (_, _, u) in enumerate(visits) if readable(u)]
+    over = len(good) >= max_pages
+    if over:
+        visits = visits[:good[max_pages - 1] + 1]
+    met = {u for _, _, u in visits}
+    deep = [] if over else [(u, "too_deep") for _, u in chains[max_depth + 1] if u not in met]
+    accepted = [(u, d) for d, _, u in visits if readable(u)]
+    bad = [(u, "robots" if u in blocked else "missing") for _, _, u in visits if u in blocked or u not in pages]
+    short = [(u, "short") for _, _, u in visits if u not in blocked and u in pages and pages[u] < 100]
+    return accepted, short + deep, bad
 
 
 def random_web(seed, n=60):
@@ -86,7 +92,7 @@ def test_equals_a_queue(spark, seed, max_pages, max_depth):
     stats = {r["site"]: r for r in crawl_stats(*result).collect()}
     summary = {r["site"]: r for r in crawl_summary(*result).collect()}
     for site, start in starts:
-        want = queue_walk(start, pages, links, blocked, max_pages, max_depth)
+        want = listed_walk(start, pages, links, blocked, max_pages, max_depth)
         assert [(r["url"], r["depth"]) for r in visited if r["site"] == site] == want[0]
         assert sorted((r["url"], r["reason"]) for r in skipped if r["site"] == site) == sorted(want[1])
         assert sorted((r["url"], r["reason"]) for r in errors if r["site"] == site) == sorted(want[2])
@@ -163,3 +169,17 @@ def test_no_collect_in_plan(spark):
     links = spark.createDataFrame([], "src_url string, pos int, dst_url string")
     visited, _, _ = walk_links(starts, pages, links)
     assert visited.inputFiles() and visited.select(F.count("*")).first()[0] == 1
+
+
+def test_repeated_urls_and_starts(spark):
+    pages = spark.createDataFrame(
+        [("https://a.com/1", "<p>" + "old words here " * 9, 1), ("https://a.com/1", "<p>" + "new words here " * 9 + "<a href='/2'>x</a>", 2),
+         ("https://a.com/2", "<p>" + "other words " * 12, 1), ("https://a.com/2", "<p>" + "other words " * 12, 1)],
+        "url string, html string, ts int")
+    starts = spark.createDataFrame([("s", "https://a.com/1")] * 2, "site string, start_url string")
+    docs, visited, _, errors = crawl(starts, pages, max_pages=3)
+    assert sorted(r["url"] for r in visited.collect()) == ["https://a.com/1", "https://a.com/2"] and errors.count() == 0
+    rows = docs.collect()
+    assert len(rows) == 2 and not any("old" in r["content"] for r in rows)
+    with pytest.raises(ValueError):
+        crawl(starts.unionByName(spark.createDataFrame([("s", "https://a.com/2")], starts.schema)), pages)
