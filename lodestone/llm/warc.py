@@ -74,7 +74,9 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
     joined = joined.withColumns({"again": again, "base": F.uuid()})
     uid = lambda tag: F.concat(F.lit("<urn:uuid:"), F.regexp_replace(F.md5(F.concat("base", F.lit(tag))),
                                "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
-    common = [("WARC-Date", F.lit(date)), ("WARC-Target-URI", F.col("url")), ("X-Page-ID", F.col("key").cast("string"))]
+    dated = [("WARC-Date", F.lit(date))]
+    target = [*dated, ("WARC-Target-URI", F.col("url"))]
+    common = [*target, ("X-Page-ID", F.col("key").cast("string"))]
     digest = ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest"))
     head = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
                     F.col("size").cast("string"), F.lit(END))
@@ -84,10 +86,10 @@ def write_warc(pages: DataFrame, path: str, key: str = "page_id", url: str = "ur
         ("X-Refers-To-Page-ID", F.col("first").cast("string"))], head)).otherwise(
         _record(F.lit("response"), uid("response"), [*common, digest, http], F.concat(head, F.col("body"))))
     request = _record(F.lit("request"), uid("request"), [
-        *common, ("WARC-Concurrent-To", uid("response")), ("Content-Type", F.lit("application/http; msgtype=request"))],
+        *target, ("WARC-Concurrent-To", uid("response")), ("Content-Type", F.lit("application/http; msgtype=request"))],
         F.concat(F.lit("GET "), F.coalesce("url", F.lit("/")), F.lit(f" HTTP/1.1{END}")))
     metadata = _record(F.lit("metadata"), uid("metadata"), [
-        *common, ("WARC-Concurrent-To", uid("response")), ("Content-Type", F.lit("application/warc-fields"))],
+        *dated, ("WARC-Concurrent-To", uid("response")), ("Content-Type", F.lit("application/warc-fields"))],
         F.concat(F.lit("payloadBytes: "), F.col("size").cast("string"), F.lit("\r\n")))
     (joined.select(F.explode(F.array(request, response, metadata)).alias("value")).write.mode("errorifexists")
      .option("lineSep", END).option("maxRecordsPerFile", 3 * each).text(path))
