@@ -25,12 +25,27 @@ def checkpoint_root(spark: SparkSession) -> str:
 
 
 class Scratch:
-    """One run's private folder of written tables. Lost executors re-read files instead of recomputing."""
+    """One run's private folder of written tables. Lost executors re-read files instead of recomputing.
+
+    Results are lazy, so the folder outlives the call that made it; ``drop`` it once the result is consumed, or use the
+    object in a ``with`` block around the action.
+    """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
 
+    def __enter__(self):
+        return self
+
+    def __exit__(self, *_):
+        self.drop()
+
+    def drop(self) -> None:
+        """Delete the folder, on whatever storage it lies."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         target = f"{self.path}/{name}"
         writer = df.write.mode("overwrite")

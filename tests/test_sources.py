@@ -1,4 +1,5 @@
 import json
+import os
 
 import pytest
 
@@ -169,3 +170,10 @@ def test_scratch_is_broadcast_only_when_small(spark):
     small = spark.range(3).join(folder.write_small(spark.range(3), "a", 5), "id")
     assert "BroadcastHashJoin" in small._jdf.queryExecution().executedPlan().toString()
     assert folder.write_small(spark.range(9), "b", 5)._jdf.queryExecution().logical().toString().find("hint") < 0
+
+
+def test_scratch_folder_goes_with_its_block(spark):
+    from lodestone.plans.scratch import Scratch
+    with Scratch(spark, "gone") as scratch:
+        assert scratch.write(spark.range(3), "t").count() == 3 and os.path.exists(scratch.path.removeprefix("file:"))
+    assert not os.path.exists(scratch.path.removeprefix("file:"))
