@@ -39,6 +39,18 @@ SYLLABLES = {"latin": "ba den fal gor hel kim lan mor nes pol rin sten tal ver w
 ALPHABETS = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "àáâäçèéêëíîïñóôöùúûü",
              "ÀÁÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ", "абвгдежзиклмнопрстуфхцчшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦЧШЭЮЯ",
              "αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ")
+# Signs for letters and digits outside the alphabets, by the first class that has them; the last two have all others.
+OTHERS = ((r"\p{IsHan}", "安白北长成大东方高光广海和华江金京来林明南平青清山石水天文西小新星阳永友雨元云中"),
+          (r"\p{IsHiragana}", "あいうえおかきくけこさしすせそたちつてとなにぬねのはひふへほまみむめもやゆよらりるれろわ"),
+          (r"\p{IsKatakana}", "アイウエオカキクケコサシスセソタチツテトナニヌネノハヒフヘホマミムメモヤユヨラリルレロワ"),
+          (r"\p{IsHangul}", "가나다라마바사아자차카타파하고노도로모보소오조초코토포호구누두루무부수우주추"),
+          (r"[\p{IsArabic}&&\p{L}]", "ابتثجحخدذرزسشصضطظعغفقكلمنهوي"), (r"[\p{IsHebrew}&&\p{L}]", "אבגדהוזחטיכלמנסעפצקרשת"),
+          (r"[\p{IsDevanagari}&&\p{L}]", "अआइईउऊकखगघचछजझटठडढतथदधनपफबभमयरलवशषसह"),
+          (r"[\p{IsThai}&&\p{L}]", "กขคงจฉชซญดตถทธนบปผฝพฟภมยรลวสหอ"),
+          (r"[\p{IsCyrillic}&&\p{Lu}]", ALPHABETS[6]), (r"[\p{IsCyrillic}&&\p{L}]", ALPHABETS[5]),
+          (r"[\p{IsGreek}&&\p{Lu}]", ALPHABETS[8]), (r"[\p{IsGreek}&&\p{L}]", ALPHABETS[7]),
+          (r"[\p{IsLatin}&&\p{Lu}]", ALPHABETS[4]), (r"[\p{IsLatin}&&\p{L}]", ALPHABETS[3]),
+          (r"\p{N}", ALPHABETS[0]), (r"\p{L}", ALPHABETS[1]))
 
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
@@ -74,17 +86,20 @@ def _pick(values: str | list[str], byte: Column) -> Column:
     return F.get(F.array(*[F.lit(v) for v in values]), byte % len(values))
 
 
-def _like(char: Column, byte: Column) -> Column:
-    """A character of the same kind: digit, or letter of the same script and case; anything else stays."""
+def _like(char: Column, byte: Column, wide: bool) -> Column:
+    """A character of the same kind: digit, or letter of the same script and case. A letter of a script without signs here
+    becomes a Latin one; what is neither letter nor digit stays."""
     out = F.when(F.lit(False), char)
     for letters in ALPHABETS:
         out = out.when(F.instr(F.lit(letters), char) > 0, _pick(letters, byte))
+    for sort, letters in OTHERS if wide else ():
+        out = out.when(char.rlike(sort), _pick(letters, byte))
     return out.otherwise(char)
 
 
-def _alike(text: Column, digest: Column) -> Column:
-    """A text of the same form; a leading digit other than 0 stays other than 0."""
-    out = F.array_join(F.transform(_chars(text), lambda c, i: _like(c, _byte(digest, i))), "")
+def _alike(text: Column, digest: Column, wide: bool = False) -> Column:
+    """A text of the same form; a leading digit other than 0 stays other than 0. ``wide`` if it may have other than ASCII."""
+    out = F.array_join(F.transform(_chars(text), lambda c, i: _like(c, _byte(digest, i), wide)), "")
     return F.when(text.rlike("^[1-9]") & out.startswith("0"), F.concat(F.lit("7"), F.substring(out, 2, 1 << 20))).otherwise(out)
 
 
@@ -132,7 +147,7 @@ def surrogate_of(kind: Column, normal: Column, attempt: Column, key: str) -> Col
     local, domain = F.substring_index(normal, "@", 1), F.substring_index(normal, "@", -1)
     ending = F.substring_index(domain, ".", -1)
     site = F.substring(domain, F.lit(1), F.length(domain) - F.length(ending) - 1)
-    email = F.concat(_alike(local, own), F.lit("@"), _alike(site, F.sha2(F.concat_ws("|", F.lit(key), F.lit("site"), domain), 512)),
+    email = F.concat(_alike(local, own, wide=True), F.lit("@"), _alike(site, F.sha2(F.concat_ws("|", F.lit(key), F.lit("site"), domain), 512)),
                      F.lit("."), ending)
     octets = F.transform(F.split(normal, r"\."), lambda _, i: (1 + _byte(own, i) % 254).cast("string"))
     digits = _alike(normal, own)
@@ -175,7 +190,8 @@ def render(kind: Column, raw: Column, normal: Column) -> Column:
 def _found(text: Column) -> Column:
     """``raw, kind, normal`` of the entities of a text, in order."""
     titled = reduce(lambda a, b: a | b, [text.contains(t) for ts in TITLES.values() for t in ts])
-    raw = F.when(text.rlike("[0-9]{3}|@") | titled, F.regexp_extract_all(text, F.lit(f"({_ENTITY})"), 1)).otherwise(
+    # every pattern needs a digit, an at sign, a title or a secret's 32 hex digits, which may all be letters
+    raw = F.when(text.rlike("[0-9@]|[a-f]{32}|[A-F]{32}") | titled, F.regexp_extract_all(text, F.lit(f"({_ENTITY})"), 1)).otherwise(
         F.array().cast("array<string>"))
     kinds = F.transform(raw, lambda r: F.struct(r.alias("raw"), kind_of(r).alias("kind")))
     return F.transform(kinds, lambda e: F.struct(e["raw"].alias("raw"), e["kind"].alias("kind"),

@@ -1,6 +1,7 @@
 import re
 
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm.pii import KINDS, rekeyed, with_surrogates
 from lodestone.llm.queries import QUERIES
@@ -52,6 +53,25 @@ def test_nothing_to_replace(spark):
     assert with_surrogates(docs.limit(0)).count() == 0
 
 
+def test_an_entity_alone_in_its_text(spark):
+    want = {"10.0.0.1": "ip", "8.8.8.8": "ip", "+49 30 12 34 56 78": "phone", "+1 20 30": "phone", "abcdefab" * 4: "secret",
+            "ABCDEFAB" * 5: "secret", "a1" * 16: "secret", "DE89 AB1C DE2F GH3J": "iban", "x@y.org": "email", "Frau Weber": "name"}
+    docs = spark.createDataFrame([(raw, f"see {raw} there") for raw in want], "raw string, text string")
+    for r in with_surrogates(docs).collect():
+        assert [(e["raw"], e["kind"]) for e in r["pii"]] == [(r["raw"], want[r["raw"]])] and r["raw"] not in r["text"]
+
+
+def test_letters_of_mail_locals_in_any_script(spark):
+    forms = {"王小明李四张三": r"\p{IsHan}{7}", "محمودعلي": r"\p{IsArabic}{8}", "łąćżźśęń": r"[\p{IsLatin}&&\p{Ll}]{8}",
+             "ŁĄĆŻŹŚĘŃ": r"[\p{IsLatin}&&\p{Lu}]{8}", "řžščěďťň": r"[\p{IsLatin}&&\p{Ll}]{8}", "йъыьёіїє": r"[\p{IsCyrillic}&&\p{Ll}]{8}",
+             "άέήίόύώς": r"[\p{IsGreek}&&\p{Ll}]{8}", "გიორგიაბ": r"\p{L}{8}", "١٢٣٤٥٦٧٨": "[0-9]{8}", "あいうえおかき": r"\p{IsHiragana}{7}"}
+    docs = spark.createDataFrame([(k, f"to {k}@mail.example.org now", f"^to {v}@[a-z]{{4}}\\.[a-z]{{7}}\\.org now$") for k, v in forms.items()],
+                                 "local string, text string, form string")
+    for r in with_surrogates(docs).withColumn("fits", F.expr("text rlike form")).collect():
+        got = r["text"].split()[1].split("@")[0]
+        assert r["fits"] and sum(a == b for a, b in zip(r["local"], got, strict=True)) <= 2  # a letter may be drawn for itself
+
+
 def test_crowded_types_stay_distinct(spark):
     names = [(i, f"Mr. N{chr(97 + i // 26 % 26)}{chr(97 + i % 26)} met", ) for i in range(400)]
     phones = [(1000 + i, f"call 555-{i % 1000:03d}-{7 * i % 10000:04d}, 555.{i % 1000:03d}.{7 * i % 10000:04d}") for i in range(3000)]
