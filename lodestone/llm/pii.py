@@ -6,8 +6,10 @@ of a titled name are kept as well. An entity has one surrogate wherever and in w
 parts are mapped part by part, so mentions still refer to the same person.
 
 Distinctness is checked over the whole corpus: the table of distinct entities is grouped by surrogate, and all but one of
-those that meet, or that meet a real entity, are keyed anew until none is left. Texts are never shuffled for that. The few
-entities that had to be keyed anew are joined back by a key of the text; all others are mapped in place.
+those that meet, or that meet a real entity, are keyed anew until none is left. A family name is settled once, for all who
+bear it, and a given name among the bearers of its family name. Each new keying of a name makes it longer, and later ones
+lengthen mail locals and phones, so these never run out. Texts are never shuffled for that. The few entities that had to be keyed
+anew are joined back by a key of the text; all others are mapped in place.
 """
 
 from __future__ import annotations
@@ -21,6 +23,7 @@ from lodestone.plans.scratch import Scratch
 
 KEY = "change-me"    # the secret of the surrogates; the same key gives the same surrogates
 ATTEMPTS = 40        # keyings tried for an entity before its type counts as exhausted
+SAME_LENGTH = 2      # keyings anew after which mail locals and phones grow by a sign each time
 
 # Titles by gender and script, and the names given in their place.
 TITLES = {"m": ("Mr", "Mister", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Κύριος"),
@@ -140,31 +143,56 @@ def normal_of(kind: Column, raw: Column) -> Column:
             .otherwise(digits))
 
 
+def _digest(key: str, attempt: Column, *parts: Column) -> Column:
+    return F.sha2(F.concat_ws("|", F.lit(key), *parts, attempt.cast("string")), 512)
+
+
+def _syllables(script: str, digest: Column, n: Column) -> Column:
+    return F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: _pick(SYLLABLES[script], _byte(digest, i))), ""))
+
+
+def parts_of(normal: Column) -> tuple[Column, Column, Column]:
+    """Gender, given name and family name of a name's normal form. A single name is a family name."""
+    bare = F.substring(normal, 3, 1 << 20)
+    return F.substring(normal, 1, 1), F.substring_index(bare, " ", 1), F.substring_index(bare, " ", -1)
+
+
+def family_of(last: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of a family name, a syllable longer with each attempt."""
+    digest = _digest(key, attempt, F.lit("last"), last)
+    return _by_script(last, lambda s: _syllables(s, digest, 4 + attempt))
+
+
+def given_of(gender: Column, first: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of a given name: one of the list, from the first new keying on with a second part that grows."""
+    digest = _digest(key, attempt, F.lit("first"), gender, first)
+    male = F.when(gender == "?", _byte(digest, F.lit(9)) % 2 == 0).otherwise(gender == "m")
+    listed = lambda s: F.when(male, _pick(NAMES[s, "m"], _byte(digest, F.lit(0)))).otherwise(
+        _pick(NAMES[s, "f"], _byte(digest, F.lit(0))))
+    return _by_script(first, lambda s: F.when(attempt > 0, F.concat(listed(s), F.lit("-"), _syllables(
+        s, F.sha2(digest, 512), 1 + attempt))).otherwise(listed(s)))
+
+
 def surrogate_of(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a normal form, itself a normal form."""
-    digest = lambda *parts: F.sha2(F.concat_ws("|", F.lit(key), *parts, attempt.cast("string")), 512)
-    own = digest(kind, normal)
+    own = _digest(key, attempt, kind, normal)
+    more = F.greatest(attempt - SAME_LENGTH, F.lit(0))
     local, domain = F.substring_index(normal, "@", 1), F.substring_index(normal, "@", -1)
     ending = F.substring_index(domain, ".", -1)
     site = F.substring(domain, F.lit(1), F.length(domain) - F.length(ending) - 1)
-    email = F.concat(_alike(local, own, wide=True), F.lit("@"), _alike(site, F.sha2(F.concat_ws("|", F.lit(key), F.lit("site"), domain), 512)),
+    email = F.concat(_alike(F.concat(local, F.repeat(F.lit("a"), more)), own, wide=True), F.lit("@"), _alike(site, F.sha2(F.concat_ws("|", F.lit(key), F.lit("site"), domain), 512)),
                      F.lit("."), ending)
     octets = F.transform(F.split(normal, r"\."), lambda _, i: (1 + _byte(own, i) % 254).cast("string"))
     digits = _alike(normal, own)
     residue = (F.substring(digits, -1, 1).cast("int") + _luhn(normal) - _luhn(digits) + 10) % 10
     card = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), residue.cast("string"))
     iban = F.concat(F.substring(normal, 1, 2), _alike(F.substring(normal, 3, 64), own))
-    gender, bare = F.substring(normal, 1, 1), F.substring(normal, 3, 1 << 20)
-    first, last = F.substring_index(bare, " ", 1), F.substring_index(bare, " ", -1)
-    h1 = digest(F.lit("first"), gender, first)
-    h2 = digest(F.lit("last"), last)
-    given = _by_script(first, lambda s: F.when(
-        F.when(gender == "?", _byte(h1, F.lit(9)) % 2 == 0).otherwise(gender == "m"), _pick(NAMES[s, "m"], _byte(h1, F.lit(0))))
-        .otherwise(_pick(NAMES[s, "f"], _byte(h1, F.lit(0)))))
-    family = _by_script(last, lambda s: F.initcap(F.concat(*[_pick(SYLLABLES[s], _byte(h2, F.lit(i))) for i in range(4)])))
-    name = F.concat(gender, F.lit(":"), F.when(bare.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family))
+    gender, first, last = parts_of(normal)
+    family = family_of(last, attempt, key)
+    name = F.concat(gender, F.lit(":"), F.when(normal.contains(" "), F.concat(
+        given_of(gender, first, attempt, key), F.lit(" "), family)).otherwise(family))
     code = F.substring_index(normal, ":", 1)
-    phone = F.concat(code, F.lit(":"), _alike(F.substring_index(normal, ":", -1), own))
+    phone = F.concat(code, F.lit(":"), _alike(F.concat(F.substring_index(normal, ":", -1), F.repeat(F.lit("0"), more)), own))
     return (F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", card)
             .when(kind == "secret", F.substring(own, F.lit(1), F.length(normal))).when(kind == "phone", phone)
             .when(kind == "iban", iban).when(kind == "name", name).otherwise(digits))
@@ -176,13 +204,18 @@ def render(kind: Column, raw: Column, normal: Column) -> Column:
     signs = F.when(kind == "phone", F.regexp_replace(normal, "[^0-9]", "")).otherwise(normal)
     filled = lambda keep: F.array_join(F.transform(_chars(raw), lambda c, i: F.when(
         c.rlike(f"[{keep}]"), F.substring(signs, before(i, keep) + 1, F.lit(1))).otherwise(c)), "")
-    cased = F.array_join(F.transform(_chars(raw), lambda c, i: F.when(
-        c != F.lower(c), F.upper(F.substring(normal, i + 1, F.lit(1)))).otherwise(F.substring(normal, i + 1, F.lit(1)))), "")
+    # a mail's local part may have grown: signs added before the at sign stay small, those after it follow the entity again
+    head, more = F.instr(raw, "@") - 1, F.length(normal) - F.length(raw)
+    model = lambda i: F.when(i < head, F.substring(raw, i + 1, F.lit(1))).when(i < head + more, "").otherwise(
+        F.substring(raw, i + 1 - more, F.lit(1)))
+    cased = F.array_join(F.transform(_chars(normal), lambda c, i: F.when(model(i) != F.lower(model(i)), F.upper(c)).otherwise(c)), "")
+    grown = F.concat(filled("0-9"), F.substring(signs, 1 + F.length(F.regexp_replace(raw, "[^0-9]", "")), F.lit(1 << 20)))
     capital = (raw == F.upper(raw)) & (raw != F.lower(raw))
     title = F.regexp_extract(raw, rf"^((?:{_TITLE})\.? )", 1)
     return (F.when(kind.isin("email", "secret"), F.when(raw == F.lower(raw), normal).when(capital, F.upper(normal)).otherwise(cased)).when(kind == "ip", normal)
             .when(kind == "iban", filled("A-Z0-9"))
-            .when(kind == "name", F.concat(title, F.substring(normal, 3, 1 << 20))).otherwise(filled("0-9")))
+            .when(kind == "name", F.concat(title, F.substring(normal, 3, 1 << 20)))
+            .when(kind == "phone", grown).otherwise(filled("0-9")))
 
 
 # --- whole tables -----------------------------------------------------------
@@ -199,22 +232,39 @@ def _found(text: Column) -> Column:
 
 
 def rekeyed(entities: DataFrame, key: str, scratch: Scratch, attempts: int = ATTEMPTS) -> DataFrame:
-    """``kind, normal, surrogate`` of those distinct entities whose first surrogate would meet another or a real one."""
-    plain = lambda c: F.when(F.col("kind") == "name", F.substring(c, 3, 1 << 20)).otherwise(F.col(c))
-    give = lambda df: df.withColumn("surrogate", surrogate_of(
-        F.col("kind"), F.col("normal"), F.col("attempt"), key))
-    table = scratch.write(give(entities.select("kind", "normal", F.lit(0).alias("attempt"))), "attempt-0")
-    real = entities.select("kind", plain("normal").alias("shown")).distinct()
+    """``kind, normal, surrogate`` of those distinct entities whose first surrogate would meet another or a real one.
+
+    Names are settled in parts: as kind ``family`` the family names, as kind ``given`` names with a given one, which must
+    only differ from others of the same family name. No family name's surrogate is a real one, so no whole name is.
+    """
+    normal, names = F.col("normal"), entities.filter("kind = 'name'")
+    gender, first, last = parts_of(normal)
+    settled = (entities.filter("kind <> 'name'").select("kind", "normal")
+               .unionByName(names.select(F.lit("family").alias("kind"), last.alias("normal")).distinct())
+               .unionByName(names.filter(normal.contains(" ")).select(F.lit("given").alias("kind"), "normal")))
+    give = lambda df: df.withColumn("surrogate", F.when(F.col("kind") == "family", family_of(
+        normal, F.col("attempt"), key)).when(F.col("kind") == "given", given_of(gender, first, F.col("attempt"), key)).otherwise(
+        surrogate_of(F.col("kind"), normal, F.col("attempt"), key)))
+    table = scratch.write(give(settled.select("kind", "normal", F.lit(0).alias("attempt"))), "attempt-0")
+    real = table.filter("kind <> 'given'").select("kind", normal.alias("shown"))
     for turn in range(1, attempts + 1):
-        shown = table.withColumn("shown", plain("surrogate"))
+        shown = table.withColumn("shown", F.when(F.col("kind") == "given", F.concat("surrogate", F.lit(" "), last)).otherwise(
+            F.col("surrogate")))
         # an entity that keeps its attempt goes before one that was moved, then the smaller before the larger
-        first = shown.groupBy("kind", "shown").agg(F.min(F.struct("attempt", "normal")).alias("first"), F.count("*").alias("n"))
-        shared = (shown.join(first.filter("n > 1"), ["kind", "shown"])
-                  .filter(F.col("first") != F.struct("attempt", "normal")))
+        keeper = shown.groupBy("kind", "shown").agg(F.min(F.struct("attempt", "normal")).alias("keeper"), F.count("*").alias("n"))
+        shared = (shown.join(keeper.filter("n > 1"), ["kind", "shown"])
+                  .filter(F.col("keeper") != F.struct("attempt", "normal")))
         taken = shown.join(real, ["kind", "shown"], "left_semi")
         moved = scratch.write(shared.select("kind", "normal").unionByName(taken.select("kind", "normal")).distinct(), f"moved-{turn}")
         if moved.isEmpty():
-            return table.filter("attempt > 0").select("kind", "normal", "surrogate")
+            moved = table.filter("attempt > 0").select("kind", "normal", "surrogate")
+            of = lambda kind, name: moved.filter(F.col("kind") == kind).select(F.col("normal").alias(name), F.col("surrogate").alias(kind))
+            whole = (names.select("kind", "normal", last.alias("_last")).join(of("family", "_last"), "_last", "left")
+                     .join(of("given", "normal"), "normal", "left").filter("family is not null or given is not null"))
+            family = F.coalesce("family", family_of(F.col("_last"), F.lit(0), key))
+            given = F.coalesce("given", given_of(gender, first, F.lit(0), key))
+            return moved.filter("kind not in ('family', 'given')").unionByName(whole.select("kind", "normal", F.concat(
+                gender, F.lit(":"), F.when(normal.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family)).alias("surrogate")))
         stay = table.join(moved, ["kind", "normal"], "left_anti")
         again = table.join(moved, ["kind", "normal"], "left_semi").withColumn("attempt", F.lit(turn)).drop("surrogate")
         table = scratch.write(stay.unionByName(give(again)), f"attempt-{turn}")
@@ -225,8 +275,8 @@ def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> Data
     """``docs`` with surrogates in ``text`` and the replaced entities in ``pii``, a list of ``raw, kind, surrogate``.
 
     All rows and other columns stay; a column ``pii`` is replaced. A null or empty text has no entities and stays. A name
-    is detected by its title, and its parts map alike whether they come together or the last alone; names of either
-    gender that show the same surrogate are keyed anew. Repeated rows get the same surrogates, as do reruns with the key.
+    is detected by its title, and its parts map alike whether they come together or the last alone: all bearers of a family
+    name keep one in common. Repeated rows get the same surrogates, as do reruns with the key.
     """
     scratch = Scratch(docs.sparkSession, "pii")
     entity = F.col("_found")

@@ -1,9 +1,10 @@
+import itertools
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.llm.pii import KINDS, rekeyed, with_surrogates
+from lodestone.llm.pii import KINDS, SYLLABLES, rekeyed, with_surrogates
 from lodestone.llm.queries import QUERIES
 from lodestone.plans.scratch import Scratch
 
@@ -87,6 +88,31 @@ def test_crowded_types_stay_distinct(spark):
     assert len(set(given.values())) == len(given) and not set(given) & set(given.values())
 
 
+def test_many_names_of_a_family_and_short_mails_and_phones(spark):
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    firsts = [f"J{a}{b}" for a in letters[:5] for b in letters]
+    raws = ([f"Mr {f} Smith" for f in firsts] + [f"Ms {f} Smith" for f in firsts[:40]] + ["Mr Smith", "Mrs Smith", "Mr Jaa Jones"]
+            + [f"{c}@mail.example.com" for c in letters] + ["Z@Mail.Example.com"] + [f"+49 {i:02d} {j:02d}" for i in range(100) for j in range(0, 100, 2)])
+    docs = spark.createDataFrame([(" ; ".join(raws[i:i + 100]),) for i in range(0, len(raws), 100)], "text string")
+    given = {e["raw"]: e["surrogate"] for r in with_surrogates(docs).collect() for e in r["pii"]}
+    assert set(given) == set(raws)
+    assert len({s.lower() for s in given.values()}) == len(given) - 1 and not {r.lower() for r in given} & {s.lower() for s in given.values()}
+    smiths = {s.split()[-1] for raw, s in given.items() if raw.endswith("Smith")}
+    assert len(smiths) == 1 and given["Mr Jaa Jones"].split()[-1] not in smiths
+    assert all(re.fullmatch(r"(Mr|Ms|Mrs)( [A-Z][a-z]+(-[A-Z][a-z]+)?)? [A-Z][a-z]+", s) for raw, s in given.items() if raw[0] == "M")
+    assert given["Z@Mail.Example.com"].lower() == given["z@mail.example.com"]
+    assert re.fullmatch(r"[A-Z][a-z]*@[A-Z][a-z]{3}\.[A-Z][a-z]{6}\.com", given["Z@Mail.Example.com"])
+    assert all(re.fullmatch(r"\+49 \d\d \d{2,}", s) for raw, s in given.items() if raw[0] == "+")
+
+
+def test_a_family_name_outgrows_its_first_space(spark):
+    syllables = SYLLABLES["latin"]
+    lasts = [("".join(x)).capitalize() for x in itertools.product(syllables, repeat=4)]  # all that the first keying can give
+    names = spark.createDataFrame([("name", f"m:{x}") for x in lasts], "kind string, normal string")
+    rows = rekeyed(names, "k", Scratch(spark, "pii")).collect()
+    assert len(rows) == len({r["surrogate"] for r in rows}) == len(lasts) and not {r["surrogate"][2:] for r in rows} & set(lasts)
+
+
 def test_exhausted_types_are_reported(spark):
     # one-digit strings: more entities than surrogates that are no entity themselves
     table = spark.createDataFrame([("id", str(i)) for i in range(10)], "kind string, normal string")
