@@ -18,12 +18,13 @@ import pandas as pd
 from pyspark.sql import Column, functions as F
 
 # Element names by role.
-RAW = "script style noscript template svg iframe object head title math textarea select".split()
-VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
+RAW = "script style noscript template svg iframe object title math textarea select".split()
+VOID = frozenset("area base br col embed head hr img input link meta param source track wbr".split())
 BLOCK = frozenset("""address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure
     footer form h1 h2 h3 h4 h5 h6 header hr html label legend li main menu nav ol option p pre section summary table tbody td tfoot
     th thead tr ul""".split())
 CHROME = frozenset("nav footer aside form menu button label option dialog fieldset legend".split())
+WRAPPERS = frozenset("body html".split())  # never chrome, whatever their classes
 CLOSED_BY = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"},
              "option": {"option"}}
 # Words in classes, ids and roles.
@@ -36,29 +37,35 @@ NEVER_WRAPPERS = frozenset("comment comments disqus replies reply respond".split
 
 # Evidence in tenths; positive speaks for content.
 IN_ARTICLE, OUTSIDE, IN_CHROME, LINKS = 60, -120, -400, -120
+CHROME_CLASS = -70  # in place of IN_CHROME on pages without an article, for class, id or role; long paragraphs outvote it
 PARAGRAPH, HEADING, NEUTRAL, PER_WORD, MOST_WORDS = 20, 10, -30, 2, 40
 FOLLOWING, SIBLING = 10, 20
 
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*+>.*?(?:</(?P=raw)\s*>|\Z)"
+    r"|<(?P<raw>" + "|".join(RAW) + r")(?=[\s/>])[^>]*+>"
     r"|<(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>"
     r"|<[!?/][^>]*+>", re.S | re.I)
+_ENDS = {name: re.compile(rf"</{name}\s*>", re.I) for name in RAW}
+_AGAIN = {name: re.compile(rf"<{name}(?=[\s/>])", re.I) for name in RAW if name not in ("script", "style")}  # code may quote tags
+_STOP = re.compile(r"</?(?:" + "|".join(sorted(BLOCK - {"option"})) + r")(?=[\s/>])", re.I)
 _MARKS = re.compile(r"(?:^|\s)(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class _Element:
-    __slots__ = ("name", "parent", "words", "chrome", "wraps", "article")
+    __slots__ = ("name", "parent", "words", "chrome", "classed", "wraps", "article")
 
     def __init__(self, name, parent, attrs):
         self.name, self.parent, self.wraps = name, parent, False
         marks = [a or b or c for a, b, c in _MARKS.findall(attrs)] if attrs else []
         self.words = {w.lower() for mark in marks for w in _WORD.findall(mark)}
-        self.chrome = name in CHROME or not CHROME_WORDS.isdisjoint(self.words)
+        self.chrome = name in CHROME or (name not in WRAPPERS and not CHROME_WORDS.isdisjoint(self.words))
+        # chrome by its marks alone, or a form around other things; what readers say about a page stays chrome
+        self.classed = self.chrome and (name not in CHROME or name == "form") and NEVER_WRAPPERS.isdisjoint(self.words)
         self.article = name in ("article", "main") or not CONTENT_WORDS.isdisjoint(self.words)
         if name == "header" and not any(e.article for e in _up(parent, None)):  # an article's own header has its title
-            self.chrome = True
+            self.chrome, self.classed = True, False
         if self.article and not self.chrome:
             while parent is not None and NEVER_WRAPPERS.isdisjoint(parent.words):
                 parent.wraps, parent = True, parent.parent
@@ -71,6 +78,17 @@ class _Block:
         self.text, self.parent, self.linked = text, parent, linked
 
 
+def _raw_end(page: str, name: str, at: int, missing: set[str]) -> int:
+    """Where the raw element that opened before ``at`` ends: at its end tag, or without one of its own at the next block."""
+    end = None if name in missing else _ENDS[name].search(page, at)
+    if end is None:
+        missing.add(name)
+    elif name not in _AGAIN or not _AGAIN[name].search(page, at, end.start()):
+        return end.end()
+    stop = _STOP.search(page, at, end.start() if end else len(page))
+    return stop.start() if stop else end.end() if end else len(page)
+
+
 def read_blocks(page: str) -> list[_Block]:
     """Blocks of text in page order: references decoded, white space runs made one space."""
     root = here = _Element("", None, "")
@@ -97,13 +115,13 @@ def read_blocks(page: str) -> list[_Block]:
         in_link -= sum(1 for e in _up(here, at) if e.name == "a")
         here = at.parent
 
-    at = 0
-    for token in _TOKEN.finditer(page):
+    at, missing = 0, set()
+    while token := _TOKEN.search(page, at):
         if token.start() > at:
             parts.append(page[at:token.start()])
             if in_link:
                 links += token.start() - at
-        at = token.end()
+        at = _raw_end(page, token["raw"].lower(), token.end(), missing) if token["raw"] else token.end()
         name = token["name"]
         if name is None:
             continue
@@ -136,19 +154,23 @@ def _up(element, last):
 
 def evidence(blocks: list[_Block]) -> list[int]:
     """The classifier's evidence for each block."""
+    paths = [list(_up(block.parent, None)) for block in blocks]
+    # an element around all blocks that other chrome leaves says nothing about any of them
+    hard = lambda path: any(e.chrome and not e.wraps and not e.classed for e in path)
+    left = [path for path in paths if not hard(path)]
+    around = {id(e) for e in left[0] if e.classed and all(e in path for path in left)} if left else set()
     placed = []
-    for block in blocks:
-        above = list(_up(block.parent, None))
-        article = any(e.article for e in above)
-        chrome = any(e.chrome and not e.wraps for e in above)
-        placed.append((chrome, article))
+    for path in paths:
+        marks = [e for e in path if e.chrome and not e.wraps and id(e) not in around]
+        chrome = 0 if not marks else 1 if all(e.classed for e in marks) else 2
+        placed.append((chrome, any(e.article for e in path)))
     any_article = any(article and not chrome for chrome, article in placed)
     out = []
     for block, (chrome, article) in zip(blocks, placed, strict=True):
         score = PER_WORD * min(block.text.count(" ") + 1, MOST_WORDS) + int(LINKS * block.linked)
         name = block.parent.name
         score += PARAGRAPH if name in ("p", "blockquote", "pre") else HEADING if name[:1] == "h" and name[1:].isdigit() else 0
-        score += IN_CHROME if chrome else (IN_ARTICLE if article else OUTSIDE) if any_article else NEUTRAL
+        score += (CHROME_CLASS if chrome == 1 and not any_article else IN_CHROME) if chrome else (IN_ARTICLE if article else OUTSIDE) if any_article else NEUTRAL
         out.append(score)
     return out
 

@@ -46,6 +46,35 @@ def test_page_without_article_uses_text_and_neighbours():
     assert main_text(f"<div><p>{long}</p><p>Short.</p><p>{long}</p></div><div><a href=x>Home</a> <a href=y>About</a></div>") == f"{long}\nShort.\n{long}"
 
 
+LONG = "A sentence of quite some words that says what the page is about and why anyone would want to read on."
+
+
+@pytest.mark.parametrize("name", ["select", "textarea", "object", "svg", "math", "title", "iframe", "noscript", "template", "script", "style"])
+def test_raw_elements_without_an_end(name):
+    assert main_text(f"<{name}>x<article><p>{LONG}</p></article>") == LONG
+    if name not in ("script", "style"):  # code runs to the next end tag: it may quote tags
+        assert main_text(f"<{name}>x<article><p>{LONG}</p></article><{name}>y</{name}>") == LONG
+    assert main_text(f"<article><p>a <{name}><p>no</p></{name}>{LONG}</p></article>") == f"a {LONG}"
+
+
+def test_head_without_an_end():
+    assert main_text(f"<html><head><title>t</title><meta charset=x><style>p{{}}</style><body><article><p>{LONG}</p></article>") == LONG
+    assert main_text(f"<select><option>a<option>b<div><p>{LONG}</p></div>") == LONG
+
+
+@pytest.mark.parametrize("mark", ["no-sidebar", "header-fixed", "has-share"])
+def test_wrappers_with_chrome_words(mark):
+    for tag in ("html", "body", "div", "form"):
+        assert main_text(f"<{tag} class='{mark}'><nav>Home</nav><div><p>{LONG}</p><p>{LONG}</p></div></{tag}>") == f"{LONG}\n{LONG}"
+    more = f"{LONG} {LONG}"
+    assert main_text(f"<div class='{mark}'><p>{more}</p><p>{more}</p><p>Ok.</p><p>{more}</p></div><div>Small print</div>") == f"{more}\n{more}\nOk.\n{more}"
+    assert main_text(f"<article><p>{LONG}</p></article><div class='{mark}'><p>{more}</p></div>") == LONG
+
+
+def test_many_elements_without_an_end():
+    assert main_text("<svg>" * 20000 + f"<script>x" * 20000 + f"<p>{LONG}") == LONG
+
+
 @pytest.mark.parametrize("page", [None, "", "   ", "<", "<p", "<!--", "<script>", "</p></div>", "<a href='x>y", "<nav>x</nav>", "<![foo[bar]]>", "&#xD800;<p>"])
 def test_odd_pages(page):
     assert "<" not in main_text(page) or page in ("<", "<p", "<a href='x>y")
