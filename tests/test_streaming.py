@@ -1,6 +1,7 @@
 from lodestone.schemas import DOC
+from lodestone.sources.docs import append_uploads
 from lodestone.streaming.ask import ask_stream
-from lodestone.streaming.ingest import doc_stream, ingest_stream, read_ingested
+from lodestone.streaming.ingest import append_ingested_uploads, doc_stream, ingest_batch, ingest_stream, read_ingested
 
 
 def docs(spark, *rows):
@@ -53,6 +54,17 @@ def test_same_version_again_is_not_doubled(spark, tmp_path):
     assert read_ingested(spark, str(tmp_path / "out")).count() == before
 
 
+def test_batches_by_number_beside_uploads(spark, tmp_path):
+    out = str(tmp_path / "out")
+    ingest_batch(docs(spark, ("a", words("nine"), 1.0)), out, "9")
+    ingest_batch(docs(spark, ("a", words("ten"), 1.0)), out, "10")
+    append_ingested_uploads(docs(spark, ("up", words("first"), 1.0)), out)
+    append_uploads(docs(spark, ("a", words("upload"), 0.5)), f"{out}/docs")
+    append_ingested_uploads(docs(spark, ("up", words("second"), 2.0)), out)
+    shown = {(r["doc_key"], r["content"].split()[1].rstrip("0123456789")) for r in read_ingested(spark, out).collect()}
+    assert shown == {("a", "ten"), ("up", "second")}
+
+
 def test_questions_as_a_stream(spark, tmp_path):
     docs(spark, ("a", words("alpha"), 1.0), ("b", words("beta"), 1.0)).write.parquet(str(tmp_path / "in" / "one"))
     run(spark, tmp_path)
