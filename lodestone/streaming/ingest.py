@@ -49,6 +49,13 @@ def append_ingested_uploads(docs: DataFrame, out_dir: str, **ways) -> None:
     ingest_batch(docs, out_dir, f"upload-{uuid.uuid4().hex}", **ways)
 
 
+def table_path(path: str) -> str:
+    """A path under which a stream finds a table, be it one file or a folder of part files: a pattern that only it matches,
+    since a stream takes a plain path for a folder."""
+    path = path.rstrip("/")
+    return f"{path[:-1]}[{path[-1]}]"
+
+
 def doc_stream(spark: SparkSession, path: str, max_files: int = 1000) -> DataFrame:
     """Stream of document parquet files appearing below ``path``."""
     return (spark.readStream.schema(schemas.DOC).option("recursiveFileLookup", True)
