@@ -69,7 +69,37 @@ SELECT page_id, payload_bytes, {_base32('hex')} AS payload_digest,
     CASE WHEN page_id = low THEN NULL ELSE low END AS refers_to, 1::BIGINT AS n_requests, 1::BIGINT AS n_metadata
 FROM p"""
 
+_LOWERED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+WITH piece AS (SELECT lang, regexp_extract_all(s, '[^ \t]+') AS w FROM (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_LOWERED}, '[.,;:!?\x0A-\x0D]')) AS s FROM documents)),
+run AS (SELECT lang, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS phrase
+    FROM (SELECT lang, k, w, unnest(range(1, len(w) - k + 2)) AS i FROM piece, range(1, 5) AS t(k) WHERE len(w) >= k)),
+f AS (SELECT lang, k, phrase, count(*) AS a FROM run GROUP BY ALL),
+size AS (SELECT lang, sum(a)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+cand AS (SELECT lang, k, phrase, a, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 30),
+cut AS (SELECT lang, k, phrase, a, c, array_to_string(list_slice(w, 1, c), ' ') AS head, array_to_string(list_slice(w, c + 1, k), ' ') AS tail
+    FROM (SELECT *, unnest(range(1, k)) AS c FROM cand)),
+scored AS (SELECT cut.lang, cut.phrase, cut.a, c, h.a AS l, t.a AS r, ((2000000::HUGEINT * cut.a) // (h.a + t.a))::BIGINT AS score
+    FROM cut JOIN f h ON h.lang = cut.lang AND h.phrase = head JOIN f t ON t.lang = cut.lang AND t.phrase = tail),
+least_cut AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, c) = 1),
+inner_run AS (SELECT lang, a, k, w, unnest(range(1, k + 1)) AS i FROM cand),
+inside AS (SELECT lang, array_to_string(list_slice(w, i, i + m - 1), ' ') AS phrase, max(a) AS longest
+    FROM inner_run, range(2, 4) AS t(m) WHERE m < k AND i + m - 1 <= k GROUP BY ALL),
+kept AS (SELECT lang, phrase, a, l, r, score FROM least_cut LEFT JOIN inside USING (lang, phrase)
+    WHERE longest IS NULL OR 100::HUGEINT * longest < 80::HUGEINT * a)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN size USING (lang) QUALIFY rank <= 2000"""
+
+OP13 = """
+SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size, doc_id = max(doc_id) OVER same AS kept,
+    sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, ''))"""
+
 ORACLES = {
+    "op11_collocations": OP11,
+    "op13_exact_dedup": OP13,
     "op6_warc": OP6,
     "op2_decontamination": OP2,
     "op10_quality_rules": OP10,

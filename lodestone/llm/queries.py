@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from lodestone.llm.collocations import collocations
 from lodestone.llm.columns import table, text_of, words_of
 from lodestone.llm.decontam import contamination
+from lodestone.llm.exact import exact_duplicates
 from lodestone.llm.mincut import main_texts
 from lodestone.llm.mixing import mix
 from lodestone.llm.pii import counts, with_surrogates
@@ -15,6 +17,7 @@ from lodestone.llm.simhash import near_duplicates
 from lodestone.llm.spans import remove_repeats
 from lodestone.llm.toxicity import toxicity, train
 from lodestone.llm.warc import assemble, read_warc, write_warc
+from lodestone.llm.whitening import whiten
 from lodestone.plans.scratch import Scratch
 
 FOLDS = 5
@@ -90,6 +93,18 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "copies")
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_duplicates(spark, f"{sf_dir}/documents.parquet")
+
+
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op8_html": op8_html,
@@ -101,4 +116,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op7_simhash": op7_simhash,
     "op10_quality_rules": op10_quality_rules,
+    "op11_collocations": op11_collocations,
+    "op12_whitening": op12_whitening,
+    "op13_exact_dedup": op13_exact_dedup,
 }
