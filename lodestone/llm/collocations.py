@@ -88,7 +88,7 @@ def _cuts(data: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     while at < len(data):
         size, tail = _CHUNK, 64 * DEPTH
         while True:
-            between = np.flatnonzero(_CLASS[data[at:at + size]])
+            between = np.flatnonzero(_CLASS[data[at + 1:at + size]]) + 1  # a chunk ends after its beginning
             if at + size >= len(data) or len(between):
                 break
             size *= 2
@@ -222,8 +222,9 @@ def _leaves(docs: DataFrame, seed: int, held) -> DataFrame:
     return docs.mapInArrow(of, ", ".join(f"{c} long" for c in ["grp", *_H, "n"]))
 
 
-def _nodes(leaves: DataFrame, least: int) -> DataFrame:
-    """``h1 ..., a``: the nodes of two words and more that at least ``least`` suffixes pass, group by group."""
+def _nodes(leaves: DataFrame, least: int, heavy_pairs: np.ndarray) -> DataFrame:
+    """``h1 ..., a``: the nodes of two words and more that at least ``least`` suffixes pass, group by group. Only a pair
+    that was extended lies in several groups; its parts are added up."""
 
     def totals(rows: list[np.ndarray]):
         table = np.concatenate(rows, axis=1)
@@ -234,7 +235,10 @@ def _nodes(leaves: DataFrame, least: int) -> DataFrame:
             if depth:
                 at = np.flatnonzero(new)
                 a = np.add.reduceat(table[DEPTH], at)
-                keep = (a >= least) & (table[depth, at] != 0)
+                keep = a >= least
+                if depth == 1:
+                    keep |= np.isin(_pair(*(table[i, at].view(np.uint64) for i in (0, 1))), heavy_pairs)
+                keep &= table[depth, at] != 0
                 node = [table[i, at[keep]] if i <= depth else np.zeros(keep.sum(), np.int64) for i in range(DEPTH)]
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in [*node, a[keep]]], [*_H, "a"])
 
@@ -255,7 +259,8 @@ def _nodes(leaves: DataFrame, least: int) -> DataFrame:
             yield from totals(rows)
 
     dealt = leaves.repartition("grp").sortWithinPartitions("grp", *_H)
-    return dealt.mapInArrow(of, ", ".join(f"{c} long" for c in [*_H, "a"]))
+    found = dealt.mapInArrow(of, ", ".join(f"{c} long" for c in [*_H, "a"]))
+    return found.groupBy(*_H).agg(F.sum("a").alias("a")).filter(F.col("a") >= least)
 
 
 def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = LEAST, budget: int = BUDGET, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
@@ -276,7 +281,7 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = LEAST, budget:
     held = spark.sparkContext.broadcast((common.value, _Frequent(pairs.select("key"), bits), _heavy(frequent, "symbol", most),
                                          _heavy(pairs, "key", most), groups))
     common.destroy()
-    nodes = scratch.write(_nodes(_leaves(docs, seed, held), least), "nodes")
+    nodes = scratch.write(_nodes(_leaves(docs, seed, held), least, held.value[3]), "nodes")
     held.destroy()
     return words, nodes
 
