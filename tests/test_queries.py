@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_module
+from lodestone.oracles import ORACLES
+from lodestone.queries import QUERIES
 
 TABLES = ("documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -24,16 +26,18 @@ def _same(left, right):
     return left == right
 
 
-def test_every_query_has_sql():
-    assert set(entry_module.queries()) == set(entry_module.oracle_sql())
+def test_entry_holds_every_query_and_its_sql():
+    assert set(QUERIES) == set(ORACLES)
+    assert set(QUERIES) <= set(entry_module.queries()) and set(ORACLES) <= set(entry_module.oracle_sql())
+    assert set(entry_module.oracle_sql()) <= set(entry_module.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry_module.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_matches_sql(spark, duck, sf_dir, name):
-    result = entry_module.queries()[name](spark, sf_dir)
+    result = QUERIES[name](spark, sf_dir)
     columns = sorted(result.columns)
     got = sorted((tuple(row[c] for c in columns) for row in result.collect()), key=repr)
-    expected = duck.execute(entry_module.oracle_sql()[name])
+    expected = duck.execute(ORACLES[name])
     names = [c[0] for c in expected.description]
     assert sorted(names) == columns
     at = [names.index(c) for c in columns]
