@@ -7,15 +7,19 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lodestone import settings
 from lodestone.functions.text import contains_any, first_phrase, strip_ws
 
-# Fixed value: the instruction a generator receives.
-PROMPT = (
-    "You are a helpful assistant that answers strictly based on the provided context.\n"
-    "If the context does not have enough information to answer the question, respond with:\n"
-    '"' + settings.ANSWER_NOT_FOUND + '"\n\n'
-    "Context:\n{context}\n\n"
-    "Question: {question}\n\n"
-    "Answer:\n"
-)
+# Fixed value: the instruction a generator receives, indented as it is sent.
+PROMPT = """
+        You are a helpful assistant that answers strictly based on the provided context.
+        If the context does not have enough information to answer the question, respond with:
+        "I don't have enough information in the crawled content to answer this question."
+
+        Context:
+        {context}
+
+        Question: {question}
+
+        Answer:
+        """
 
 
 def flag_unsafe(df: DataFrame, question: str = "question", context: str = "context",

@@ -2,17 +2,40 @@
 
 from __future__ import annotations
 
-from lodestone import settings
-from lodestone.functions.answers import PROMPT
-from lodestone.functions.text import WHITESPACE
-from lodestone.queries import LINK_STEPS
+from types import SimpleNamespace
+
+# Fixed values, stated here once more so that the statements do not depend on the code they check.
+settings = SimpleNamespace(
+    CHUNK_SIZE=800, CHUNK_OVERLAP=100, TOP_K=5, SIMILARITY_THRESHOLD=0.3, HASH_MODEL="token-hash-md5",
+    UNSAFE_PHRASES=(
+        "ignore previous instructions", "forget everything", "new instructions:", "system prompt", "you are now", "roleplay as",
+        "pretend to be", "act as if", "disregard", "override"),
+    REFUSAL_PHRASES=(
+        "I don't have enough information", "The crawled content doesn't contain", "Not found in crawled content"),
+    ANSWER_NOT_FOUND="I don't have enough information in the crawled content to answer this question.",
+    ANSWER_INSUFFICIENT="The crawled content doesn't contain sufficient information about this topic.",
+    ANSWER_UNSAFE="I cannot process this request due to safety concerns.",
+    ANSWER_PREFIX="Based on the crawled content: ",
+    DEFINITION_WORDS=("what is", "what are", "define"),
+    EXPLANATION_WORDS=("how", "why", "when", "where"),
+)
+_INDENT = "\n" + " " * 8
+_PROMPT_HEAD = _INDENT + _INDENT.join((
+    "You are a helpful assistant that answers strictly based on the provided context.",
+    "If the context does not have enough information to answer the question, respond with:",
+    f'"{settings.ANSWER_NOT_FOUND}"')) + "\n" + _INDENT + "Context:" + _INDENT
+_PROMPT_MID = "\n" + _INDENT + "Question: "
+_PROMPT_TAIL = "\n" + _INDENT + "Answer:" + _INDENT
+_PROMPT_LENGTH = f"{len(_PROMPT_HEAD + _PROMPT_MID + _PROMPT_TAIL)} + length(context) + length(question)"
+_SPACES = (*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)
+LINK_STEPS = (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 1)
 
 
 def _text(value: str) -> str:
     return "'" + value.replace("'", "''") + "'"
 
 
-_WS = _text(WHITESPACE)
+_WS = _text("".join(map(chr, _SPACES)))
 _WS_CLASS = r"[\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.-]*):)?(?://([^/?#]*))?([^?#]*)(?:\?([^#]*))?"
 
@@ -42,7 +65,8 @@ def _crawlable(url):
 
 def _cleaned(text):
     out = f"regexp_replace({text}, '{_WS_CLASS}', ' ', 'g')"
-    for pattern in ("Cookie\\s+Policy.*?Accept", "Privacy\\s+Policy.*?Terms", "Subscribe\\s+to.*?Newsletter"):
+    for pattern in (  # fixed values: boilerplate runs
+            "Cookie\\s+Policy.*?Accept", "Privacy\\s+Policy.*?Terms", "Subscribe\\s+to.*?Newsletter"):
         out = f"regexp_replace({out}, '{pattern}', '', 'gi')"
     return f"trim(regexp_replace({out}, '^(Home|About|Contact|Menu|Navigation)(\\s|$)', '', 'i'))"
 
@@ -57,12 +81,15 @@ _GOOD = f"length(trim(text, {_WS})) >= 50"
 _URL = "'doc://' || source || '/' || doc_id"
 
 
-def _chunks(size=settings.CHUNK_SIZE, overlap=settings.CHUNK_OVERLAP):
+_DOCUMENTS = f"SELECT doc_id, {_URL} AS url, lang, text FROM documents"
+
+
+def _chunks(size=settings.CHUNK_SIZE, overlap=settings.CHUNK_OVERLAP, rows=_DOCUMENTS):
     """CTEs ending in ``chunks(doc_id, url, chunk_index, content, src_start)``."""
     space = f"strpos(reverse(substring(d.text, w.a + 1, {size})), ' ')"
     back = f"CAST({size} - {space} AS BIGINT)"
     return f"""WITH RECURSIVE docs AS (
-  SELECT doc_id, {_URL} AS url, lang, text, length(text) AS n FROM documents WHERE {_GOOD}),
+  SELECT *, length(text) AS n FROM ({rows}) WHERE {_GOOD}),
 starts AS (
   SELECT doc_id, CAST(0 AS BIGINT) AS a FROM docs WHERE n > {size}
   UNION ALL
@@ -99,9 +126,9 @@ _BENCHMARK = "SELECT item_id AS q_id, text AS question FROM benchmark"
 _TURNS = "SELECT conv_id || '-' || turn AS q_id, text AS question FROM conversations WHERE role = 'user'"
 
 
-def _hits(questions=_BENCHMARK, k=settings.TOP_K, threshold=settings.SIMILARITY_THRESHOLD):
+def _hits(questions=_BENCHMARK, k=settings.TOP_K, threshold=settings.SIMILARITY_THRESHOLD, rows=_DOCUMENTS):
     """CTEs ending in ``hits(q_id, rank, doc_id, chunk_index, url, content, score)``."""
-    return _chunks() + f""",
+    return _chunks(rows=rows) + f""",
 questions AS ({questions}),
 qb AS ({_buckets('q_id', 'question', 'questions')}),
 cb AS ({_buckets('doc_id, chunk_index', 'content', 'chunks')}),
@@ -159,16 +186,17 @@ def _extractive(question, context):
             f"ELSE {_text(settings.ANSWER_PREFIX)} || {capped} END")
 
 
-def _answers(threshold):
+def _answers(threshold, questions=_BENCHMARK, rows=_DOCUMENTS, answer=None):
     unsafe = _unsafe("lower(question || ' ' || context)")
-    return _hits(threshold=threshold) + _PARTS + f""",
+    answer = answer or _extractive("question", "context")
+    return _hits(questions, threshold=threshold, rows=rows) + _PARTS + f""",
 asked AS (
   SELECT q_id, question, coalesce(context, '') AS context,
     (SELECT count(*) FROM hits h WHERE h.q_id = q.q_id) AS found
   FROM questions q LEFT JOIN contexts USING (q_id)),
 screened AS (SELECT *, {unsafe} IS NOT NULL AS unsafe FROM asked),
 answered AS (
-  SELECT *, CASE WHEN unsafe THEN {_text(settings.ANSWER_UNSAFE)} ELSE {_extractive('question', 'context')} END AS answer
+  SELECT *, CASE WHEN unsafe THEN {_text(settings.ANSWER_UNSAFE)} ELSE {answer} END AS answer
   FROM screened)
 SELECT q_id, answer, CAST(CASE WHEN unsafe THEN 0 ELSE found END AS INTEGER) AS n_sources,
   unsafe OR {_refusal('answer')} AS is_refusal FROM answered"""
@@ -271,8 +299,6 @@ _ASKED = (f"coalesce(([{', '.join(_text(w) for w in _WORDS)}])[CAST((conv_id + t
 _HALF = "(length(text) // 2)"
 _NOISY = (f"('Menu ' || substring(text, 1, {_HALF}) || ' COOKIE  policy text, accept ' "
           f"|| substring(text, {_HALF} + 1) || ' subscribe to our newsletter' || chr(10))")
-_PROMPT_HEAD, _PROMPT_REST = PROMPT.split("{context}")
-_PROMPT_MID, _PROMPT_TAIL = _PROMPT_REST.split("{question}")
 
 _DOT = ("round(list_inner_product(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6)")
 _RANKED_VECTORS = f"""SELECT q.vec_id AS q_id, v.vec_id, {_DOT} AS score,
@@ -327,8 +353,7 @@ SELECT count(*) AS vector_count, (SELECT count(*) FROM documents WHERE NOT ({_GO
     "vector_topk_threshold": f"""SELECT q_id, rank, vec_id, score FROM ({_RANKED_VECTORS})
 WHERE score >= 0.3 AND rank <= 1 + q_id % 5""",
     "vector_topk_each": f"SELECT q_id, rank, vec_id, score FROM ({_RANKED_VECTORS}) WHERE rank <= 1 + q_id % 20",
-    "vector_topk_edges": f"""SELECT q_id, CAST(row_number() OVER (PARTITION BY q_id ORDER BY rank) AS INTEGER) AS rank, vec_id, score
-FROM ({_RANKED_VECTORS}) WHERE q_id % 100 = 0 AND vec_id % 50 = 7""",
+    "vector_topk_edges": f"""SELECT q_id, rank, vec_id, score FROM ({_RANKED_VECTORS}) WHERE q_id % 2 = 0 AND score >= 0.25""",
     "unit_vectors": """SELECT vec_id, CAST(p - 1 AS INTEGER) AS pos, round(CAST(x / n AS FLOAT)::DOUBLE, 4) + 0.0 AS x FROM (
   SELECT vec_id, unnest(embedding)::DOUBLE AS x, unnest(range(1, len(embedding) + 1)) AS p,
     sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])) AS n FROM embeddings)""",
@@ -378,4 +403,35 @@ SELECT site, page_count, CAST(skipped_count AS BIGINT) AS skipped_count, error_c
 SELECT CAST(doc_id AS VARCHAR) AS doc_key, chunk_index, content, CAST(coalesce(sum(length(content) - 100) OVER (
     PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)
   AS start_char FROM chunks""",
+    "index_reloaded": " UNION ALL ".join(f"""SELECT {version} AS version, {size} AS chunk_size, * FROM ({_chunks(size, overlap)}
+SELECT doc_id AS doc_key, count(*) AS chunks, CAST(sum(length(content)) AS BIGINT) AS chars FROM chunks GROUP BY 1)"""
+                                         for version, size, overlap in ((1, 800, 100), (2, 400, 50))),
+    "index_delta": _chunks() + """
+SELECT doc_id AS doc_key, chunk_index, content FROM chunks""",
+    "streamed_versions": _chunks(rows=f"""SELECT CAST(doc_id AS VARCHAR) AS doc_id, {_URL} AS url, lang, text FROM documents
+    UNION ALL SELECT 'upload-' || item_id, 'uploaded://item', '', text FROM benchmark""") + """
+SELECT doc_id AS doc_key, chunk_index, content FROM chunks""",
+    "streamed_answers": " UNION ALL ".join(f"""SELECT {turn} AS index_version, * FROM (
+{_answers(settings.SIMILARITY_THRESHOLD, f"SELECT '{turn}-' || item_id AS q_id, text AS question FROM benchmark", rows)})"""
+                                           for turn, rows in ((1, _DOCUMENTS), (2, f"""{_DOCUMENTS}
+    UNION ALL SELECT -item_id - 1, 'item://' || item_id, '', text FROM benchmark"""))),
+    "read_docs_files": f"""SELECT CASE WHEN doc_id % 10 = 0 THEN '' ELSE {_URL} END AS url,
+  CASE WHEN doc_id % 10 = 0 THEN 'load' ELSE lang END AS title,
+  CASE WHEN doc_id % 10 = 0 THEN 'Error loading a file: url missing' ELSE md5(text) END AS content,
+  CASE WHEN doc_id % 10 = 0 THEN 0 ELSE CAST(length(text) AS INTEGER) END AS content_length FROM documents""",
+    "upload_docs": f"""SELECT md5(body) AS content, CAST(length(body) AS INTEGER) AS content_length, count(*) AS files,
+  count(*) AS urls, count(*) AS keys
+FROM (SELECT trim(text, {_WS}) AS body FROM documents WHERE doc_id % 5 > 1) WHERE body <> '' GROUP BY 1, 2""",
+    "upload_errors": f"""SELECT 'upload' AS stage, message, count(*) AS files FROM (
+  SELECT CASE WHEN doc_id % 5 = 0 THEN 'Unsupported file type ''.csv''' WHEN doc_id % 5 = 1 OR trim(text, {_WS}) = ''
+    THEN 'Uploaded file is empty or could not extract text.' END AS message FROM documents)
+WHERE message IS NOT NULL GROUP BY 2""",
+    "embedded_by_model": """SELECT doc_id, CAST(p - 1 AS INTEGER) AS pos,
+  round(CAST(CASE WHEN n > 0 THEN x / n ELSE 0 END AS FLOAT)::DOUBLE, 4) + 0.0 AS x
+FROM (SELECT doc_id, unnest(v) AS x, unnest(range(1, 6)) AS p, sqrt(list_inner_product(v, v)) AS n FROM (
+  SELECT doc_id, list_transform(['a', 'e', 'i', 'o', 'u'],
+    lambda c: (length(text) - length(replace(text, c, '')))::DOUBLE) AS v FROM documents))""",
+    "generated_answers": _answers(0.6, answer=f"""CASE WHEN trim(context, {_WS}) = '' THEN {_text(settings.ANSWER_NOT_FOUND)}
+    WHEN ({_PROMPT_LENGTH}) % 3 = 0 THEN {_text(settings.ANSWER_INSUFFICIENT)}
+    ELSE 'The prompt has ' || ({_PROMPT_LENGTH}) || ' characters.' END"""),
 }

@@ -9,27 +9,29 @@ from lodestone.functions.text import strip_ws
 from lodestone.operators.context import context_and_sources
 from lodestone.operators.embed import embed
 from lodestone.operators.topk import bounded_top_k
+from lodestone.plans.scratch import Scratch
+from lodestone.sources.index import StoredIndex
 
 _KEYS = ["doc_key", "chunk_index"]
-_BROADCAST_HITS = 1_000_000    # rows of (question, keys, score)
 
 
-def retrieve(questions: DataFrame, index: DataFrame, k: int = settings.TOP_K,
+def retrieve(questions: DataFrame, index: DataFrame | StoredIndex, k: int = settings.TOP_K,
              threshold: float | None = settings.SIMILARITY_THRESHOLD, embed_fn=None,
              dim: int = settings.EMBED_DIM) -> DataFrame:
     """``questions`` (q_id, question, optional top_k) -> ``q_id, rank, doc_key, chunk_index, url, title,
     content, score``.
 
-    Scoring reads keys and vectors only; the text is joined to the winners afterwards, so the text of the
-    corpus is neither sent to Python nor shuffled. ``index`` is read for both, so it should be a stored table.
+    Scoring reads keys and vectors only; its hits are stored, and the text is joined to them afterwards. Of a stored
+    index only the files and row groups that can hold a hit are read for that; of a plain table, all of it. The text of
+    the corpus is neither sent to Python nor shuffled while the stored hits are small enough to be broadcast.
     """
+    stored = isinstance(index, StoredIndex)
     wanted = [c for c in ("q_id", "question", "top_k") if c in questions.columns]
     asked = embed(questions.select(*wanted), "question", embed_fn, dim)
     metric = "cosine" if embed_fn is None else "inner"
-    hits, most = bounded_top_k(asked, index, k, threshold, _KEYS, metric=metric)
-    if most <= _BROADCAST_HITS:
-        hits = F.broadcast(hits)
-    texts = index.select(*_KEYS, "url", "title", "content")
+    hits, _ = bounded_top_k(asked, index.chunks if stored else index, k, threshold, _KEYS, metric=metric)
+    hits = Scratch(questions.sparkSession, "hits").write_small(hits, "hits")
+    texts = (index.lookup(hits) if stored else index).select(*_KEYS, "url", "title", "content")
     return texts.join(hits, _KEYS).select(
         "q_id", "rank", *_KEYS, "url", "title", "content", "score")
 
@@ -91,7 +93,7 @@ def answer_hits(questions: DataFrame, hits: DataFrame, generate_fn=None,
         (rejected | is_refusal(F.col("answer"))).alias("is_refusal"), "unsafe_phrase")
 
 
-def ask_batch(questions: DataFrame, index: DataFrame, k: int = settings.TOP_K,
+def ask_batch(questions: DataFrame, index: DataFrame | StoredIndex, k: int = settings.TOP_K,
               threshold: float | None = settings.SIMILARITY_THRESHOLD, generate_fn=None, embed_fn=None,
               dim: int = settings.EMBED_DIM) -> DataFrame:
     """Grounded answers for every question, from the index alone."""

@@ -55,7 +55,12 @@ class Scratch:
     def read(self, schema, *names: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*[f"{self.path}/{n}" for n in names])
 
-    def write_small(self, df: DataFrame, name: str, max_rows: int = 1_000_000) -> DataFrame:
-        """Written table, marked for broadcast only when its counted rows are within ``max_rows``."""
+    def bytes(self, name: str) -> int:
+        """Bytes of the files of a written table."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
+        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+
+    def write_small(self, df: DataFrame, name: str, max_rows: int = 1_000_000, max_bytes: int = 64 << 20) -> DataFrame:
+        """Written table, marked for broadcast only when its files and counted rows are within the bounds."""
         stored = self.write(df, name)
-        return F.broadcast(stored) if stored.count() <= max_rows else stored
+        return F.broadcast(stored) if self.bytes(name) <= max_bytes and stored.count() <= max_rows else stored

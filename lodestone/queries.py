@@ -12,6 +12,7 @@ from lodestone.functions import answers as answer_fn, text as text_fn, urls as u
 from lodestone.functions.vectors import hash_tokens, l2_normalize
 from lodestone.operators import context as context_op
 from lodestone.operators.chunking import chunk_docs, chunk_id, chunk_stats
+from lodestone.operators.embed import embed
 from lodestone.operators.html import extract_pages, page_links
 from lodestone.operators.latest import latest_by_key
 from lodestone.operators.robots import robots_filter
@@ -20,9 +21,13 @@ from lodestone.operators.walk import crawl_stats, crawl_summary, walk_links
 from lodestone.plans.ask import answer_hits, retrieve
 from lodestone.plans.index import build_index, error_digest, index_config, index_result, index_status, split_docs
 from lodestone.plans.scratch import Scratch
-from lodestone.sources.index import write_index
+from lodestone.plans.upkeep import build_published, merge_segments, update_published, upsert_published
+from lodestone.sources.docs import read_docs
+from lodestone.sources.index import open_index, write_index
 from lodestone.sources.pages import as_questions, read_pages, spread
-from lodestone.streaming.ingest import ingest_stream, read_ingested
+from lodestone.sources.uploads import read_uploads
+from lodestone.streaming.ingest import ingest_stream, read_ingested, table_path
+from lodestone.streaming.published import ask_published, index_stream
 
 LINK_STEPS = (1, 2, 3, 5, 8, 13, 21, 34, 55, 89, 144, 233, 1)
 
@@ -149,8 +154,19 @@ def hash_embed(spark, sf_dir):
         "doc_id", "bucket", F.col("n").cast("long").alias("n"))
 
 
+STORED: dict[str, str] = {}  # paths of indexes of all documents that were published before, by ``sf_dir``
+
+
+def store_index(spark, sf_dir, path):
+    """Publish the index of all documents at ``path``; queries over ``sf_dir`` then ask it instead of building one."""
+    write_index(build_index(spread(documents(spark, sf_dir)))[0], path)
+    STORED[sf_dir] = path
+
+
 def _index(spark, sf_dir):
     """The stored index of all documents: built once, then read for scoring and for the texts of the hits."""
+    if sf_dir in STORED:
+        return open_index(spark, STORED[sf_dir])
     return write_index(build_index(spread(documents(spark, sf_dir)))[0], Scratch(spark, "index").path)
 
 
@@ -190,11 +206,10 @@ def vector_topk_each(spark, sf_dir):
 
 
 def vector_topk_edges(spark, sf_dir):
-    """More hits asked for than there are vectors: all of them, ranked; and nothing to search at all."""
-    asked = _vector_questions(spark, sf_dir).where("q_id % 100 = 0")
-    few = _vectors(spark, sf_dir).where("vec_id % 50 = 7")
-    every = top_k_join(asked, few, k=1000, threshold=None, keys=["vec_id"])
-    return every.unionByName(top_k_join(asked, few.limit(0), threshold=None, keys=["vec_id"]))
+    """Each question asks for more hits than it can get: those of a fixed score or more, however many; or for none."""
+    asked = _vector_questions(spark, sf_dir)
+    asked = asked.withColumn("top_k", F.when(F.col("q_id") % 2 == 0, 1_000_000).otherwise(0))
+    return top_k_join(asked, _vectors(spark, sf_dir), threshold=0.25, keys=["vec_id"])
 
 
 def unit_vectors(spark, sf_dir):
@@ -403,8 +418,8 @@ def walk_summary(spark, sf_dir):
 
 def streamed_chunks(spark, sf_dir):
     """The documents as a stream, indexed by micro-batches, then read back."""
-    schema = spark.read.parquet(f"{sf_dir}/documents.parquet").schema
-    arriving = spark.readStream.schema(schema).option("pathGlobFilter", "documents.parquet").parquet(sf_dir)
+    path = f"{sf_dir}/documents.parquet"
+    arriving = spark.readStream.schema(spark.read.parquet(path).schema).parquet(table_path(path))
     docs = arriving.select(
         F.col("doc_id").cast("string").alias("doc_key"), F.col("source").alias("url"), F.col("lang").alias("title"),
         F.col("text").alias("content"), F.lit(0.0).alias("ts"),
@@ -414,6 +429,143 @@ def streamed_chunks(spark, sf_dir):
     return read_ingested(spark, f"{scratch.path}/out").select("doc_key", "chunk_index", "content", "start_char")
 
 
+# --- published indexes --------------------------------------------------------
+
+def index_reloaded(spark, sf_dir):
+    """Two versions of an index, the second with other settings: a reader of the first keeps it, a new one gets the second."""
+    path, docs = Scratch(spark, "reloaded").path, spread(documents(spark, sf_dir))
+    write_index(build_index(docs)[0], path)
+    first = open_index(spark, path)
+    write_index(build_index(docs, 400, 50)[0], path, size=400, overlap=50)
+    second = open_index(spark, path)
+    read = [i.chunks.groupBy("doc_key").agg(F.count("*").alias("chunks"), F.sum(F.length("content")).alias("chars")).select(
+        F.lit(i.number).alias("version"), F.lit(i.settings["chunk_size"]).alias("chunk_size"), "doc_key", "chunks", "chars")
+        for i in (first, second)]
+    return read[0].unionByName(read[1])
+
+
+def _earlier(docs: DataFrame) -> DataFrame:
+    """An earlier state of the corpus: of every three documents one had another text, one was missing; as many have gone."""
+    kind = F.col("doc_key") % 3
+    old = docs.where(kind != 1).withColumn("content", F.when(kind == 0, F.concat(F.lit("Earlier. "), "content")).otherwise(F.col("content")))
+    return old.unionByName(docs.where(kind == 0).withColumn("doc_key", -F.col("doc_key") - 1))
+
+
+def index_delta(spark, sf_dir):
+    """The index of an earlier state, brought to the present one by its changes."""
+    path, docs = Scratch(spark, "delta").path, spread(documents(spark, sf_dir))
+    build_published(_earlier(docs), path)
+    return update_published(docs, path).chunks.select("doc_key", "chunk_index", "content")
+
+
+def _versions(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """The documents as two rounds of arrivals. Of every three documents one changes later, one changes without a later
+    time, and one gets a late row of an earlier time."""
+    docs, kind = documents(spark, sf_dir).withColumn("doc_key", F.col("doc_key").cast("string")), F.col("doc_key").cast("long") % 3
+    shape = lambda text, ts: docs.select(
+        "doc_key", "url", "title", text.alias("content"), ts.cast("double").alias("ts"), F.length("content").cast("int").alias("content_length"))
+    other = F.concat(F.lit("Not this one. "), "content")
+    return (shape(F.when(kind == 2, F.col("content")).otherwise(other), F.when(kind == 2, 5).otherwise(1)),
+            shape(F.when(kind == 2, other).otherwise(F.col("content")), F.when(kind == 0, 2).otherwise(1)))
+
+
+def streamed_versions(spark, sf_dir):
+    """Documents in twelve micro-batches, sent again with other texts and times; uploads and a merge come between."""
+    scratch = Scratch(spark, "versions")
+    path, arrivals, shape = f"{scratch.path}/index", f"{scratch.path}/in", None
+    for at, rows in enumerate(_versions(spark, sf_dir)):
+        rows.repartition(6, "doc_key").write.mode("append").parquet(arrivals)
+        shape = rows.schema
+        stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).parquet(arrivals)
+        index_stream(stream, path, f"{scratch.path}/checkpoint").awaitTermination()
+        if at == 0:
+            uploads = _table(spark, sf_dir, "benchmark").select(
+                F.concat(F.lit("upload-"), "item_id").alias("doc_key"), F.lit("uploaded://item").alias("url"), F.lit("").alias("title"),
+                F.col("text").alias("content"), F.lit(1.0).alias("ts"), F.length("text").alias("content_length"))
+            merge_segments(upsert_published(uploads, path), whole=True)
+    return open_index(spark, path).chunks.select("doc_key", "chunk_index", "content")
+
+
+def streamed_answers(spark, sf_dir):
+    """Every benchmark question asked twice as a stream: of the documents, then of an index that has the items too."""
+    scratch = Scratch(spark, "asked")
+    path, docs = f"{scratch.path}/index", spread(documents(spark, sf_dir))
+    items = _table(spark, sf_dir, "benchmark").select(
+        (-F.col("item_id") - 1).alias("doc_key"), F.concat(F.lit("item://"), "item_id").alias("url"), F.lit("").alias("title"),
+        F.col("text").alias("content"))
+    build_published(docs, path)
+    for turn in (1, 2):
+        asked = _questions(spark, sf_dir).select(F.concat(F.lit(f"{turn}-"), "q_id").alias("q_id"), "question")
+        asked.write.mode("append").parquet(f"{scratch.path}/questions")
+        stream = spark.readStream.schema(asked.schema).parquet(f"{scratch.path}/questions")
+        ask_published(stream, path, f"{scratch.path}/answers", f"{scratch.path}/checkpoint").awaitTermination()
+        if turn == 1:
+            update_published(docs.unionByName(items), path)
+    answered = spark.read.parquet(f"{scratch.path}/answers")
+    return _flat(answered).join(answered.select("q_id", "index_version"), "q_id")
+
+
+# --- files and models -----------------------------------------------------------
+
+def _one_file_each(rows: DataFrame, path: str, kind: str):
+    """A file for every row, as crawlers and uploaders leave them."""
+    rows.write.mode("append").option("maxRecordsPerFile", 1).format(kind).save(path)
+
+
+def read_docs_files(spark, sf_dir):
+    """Every document as a JSON file of its own; every tenth has no URL and becomes an error."""
+    path = f"{Scratch(spark, 'files').path}/docs"
+    url = F.when(F.col("doc_key") % 10 != 0, F.col("url"))
+    _one_file_each(documents(spark, sf_dir).select(url.alias("url"), "title", "content", F.lit(1.0).alias("timestamp"), F.length("content").alias(
+        "content_length")), path, "json")
+    docs, errors = read_docs(spark, path)
+    return docs.select("url", "title", F.md5(F.col("content").cast("binary")).alias("content"), "content_length").unionByName(
+        errors.select(F.lit("").alias("url"), "stage", F.regexp_replace("message", "part-[^ ]*json", "a file").alias("content"),
+                      F.lit(0).alias("content_length")).withColumnRenamed("stage", "title"))
+
+
+def _uploaded(spark, sf_dir):
+    """Every document as an upload: of every five one has a suffix that isn't taken, one is blank."""
+    path, kind = f"{Scratch(spark, 'uploads').path}/in", F.col("doc_id") % 5
+    docs = _table(spark, sf_dir, "documents")
+    _one_file_each(docs.where(kind != 0).select(F.when(kind == 1, F.lit(" \n")).otherwise(F.col("text")).alias("value")), path, "text")
+    _one_file_each(docs.where(kind == 0).select("text"), path, "csv")
+    return read_uploads(spark, path)
+
+
+def upload_docs(spark, sf_dir):
+    docs, _ = _uploaded(spark, sf_dir)
+    return docs.groupBy(F.md5(F.col("content").cast("binary")).alias("content"), "content_length").agg(
+        F.count("*").alias("files"), F.count_if(F.startswith("url", F.lit("uploaded://part-"))).alias("urls"),
+        F.count_if(F.startswith("doc_key", F.lit("upload_"))).alias("keys"))
+
+
+def upload_errors(spark, sf_dir):
+    _, errors = _uploaded(spark, sf_dir)
+    return errors.groupBy("stage", "message").agg(F.count("*").alias("files"))
+
+
+def _vowels(batches):
+    """A model: how often a text has each of five letters."""
+    for texts in batches:
+        yield texts.map(lambda t: [float(t.count(c)) for c in "aeiou"])
+
+
+def embedded_by_model(spark, sf_dir):
+    docs = spread(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return embed(docs, "text", _vowels, 5).select("doc_id", F.posexplode("embedding").alias("pos", "x")).select(
+        "doc_id", "pos", (F.round(F.col("x").cast("double"), 4) + 0.0).alias("x"))
+
+
+def _measure(prompts):
+    """A generator: it tells the length of its prompt, and fails for every third length."""
+    return prompts.map(lambda p: None if len(p) % 3 == 0 else f" The prompt has {len(p)} characters. ")
+
+
+def generated_answers(spark, sf_dir):
+    return _flat(answer_hits(_questions(spark, sf_dir), _hits(spark, sf_dir, 0.6), _measure))
+
+
 QUERIES = {f.__name__: f for f in (
     url_domain, url_normalize, doc_key, same_site, site_sizes,
     clean_text, clean_boilerplate, snippets, short_docs, doc_error_digest, doc_stats, latest_docs,
@@ -421,5 +573,6 @@ QUERIES = {f.__name__: f for f in (
     vector_topk, vector_topk_threshold, vector_topk_each, vector_topk_edges, unit_vectors, vector_best_score, retrieved, retrieved_turns,
     context, sources, prompts, answers, answers_strict, unsafe_flags, refusals, turn_answers,
     page_titles, page_text, page_errors, links, robots, walked_pages, walk_stats, walk_summary,
-    streamed_chunks,
+    streamed_chunks, index_reloaded, index_delta, streamed_versions, streamed_answers,
+    read_docs_files, upload_docs, upload_errors, embedded_by_model, generated_answers,
 )}
