@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.llm.columns import ascii_lower, text_key, text_of, words_of
+from lodestone.llm.columns import ascii_lower, text_key, text_of, words_of, unused
 from lodestone.plans.scratch import Scratch
 
 SPAN = 10    # words in a row that count as shared
@@ -87,11 +87,11 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
         _with_fingerprints(bench.filter(F.size("words") >= span), [], span, gram).select(F.explode("fps").alias("fp"))
         .unionByName(bench.filter(F.size("words") < span).select(F.explode(F.concat(
             *[F.when(own_length == n, _grams(F.col("words"), n, salt=n)).otherwise(F.array().cast("array<bigint>"))
-              for n in short], F.array().cast("array<bigint>"))).alias("fp"))).distinct().coalesce(1), "prints")
+              for n in short], F.array().cast("array<bigint>"))).alias("fp"))).distinct(), "prints")
     windows = scratch.write(bench.select("item", F.explode(F.concat(
         *[F.when(own_length == n, _windows(F.col("words"), n)).otherwise(
             F.array().cast("array<struct<at:int,length:int,h1:bigint,h2:bigint>>")) for n in lengths])).alias("w"))
-        .select("item", "w.length", "w.h1", "w.h2").distinct().coalesce(1), "windows")
+        .select("item", "w.length", "w.h1", "w.h2").distinct(), "windows")
 
     content = text_of(text)
     marked = docs.select(F.col(key), content.alias("_text"), text_key(content).alias("_k")).select(
@@ -118,8 +118,13 @@ def contamination(docs: DataFrame, items: DataFrame, key: str = "doc_id", text:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", **settings) -> DataFrame:
-    """``docs`` without the rows that share a window with an item. All columns stay."""
+    """``docs`` without the rows that share a window with an item. All columns stay, whatever their names.
+
+    Null, empty and wordless texts share nothing and stay; long texts are read whole; repeated rows stay or go together. An
+    empty table, of documents or items, removes nothing.
+    """
     dirty = Scratch(docs.sparkSession, "decontam").write(
         contamination(docs, items, key, text, **settings).filter("n_hit > 0").select("ka", "kb").distinct(), "dirty")
-    keyed = docs.withColumn("_k", text_key(text_of(text)))
-    return keyed.join(dirty, (F.col("_k.a") == dirty["ka"]) & (F.col("_k.b") == dirty["kb"]), "left_anti").drop("_k")
+    k, = unused(docs, "_k")
+    keyed = docs.withColumn(k, text_key(text_of(text)))
+    return keyed.join(dirty.select(F.struct(F.col("ka").alias("a"), F.col("kb").alias("b")).alias(k)), k, "left_anti").select(*docs.columns)

@@ -18,6 +18,7 @@ from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lodestone.llm.columns import unused
 from lodestone.plans.scratch import Scratch
 
 WEIGHTS = (5, 2, 1)          # repeated over the sources by code point, null last
@@ -162,11 +163,12 @@ def mix(docs: DataFrame, members: Column, size: Column, key: list[str], weights=
     scratch = Scratch(docs.sparkSession, "mix")
     spark = docs.sparkSession
     members = F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
+    pattern, place, cuts_of = unused(docs, "_pattern", "_key", "_cuts")
     rows = docs.withColumns({
-        "size": F.coalesce(size, F.lit(0)).cast("long"), "_pattern": F.to_json(members),
-        "_key": F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 1)})
-    marked = scratch.write(rows.select(F.col("_pattern").alias("pattern"), members.alias("members"), "size",
-                                       F.col("_key").alias("key")), "marked")
+        "size": F.coalesce(size, F.lit(0)).cast("long"), pattern: F.to_json(members),
+        place: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 1)})
+    marked = scratch.write(rows.select(F.col(pattern).alias("pattern"), members.alias("members"), "size",
+                                       F.col(place).alias("key")), "marked")
     plan = plan_mix(marked.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")),
                     weights, share, most)
     cuts = spark.createDataFrame(_cuts(plan), "pattern string, source string, whole long, rest long")
@@ -176,13 +178,13 @@ def mix(docs: DataFrame, members: Column, size: Column, key: list[str], weights=
     for row in sorted(keyed, key=lambda r: _order(r["source"])):
         by_pattern[row["pattern"]].append((row["source"], row["whole"], row["last"]))
     table = spark.createDataFrame(list(by_pattern.items()),
-                                  "_pattern string, _cuts array<struct<source:string,whole:long,last:long>>")
-    below = lambda cut: F.coalesce(cut["whole"] + (F.col("_key") <= cut["last"]).cast("long"), F.lit(0))
-    shares = F.transform(F.col("_cuts"), lambda cut, i: F.struct(
-        cut["source"].alias("source"), (below(cut) - below(F.get(F.col("_cuts"), i - 1))).alias("copies")))
-    out = (rows.join(F.broadcast(table), "_pattern", "left")
+                                  f"{pattern} string, {cuts_of} array<struct<source:string,whole:long,last:long>>")
+    below = lambda cut: F.coalesce(cut["whole"] + (F.col(place) <= cut["last"]).cast("long"), F.lit(0))
+    shares = F.transform(F.col(cuts_of), lambda cut, i: F.struct(
+        cut["source"].alias("source"), (below(cut) - below(F.get(F.col(cuts_of), i - 1))).alias("copies")))
+    out = (rows.join(F.broadcast(table), pattern, "left")
            .withColumn("shares", F.filter(F.coalesce(shares, F.array().cast("array<struct<source:string,copies:bigint>>")),
                                           lambda x: x["copies"] > 0))
            .withColumn("copies", F.aggregate("shares", F.lit(0).cast("long"), lambda a, x: a + x["copies"]))
-           .drop("_pattern", "_key", "_cuts"))
+           .drop(pattern, place, cuts_of))
     return out, plan

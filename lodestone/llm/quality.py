@@ -4,9 +4,10 @@ The model is trained on trusted text. Its grams run inside words, ends marked, s
 words, and a document's score is the sum of its words' scores. Counts, continuation counts, context totals and
 probabilities are DataFrames joined on the gram, its context and its suffix, one order after the other.
 
-For scoring the finished table goes out in shards of at most ``SHARD_ROWS`` grams, each used in a pass of its own, so a
-task never holds more of it, however much trusted text there is. A document is rejected if its perplexity lies above a
-quantile of the trusted documents of its language.
+For scoring the finished table goes out in shards of about ``SHARD_ROWS`` grams, each used in a pass of its own and then
+dropped, so neither a task nor the driver ever holds more of it, however much trusted text there is. A document is rejected
+if its perplexity lies above a quantile of the trusted documents of its language; a fifth of these is kept out of the
+training for that.
 """
 
 from __future__ import annotations
@@ -17,15 +18,17 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.llm.columns import text_of, words_of
+from lodestone.llm.columns import text_of, unused, words_of
 from lodestone.plans.scratch import Scratch
 
 ORDER = 5
 QUANTILE = 0.995       # of the trusted documents' perplexities in a language
 MARGIN = 1.1           # a document may exceed the quantile by this factor
 SLACK = 1.5            # a text of n signs may exceed it by exp(SLACK / sqrt(n)) more: short texts vary
+HELD_OUT = 5           # one of so many trusted documents sets the quantile instead of training the model
 LEAST_TRUSTED = 30     # languages with fewer trusted documents use the quantile over all languages
 SHARD_ROWS = 3_000_000
 LABELS_IN_MEMORY = 500_000  # trusted ids, 8 bytes each, that are broadcast; more are joined by a shuffle
@@ -167,13 +170,16 @@ class Grams:
         return np.bincount(owner[counts], logp[counts], len(words))
 
 
-def shards(model: DataFrame, rows: int = SHARD_ROWS) -> list[tuple]:
-    """The arguments of ``Grams`` for each shard of the model, split by context characters so that none much exceeds
-    ``rows`` grams. Tasks build the tables; the driver only passes the columns on."""
+def shards(model: DataFrame, rows: int = SHARD_ROWS) -> Iterator[tuple]:
+    """The arguments of ``Grams`` for each shard of the model, one after the other, split by context characters so that
+    none exceeds ``rows`` grams by more than those around its commonest character. Tasks build the tables; the driver only
+    passes the columns on."""
 
-    @F.pandas_udf("long")
-    def key(grams: pd.Series) -> pd.Series:
-        return pd.Series(np.array([gram_hashes(_codes(g), len(g))[-1][0] if g else 0 for g in grams], np.uint64).view(np.int64))
+    def hashed(batches):
+        for batch in batches:
+            keys = [gram_hashes(_codes(g), len(g))[-1][0] for g in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(keys, np.uint64).view(np.int64)), batch.column(1), batch.column(2)],
+                                             ["key", "logp", "back"])
 
     last, before = F.substring("gram", -1, 1), F.when(F.length("gram") > 1, F.substring("gram", -2, 1)).otherwise("")
     unknown = model.filter("gram = ''").select("logp").first()[0]
@@ -191,18 +197,16 @@ def shards(model: DataFrame, rows: int = SHARD_ROWS) -> list[tuple]:
                 room = rows
             parts[-1].append(char)
             room -= sizes[char]
-    out = []
     for i, part in enumerate(parts):
         own = grams if len(parts) == 1 else grams.filter(F.col("last").isin(part) | F.col("before").isin(part) | (F.col("before") == ""))
-        df = own.select(key("gram").alias("key"), F.coalesce("logp", F.lit(-99.0)).cast("float").alias("logp"),
-                        F.col("back").cast("float").alias("back")).toPandas()
-        out.append((df["key"].to_numpy(np.int64).view(np.uint64), df["logp"].to_numpy(), df["back"].to_numpy(), unknown,
-                    [ord(c) for c in (part if i else sum(parts[1:], []))], i == 0))
-    return out
+        found = own.select("gram", F.coalesce("logp", F.lit(-99.0)).cast("float").alias("logp"), F.col("back").cast("float").alias(
+            "back")).mapInArrow(hashed, "key long, logp float, back float").toArrow()
+        yield (found["key"].to_numpy().view(np.uint64), found["logp"].to_numpy(), found["back"].to_numpy(), unknown,
+               [ord(c) for c in (part if i else sum(parts[1:], []))], i == 0, len(parts))
 
 
-def _log_probability(text: Column, shard: tuple, order: int, spark) -> Column:
-    held = spark.sparkContext.broadcast(shard)  # at most SHARD_ROWS grams of 16 bytes
+def _log_probability(text: Column, held, order: int) -> Column:
+    """Log probability of the characters of a text that the broadcast shard scores."""
 
     @F.pandas_udf("double")
     def of(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -224,46 +228,57 @@ def _log_probability(text: Column, shard: tuple, order: int, spark) -> Column:
     return of(text)
 
 
-def with_perplexity(docs: DataFrame, model: DataFrame, text: str = "text", name: str = "perplexity", order: int = ORDER,
-                    shard_rows: int = SHARD_ROWS, scratch: Scratch | None = None) -> DataFrame:
-    """``docs`` with the perplexity per sign and the number ``_signs`` of characters and word ends; null without words."""
-    scratch = scratch or Scratch(docs.sparkSession, "quality")
-    signs = words_of(text_of(text))
-    out = docs.withColumn("_sum", F.lit(0.0))
-    parts = shards(model, shard_rows)
-    for i, shard in enumerate(parts):
-        out = out.withColumn("_sum", F.col("_sum") + _log_probability(F.col(text), shard, order, docs.sparkSession))
-        if i + 1 < len(parts):
-            out = scratch.write(out, f"shard-{i}")
-    return (out.withColumn("_words", signs)
-            .withColumn("_signs", F.length(F.array_join("_words", "")) + F.size("_words")).drop("_words")
-            .withColumn(name, F.when(F.col("_signs") > 0, F.exp(-F.col("_sum") / F.col("_signs")))).drop("_sum"))
+def with_perplexity(docs: DataFrame, model: DataFrame, text: str = "text", perplexity: str = "perplexity", signs: str = "signs",
+                    keep: list[str] | None = None, order: int = ORDER, shard_rows: int = SHARD_ROWS,
+                    scratch: Scratch | None = None) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all, if not given) with the perplexity per sign, null without words, and the number
+    of signs, characters and word ends: a written table."""
+    spark, keep = docs.sparkSession, docs.columns if keep is None else keep
+    scratch = scratch or Scratch(spark, "quality")
+    total, = unused(docs, "_sum")
+    words = words_of(text_of(text))
+    out = docs.withColumns({total: F.lit(0.0), signs: F.length(F.array_join(words, "")) + F.size(words)})
+    for i, (*shard, parts) in enumerate(shards(model, shard_rows)):
+        held = spark.sparkContext.broadcast(tuple(shard))
+        out = out.withColumn(total, F.col(total) + _log_probability(F.col(text), held, order))
+        if i + 1 == parts:
+            out = out.select(*keep, signs, F.when(F.col(signs) > 0, F.exp(-F.col(total) / F.col(signs))).alias(perplexity))
+        out = scratch.write(out, f"scored-{i}")
+        held.destroy()
+    return out
 
 
 def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
             label: str = "quality", quantile: float = QUANTILE, order: int = ORDER, columns: list[str] | None = None) -> DataFrame:
     """``columns`` of ``docs`` (all, if not given) with ``perplexity, threshold, kept``; columns of these names are replaced.
 
-    Trusted are the rows whose id is labelled 1 and nowhere 0. ``threshold`` is the ``quantile`` of trusted perplexities in
-    the row's language (null is a language) times ``MARGIN``, and some slack for short texts; languages with fewer than ``LEAST_TRUSTED`` trusted rows use
-    all of them. Without any trusted row all documents are kept. Texts without words have null perplexity and are rejected.
+    Trusted are the rows whose id is labelled 1 and nowhere 0. ``threshold`` is the ``quantile`` of the perplexities of held
+    out trusted rows (one of ``HELD_OUT`` by a hash of the id) in the row's language (null is a language) times ``MARGIN``,
+    and some slack for short texts; languages with fewer than ``LEAST_TRUSTED`` held out rows use those of all languages,
+    and where there are fewer in all, all trusted rows. Without any trusted row all documents with words are kept. Null texts
+    and texts without words have null perplexity and are rejected; long texts are read whole. Repeated rows and ties are
+    judged alike; an empty table stays empty. Other columns stay, whatever their names.
     """
     scratch = Scratch(docs.sparkSession, "quality")
-    good = (labels.select(F.col(key).alias("_id"), label).dropna().groupBy("_id").agg(F.min(label).alias("_good"))
-            .filter("_good = 1").select("_id"))
+    signs, ident, own_lang, own, number = unused(docs, "_signs", "_id", "_lang", "_own", "_n")
+    good = (labels.select(F.col(key).alias(ident), F.col(label).alias(number)).dropna().groupBy(ident).agg(F.min(number).alias(number))
+            .filter(F.col(number) == 1).select(ident))
     good = scratch.write_small(good, "good", LABELS_IN_MEMORY)
-    trusted = docs.join(good, F.col(key) == F.col("_id"), "left_semi")
-    model = scratch.write(train(trusted.select(text), text, order, scratch), "model")
-    scored = with_perplexity(docs, model, text, "perplexity", order, scratch=scratch)
-    kept = list(dict.fromkeys([*(columns or docs.columns), key, lang]))
-    scored = scratch.write(scored.select(*[c for c in kept if c != "perplexity"], "perplexity", "_signs"), "scored")
-    sure = scored.join(good, F.col(key) == F.col("_id"), "left_semi").filter("perplexity is not null")
+    held_out = F.pmod(F.xxhash64(ident), F.lit(HELD_OUT)) == 0
+    trusted = lambda rows, ids: rows.join(ids, F.col(key) == F.col(ident), "left_semi")
+    model = scratch.write(train(trusted(docs, good.filter(~held_out)).select(text), text, order, scratch), "model")
+    kept = [c for c in dict.fromkeys([*(columns or docs.columns), key, lang]) if c not in ("perplexity", "threshold", "kept")]
+    scored = with_perplexity(docs, model, text, "perplexity", signs, kept, order, scratch=scratch)
     level = F.percentile_approx("perplexity", quantile, 10_000)
-    by_lang = sure.groupBy(F.col(lang).alias("_lang")).agg(level.alias("_own"), F.count("*").alias("_n")).filter(
-        F.col("_n") >= LEAST_TRUSTED)
-    every = sure.agg(level.alias("v")).first()["v"]
-    limit = F.coalesce("_own", F.lit(every).cast("double")) * MARGIN * F.exp(SLACK / F.sqrt(F.greatest("_signs", F.lit(1))))
-    out = scored.join(by_lang, F.col(lang).eqNullSafe(F.col("_lang")), "left").withColumn("threshold", limit)
+    sure = trusted(scored, good.filter(held_out)).filter("perplexity is not null")
+    every, count = sure.agg(level, F.count("*")).first()
+    if count < LEAST_TRUSTED:
+        sure = trusted(scored, good).filter("perplexity is not null")
+        every = sure.agg(level).first()[0]
+    by_lang = sure.groupBy(F.col(lang).alias(own_lang)).agg(level.alias(own), F.count("*").alias(number)).filter(
+        F.col(number) >= LEAST_TRUSTED).drop(number)
+    limit = F.coalesce(own, F.lit(every).cast("double")) * MARGIN * F.exp(SLACK / F.sqrt(F.greatest(signs, F.lit(1))))
+    out = scored.join(by_lang, F.col(lang).eqNullSafe(F.col(own_lang)), "left").withColumn("threshold", limit)
     return out.withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))
                           ).select(*[c for c in (columns or docs.columns) if c not in ("perplexity", "threshold", "kept")],
                                    "perplexity", "threshold", "kept")

@@ -29,7 +29,8 @@ def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(
         "doc_id", F.octet_length(text_of("text")).cast("long").alias("n_bytes"),
         F.aggregate(gone, F.lit(0), lambda a, b: a + b).cast("long").alias("n_removed"),
-        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+        (F.size("removed") > 0).alias("repeated"))
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
+from lodestone.llm.columns import unused
 from lodestone.llm.graph import components
 from lodestone.plans.scratch import Scratch
 
@@ -145,13 +146,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
              bits: int = MAX_BITS) -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: one with the smallest key (nulls last), whole.
 
-    All columns are kept. Rows that tie for it count as copies of one another, and one of them stays.
+    All columns are kept, whatever their names. Rows that tie for it count as copies of one another, and one of them stays.
+    Null, empty and wordless texts are alike; long texts are read whole; an empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
     marked = scratch.write(docs.select(F.col(key).alias("_key"), fingerprint(F.col(text), shingle).alias("_fp")), "fingerprints")
     found = groups(marked.select("_key", F.col("_fp").alias("fp")), "_key", scratch, bits).select(
         F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_low"))
+    fp, root, low = unused(docs, "_fp", "_root", "_low")
     first = marked.join(found, "_fp").filter(F.col("_key").eqNullSafe(F.col("_low"))).groupBy("_root").agg(
-        F.min("_fp").alias("_fp"), F.first("_low").alias("_low"))
-    return (docs.withColumn("_fp", fingerprint(F.col(text), shingle)).join(first, "_fp")
-            .filter(F.col(key).eqNullSafe(F.col("_low"))).dropDuplicates(["_root"]).drop("_fp", "_root", "_low"))
+        F.min("_fp").alias("_fp"), F.first("_low").alias("_low")).select(
+        F.col("_fp").alias(fp), F.col("_root").alias(root), F.col("_low").alias(low))
+    return (docs.withColumn(fp, fingerprint(F.col(text), shingle)).join(first, fp)
+            .filter(F.col(key).eqNullSafe(F.col(low))).dropDuplicates([root]).drop(fp, root, low))

@@ -20,7 +20,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from lodestone.llm.columns import text_key, text_of
+from lodestone.llm.columns import text_key, text_of, unused
 from lodestone.plans.scratch import Scratch
 
 LENGTH = 400
@@ -257,7 +257,8 @@ def repeated_windows(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gr
     found = whole(again.filter("not mixed")).unionByName(
         whole(mixed.join(entries.filter("copies > 1").select("gram", "phrase"), ["gram", "phrase"]))).unionByName(
         _sorted_out(contents.join(crowded, "gram", "left_anti"), length)).unionByName(
-        _counted_out(contents.join(crowded, "gram", "left_semi"), length))
+        # a written join of its own: the engine can split the rows of a digest that very many phrases share
+        scratch.write(_counted_out(contents.join(crowded, "gram", "left_semi"), length), "counted"))
     return scratch.write(found.distinct(), "windows")
 
 
@@ -285,11 +286,12 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
     """
     scratch = Scratch(docs.sparkSession, "spans")
     content = text_of(text)
-    keyed = docs.withColumns({"_k": text_key(content), "_data": content.cast("binary")})
-    slim = keyed.select(F.col("_k.a").alias("ka"), F.col("_k.b").alias("kb"), F.col("_data").alias("data"))
+    k, data, spans, result = unused(docs, "_k", "_data", "_windows", "_cut")
+    keyed = docs.withColumns({k: text_key(content), data: content.cast("binary")})
+    slim = keyed.select(F.col(f"{k}.a").alias("ka"), F.col(f"{k}.b").alias("kb"), F.col(data).alias("data"))
     windows = repeated_windows(slim, scratch, length, gram, crowd)
-    lists = windows.groupBy(F.struct(F.col("ka").alias("a"), F.col("kb").alias("b")).alias("_k")).agg(
-        F.collect_list(F.struct("lo", "hi")).alias("_windows"))
+    lists = windows.groupBy(F.struct(F.col("ka").alias("a"), F.col("kb").alias("b")).alias(k)).agg(
+        F.collect_list(F.struct("lo", "hi")).alias(spans))
 
     @F.pandas_udf("struct<kept:binary,removed:array<struct<begin:int,end:int>>>")
     def cut(data: pd.Series, windows: pd.Series) -> pd.DataFrame:
@@ -297,5 +299,5 @@ def remove_repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gr
                 for d, w in zip(data, windows, strict=True)]
         return pd.DataFrame({"kept": [k for k, _ in kept], "removed": [[{"begin": a, "end": b} for a, b in r] for _, r in kept]})
 
-    out = keyed.join(lists, "_k", "left").withColumn("_cut", cut("_data", "_windows"))
-    return out.select(*[c for c in docs.columns if c not in ("kept", "removed")], "_cut.kept", "_cut.removed")
+    out = keyed.join(lists, k, "left").withColumn(result, cut(data, spans))
+    return out.select(*[c for c in docs.columns if c not in ("kept", "removed")], f"{result}.kept", f"{result}.removed")
