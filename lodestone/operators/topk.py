@@ -145,10 +145,12 @@ def _keep_best(table, ks, key_cols):
 
 def _score_partition(shared, key_cols, vec_col, threshold, metric):
     def run(batches):
-        ids, questions, ks = shared.value
+        ids, questions, ks, *floors = shared.value
         n, dim = questions.shape
         scorer = _Scorer(questions, metric)
         floor = np.full(n, -np.inf if threshold is None else float(threshold))
+        if floors:  # scores that each question is known to reach k times
+            floor = np.maximum(floor, floors[0])
         best = None
         for piece in slices(batches, _BATCH):
             batch = pa.Table.from_batches([piece]).sort_by([(c, "ascending") for c in key_cols])

@@ -350,6 +350,7 @@ FROM chunks""",
     "index_counts": _chunks() + f"""
 SELECT count(*) AS vector_count, (SELECT count(*) FROM documents WHERE NOT ({_GOOD})) AS error_count FROM chunks""",
     "vector_topk": f"SELECT q_id, rank, vec_id, score FROM ({_RANKED_VECTORS}) WHERE rank <= 5",
+    "vector_topk_blocks": f"SELECT q_id, rank, vec_id, score FROM ({_RANKED_VECTORS}) WHERE rank <= 5",
     "vector_topk_threshold": f"""SELECT q_id, rank, vec_id, score FROM ({_RANKED_VECTORS})
 WHERE score >= 0.3 AND rank <= 1 + q_id % 5""",
     "vector_topk_each": f"SELECT q_id, rank, vec_id, score FROM ({_RANKED_VECTORS}) WHERE rank <= 1 + q_id % 20",

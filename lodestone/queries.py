@@ -11,6 +11,7 @@ from lodestone import settings
 from lodestone.functions import answers as answer_fn, text as text_fn, urls as url_fn
 from lodestone.functions.vectors import hash_tokens, l2_normalize
 from lodestone.operators import context as context_op
+from lodestone.operators.blocks import top_k_blocks, write_vectors
 from lodestone.operators.chunking import chunk_docs, chunk_id, chunk_stats
 from lodestone.operators.embed import embed
 from lodestone.operators.html import extract_pages, page_links
@@ -193,6 +194,12 @@ def vector_topk(spark, sf_dir):
     return top_k_join(_vector_questions(spark, sf_dir), _vectors(spark, sf_dir), threshold=None, keys=["vec_id"])
 
 
+def vector_topk_blocks(spark, sf_dir):
+    """The same search against vectors stored in blocks."""
+    blocks = write_vectors(_vectors(spark, sf_dir), Scratch(spark, "vectors").path, ["vec_id"])
+    return top_k_blocks(_vector_questions(spark, sf_dir), blocks, threshold=None)
+
+
 def vector_topk_threshold(spark, sf_dir):
     """Per-question k, and the similarity threshold."""
     asked = _vector_questions(spark, sf_dir).withColumn("top_k", F.expr("1 + int(q_id % 5)"))
@@ -570,7 +577,7 @@ QUERIES = {f.__name__: f for f in (
     url_domain, url_normalize, doc_key, same_site, site_sizes,
     clean_text, clean_boilerplate, snippets, short_docs, doc_error_digest, doc_stats, latest_docs,
     chunks, chunks_small, chunk_offsets, chunk_totals, hash_embed, index_info, index_counts,
-    vector_topk, vector_topk_threshold, vector_topk_each, vector_topk_edges, unit_vectors, vector_best_score, retrieved, retrieved_turns,
+    vector_topk, vector_topk_blocks, vector_topk_threshold, vector_topk_each, vector_topk_edges, unit_vectors, vector_best_score, retrieved, retrieved_turns,
     context, sources, prompts, answers, answers_strict, unsafe_flags, refusals, turn_answers,
     page_titles, page_text, page_errors, links, robots, walked_pages, walk_stats, walk_summary,
     streamed_chunks, index_reloaded, index_delta, streamed_versions, streamed_answers,
