@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lodestone import settings
 from lodestone.functions.urls import domain
@@ -130,9 +130,12 @@ def _queue(level, ends, links, visited):
 
 def error_rows(errors: DataFrame) -> DataFrame:
     """Walk errors in the shape of all other error tables: ``stage, key, message``."""
-    message = F.when(F.col("reason") == "robots", F.concat(F.lit("Blocked by robots.txt: "), "url")).otherwise(
+    return errors.select(F.lit("crawl").alias("stage"), F.col("url").alias("key"), _message().alias("message"))
+
+
+def _message() -> Column:
+    return F.when(F.col("reason") == "robots", F.concat(F.lit("Blocked by robots.txt: "), "url")).otherwise(
         F.concat(F.lit("Error fetching "), "url", F.lit(": page "), "reason"))
-    return errors.select(F.lit("crawl").alias("stage"), F.col("url").alias("key"), message.alias("message"))
 
 
 def crawl_summary(visited: DataFrame, skipped: DataFrame, errors: DataFrame) -> DataFrame:
@@ -148,6 +151,21 @@ def crawl_summary(visited: DataFrame, skipped: DataFrame, errors: DataFrame) ->
         F.coalesce("urls", F.array().cast("array<string>")).alias("urls"))
 
 
+def crawl_report(visited: DataFrame, errors: DataFrame, ts: Column | None = None) -> DataFrame:
+    """The report of a crawl as rows, whatever a walk's size: ``site, crawl_timestamp, kind, place, entry``.
+
+    Kind ``url`` has the accepted URLs, numbered in visiting order, kind ``error`` the messages of what could not be read,
+    numbered in their own order. ``ts`` is the time of the crawl (now, if not given), the same in all rows.
+    """
+    now = F.unix_timestamp().cast("double") if ts is None else ts.cast("double")
+    order = Window.partitionBy("site").orderBy("depth", "ord")
+    urls = visited.select("site", F.lit("url").alias("kind"), F.row_number().over(order).alias("place"), F.col("url").alias("entry"))
+    told = errors.select("site", _message().alias("entry"))
+    told = told.select("site", F.lit("error").alias("kind"), F.row_number().over(
+        Window.partitionBy("site").orderBy("entry")).alias("place"), "entry")
+    return urls.unionByName(told).select("site", now.alias("crawl_timestamp"), "kind", "place", "entry")
+
+
 def crawl_stats(visited: DataFrame, skipped: DataFrame, errors: DataFrame) -> DataFrame:
     """The counts of ``crawl_summary`` alone."""
     pages = visited.groupBy("site").agg(F.count("*").alias("page_count"))

@@ -400,6 +400,12 @@ SELECT site, page_count, CAST(skipped_count AS BIGINT) AS skipped_count, error_c
 SELECT site, page_count, CAST(skipped_count AS BIGINT) AS skipped_count, error_count, coalesce((
   SELECT string_agg(url, ' ' ORDER BY depth, ord) FROM seen v WHERE v.site = counts.site AND status = 'accepted'), '')
   AS urls FROM counts""",
+    "crawl_report": _walk(False, True, 50, 3) + """, told AS (
+  SELECT site, 'error' AS kind, CASE status WHEN 'robots' THEN 'Blocked by robots.txt: ' || url
+    ELSE 'Error fetching ' || url || ': page ' || status END AS entry FROM seen WHERE status NOT IN ('accepted', 'short'))
+SELECT site, 1.5::DOUBLE AS crawl_timestamp, 'url' AS kind,
+  CAST(row_number() OVER (PARTITION BY site ORDER BY depth, ord) AS INTEGER) AS place, url AS entry FROM seen WHERE status = 'accepted'
+UNION ALL SELECT site, 1.5, kind, CAST(row_number() OVER (PARTITION BY site ORDER BY entry) AS INTEGER), entry FROM told""",
     "streamed_chunks": _chunks() + """
 SELECT CAST(doc_id AS VARCHAR) AS doc_key, chunk_index, content, CAST(coalesce(sum(length(content) - 100) OVER (
     PARTITION BY doc_id ORDER BY chunk_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT)

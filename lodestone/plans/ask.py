@@ -37,38 +37,48 @@ def retrieve(questions: DataFrame, index: DataFrame | StoredIndex, k: int = sett
 
 
 def _guarded(generate_fn):
-    """A failing batch is tried row by row, so that only the rows that fail by themselves get no answer."""
+    """Answers and what went wrong. A failing batch is halved until only the rows that fail by themselves are left without
+    an answer, so that one bad row among n costs some ``2 log n`` calls and not one for each."""
 
-    def run(prompts: pd.Series) -> pd.Series:
-        try:
-            return pd.Series(generate_fn(prompts), dtype=object)
-        except Exception:
-            return pd.Series([alone(p) for p in prompts], dtype=object)
-
-    def alone(prompt):
-        try:
-            return pd.Series(generate_fn(pd.Series([prompt])), dtype=object).iloc[0]
-        except Exception:
-            return None
+    def run(prompts: pd.Series) -> pd.DataFrame:
+        answers, errors = _halved(generate_fn, list(prompts))
+        return pd.DataFrame({"answer": pd.Series(answers, dtype=object), "error": pd.Series(errors, dtype=object)})
 
     return run
 
 
+def _halved(generate_fn, prompts: list) -> tuple[list, list]:
+    if not prompts:
+        return [], []
+    try:
+        made = list(generate_fn(pd.Series(prompts, dtype=object)))
+        if len(made) != len(prompts):
+            raise ValueError(f"{len(made)} answers to {len(prompts)} prompts")
+        return made, [None] * len(made)
+    except Exception as problem:
+        if len(prompts) == 1:
+            return [None], [f"{type(problem).__name__}: {problem}"]
+        half = len(prompts) // 2
+        first, second = _halved(generate_fn, prompts[:half]), _halved(generate_fn, prompts[half:])
+        return first[0] + second[0], first[1] + second[1]
+
+
 def _generate(rows: DataFrame, generate_fn) -> DataFrame:
     """Run a generator over the rows that have a context; an empty or failed generation is *insufficient*."""
     has_context = strip_ws(F.col("context")) != ""
-    model = F.pandas_udf(_guarded(generate_fn), T.StringType()).asNondeterministic()
-    made = rows.where(has_context).withColumn(
-        "answer", strip_ws(model(build_prompt(F.col("question"), F.col("context")))))
+    model = F.pandas_udf(_guarded(generate_fn), "answer string, error string").asNondeterministic()
+    made = rows.where(has_context).withColumn("_made", model(build_prompt(F.col("question"), F.col("context"))))
     made = made.withColumn("answer", cap_answer(F.coalesce(
-        F.nullif("answer", F.lit("")), F.lit(settings.ANSWER_INSUFFICIENT))))
-    return made.unionByName(
-        rows.where(~has_context).withColumn("answer", F.lit(settings.ANSWER_NOT_FOUND)))
+        F.nullif(strip_ws(F.col("_made.answer")), F.lit("")), F.lit(settings.ANSWER_INSUFFICIENT))))
+    made = made.withColumn("generation_error", F.col("_made.error")).drop("_made")
+    return made.unionByName(rows.where(~has_context).withColumns({
+        "answer": F.lit(settings.ANSWER_NOT_FOUND), "generation_error": F.lit(None).cast("string")}))
 
 
 def answer_hits(questions: DataFrame, hits: DataFrame, generate_fn=None,
                 max_context: int = settings.CONTEXT_CHARS) -> DataFrame:
-    """Exactly one row per question: ``q_id, question, answer, sources, is_refusal, unsafe_phrase``.
+    """Exactly one row per question: ``q_id, question, answer, sources, is_refusal, unsafe_phrase``, and with a generator
+    ``generation_error``: why it gave no answer (``generation_errors`` has these in the shape of all error tables).
 
     ``generate_fn`` maps a pandas Series of prompts to one of answers (null for a failed one). Unsafe rows and
     rows without context are split off first, so they never reach it. A null question is an error and refused.
@@ -87,10 +97,17 @@ def answer_hits(questions: DataFrame, hits: DataFrame, generate_fn=None,
             answer_extractive(F.col("question"), F.col("context"))))
     else:
         rows = _generate(rows.where(~rejected), generate_fn).unionByName(
-            rows.where(rejected).withColumn("answer", fixed))
+            rows.where(rejected).withColumns({"answer": fixed, "generation_error": F.lit(None).cast("string")}))
+    failed = ["generation_error"] if generate_fn else []
     return rows.select(
         "q_id", "question", "answer", F.when(rejected, none).otherwise(F.col("sources")).alias("sources"),
-        (rejected | is_refusal(F.col("answer"))).alias("is_refusal"), "unsafe_phrase")
+        (rejected | is_refusal(F.col("answer"))).alias("is_refusal"), "unsafe_phrase", *failed)
+
+
+def generation_errors(answers: DataFrame) -> DataFrame:
+    """The questions that a generator failed on: ``stage, key, message``."""
+    return answers.where(F.col("generation_error").isNotNull()).select(
+        F.lit("generate").alias("stage"), F.col("q_id").cast("string").alias("key"), F.col("generation_error").alias("message"))
 
 
 def ask_batch(questions: DataFrame, index: DataFrame | StoredIndex, k: int = settings.TOP_K,

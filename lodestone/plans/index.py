@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
 
 from lodestone import settings
 from lodestone.functions.text import strip_ws
@@ -10,9 +10,13 @@ from lodestone.operators.chunking import chunk_docs, chunk_id
 from lodestone.operators.embed import embed
 
 
+def long_enough(min_chars: int = settings.MIN_DOC_CHARS) -> Column:
+    return F.length(strip_ws(F.coalesce("content", F.lit("")))) >= min_chars
+
+
 def split_docs(docs: DataFrame, min_chars: int = settings.MIN_DOC_CHARS) -> tuple[DataFrame, DataFrame]:
     """``(long enough, errors)``."""
-    enough = F.length(strip_ws(F.coalesce("content", F.lit("")))) >= min_chars
+    enough = long_enough(min_chars)
     errors = docs.where(~enough).select(
         F.lit("index").alias("stage"), F.col("url").alias("key"),
         F.concat(F.lit("Skipping document with no content: "), "url").alias("message"))
@@ -43,10 +47,10 @@ def index_config(spark: SparkSession, chunks: DataFrame, model: str = settings.H
 
 
 def index_result(chunks: DataFrame, errors: DataFrame) -> DataFrame:
-    """One row: number of vectors and of errors; the errors themselves stay a table."""
-    made = chunks.agg(F.count("*").alias("vector_count"))
-    failed = errors.agg(F.count("*").alias("error_count"))
-    return made.withColumn("_one", F.lit(1)).join(failed.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    """One row: number of vectors and of errors; the errors themselves stay a table. Counts in one pass over both; a
+    published index has been counted while it was written (``upkeep.index_totals``)."""
+    kinds = chunks.select(F.lit(0).alias("kind")).unionByName(errors.select(F.lit(1).alias("kind")))
+    return kinds.agg(F.count_if(F.col("kind") == 0).alias("vector_count"), F.count_if(F.col("kind") == 1).alias("error_count"))
 
 
 def index_status(config: DataFrame) -> DataFrame:
@@ -59,10 +63,12 @@ def error_counts(errors: DataFrame) -> DataFrame:
 
 
 def error_digest(errors: DataFrame, n: int = 5) -> DataFrame:
-    """First ``n`` messages (by stage and key) and how many more there are."""
-    total = errors.agg(F.count("*").alias("_total")).withColumn("_one", F.lit(1))
-    shown = errors.orderBy("stage", "key", "message").limit(n).withColumn("_one", F.lit(1))
-    return shown.join(total, "_one").select(
-        "stage", "key", "message", F.greatest(F.col("_total") - n, F.lit(0)).alias("more"))
+    """First ``n`` messages (by stage and key) and how many more there are, from one pass that also counts."""
+    seen = Observation()
+    shown = errors.select("stage", "key", "message").observe(seen, F.count("*").alias("n")).orderBy("stage", "key", "message").limit(n)
+    rows = shown.collect()  # n rows
+    more = seen.get["n"] - n if len(rows) == n else 0
+    return errors.sparkSession.createDataFrame(
+        [(*r, more) for r in rows], "stage string, key string, message string, more long")
 
 

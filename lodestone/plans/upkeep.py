@@ -8,13 +8,13 @@ beside the base, all of them into a new base.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from lodestone import settings
 from lodestone.operators.chunking import chunk_docs, chunk_id
 from lodestone.operators.embed import embed
 from lodestone.operators.latest import latest_by_key
-from lodestone.plans.index import split_docs
+from lodestone.plans.index import long_enough, split_docs
 from lodestone.plans.scratch import Scratch
 from lodestone.sources.index import StoredIndex, index_content, open_index, sorted_segment
 from lodestone.sources.published import Published
@@ -69,17 +69,47 @@ def _errors(table: Published, errors: DataFrame) -> str:
 
 def build_published(docs: DataFrame, path: str, size: int = settings.CHUNK_SIZE, overlap: int = settings.CHUNK_OVERLAP, embed_fn=None,
                     dim: int = settings.EMBED_DIM, model: str = settings.HASH_MODEL, **more) -> StoredIndex:
-    """Publish an index of ``docs`` (doc_key unique, url, title, content, optional ts) from scratch."""
+    """Publish an index of ``docs`` (doc_key unique, url, title, content, optional ts) from scratch.
+
+    Documents and those too short are counted by the pass that writes the chunks.
+    """
     ways = _ways(size, overlap, embed_fn, dim, model)
     table = Published(docs.sparkSession, path)
-    before = table.newest()
+    before, seen = table.newest(), Observation()
     docs = _shaped(docs)
-    chunks, errors = _chunked(docs, ways)
-    segment = _with_docs(table, sorted_segment(table, chunks, 0), _rows_of(docs))
-    content = index_content(chunks, [segment], model, size, overlap, dim, errors=[_errors(table, errors)], **more)
+    chunks, _ = _chunked(docs.observe(seen, F.count("*").alias("docs"), F.count_if(~long_enough()).alias("short")), ways)
+    segment = sorted_segment(table, chunks, 0)
+    counted = dict(seen.get)
+    segment = _with_docs(table, segment, _rows_of(docs))
+    errors = [_errors(table, split_docs(docs)[1])] if counted.get("short") else []
+    content = index_content(chunks, [segment], model, size, overlap, dim, errors=errors, counted=counted, **more)
     return StoredIndex(table, table.publish(content, before))
 
 
+def index_corpus(docs: DataFrame, path: str, **ways) -> tuple[StoredIndex | None, DataFrame]:
+    """``(index, errors)`` of a whole corpus. Without documents, or without chunks, nothing is published, what was
+    published stays, and one more error row says why."""
+    spark = docs.sparkSession
+    table = Published(spark, path)
+    if docs.isEmpty():
+        why, index = "No documents found", None
+    elif split_docs(docs)[0].isEmpty():
+        why, index = "No chunks created", None
+    else:
+        index = build_published(docs, path, **ways)
+        return index, published_errors(index)
+    row = spark.createDataFrame([("index", "", why)], "stage string, key string, message string")
+    newest = table.newest()
+    return StoredIndex(table, newest) if newest else index, split_docs(docs)[1].unionByName(row)
+
+
+def index_totals(index: StoredIndex) -> DataFrame:
+    """One row: the vectors and error rows of a freshly built index, as counted while it was written."""
+    counted = index.version.content.get("counted", {})
+    return index.spark.createDataFrame([(sum(s["rows"] for s in index.segments), counted.get("short", 0))],
+                                       "vector_count long, error_count long")
+
+
 def _next(index: StoredIndex, segments: list[dict], errors: list[str], applied: dict | None = None) -> StoredIndex:
     content = {**index.version.content, "segments": segments, "errors": errors}
     if applied:

@@ -18,11 +18,11 @@ from lodestone.operators.html import extract_pages, page_links
 from lodestone.operators.latest import latest_by_key
 from lodestone.operators.robots import robots_filter
 from lodestone.operators.topk import best_score, top_k_join
-from lodestone.operators.walk import crawl_stats, crawl_summary, walk_links
+from lodestone.operators.walk import crawl_report as walk_report, crawl_stats, crawl_summary, walk_links
 from lodestone.plans.ask import answer_hits, retrieve
-from lodestone.plans.index import build_index, error_digest, index_config, index_result, index_status, split_docs
+from lodestone.plans.index import build_index, error_digest, index_config, index_status, split_docs
 from lodestone.plans.scratch import Scratch
-from lodestone.plans.upkeep import build_published, merge_segments, update_published, upsert_published
+from lodestone.plans.upkeep import build_published, index_corpus, index_totals, merge_segments, update_published, upsert_published
 from lodestone.sources.docs import read_docs
 from lodestone.sources.index import open_index, write_index
 from lodestone.sources.pages import as_questions, read_pages, spread
@@ -177,7 +177,8 @@ def index_info(spark, sf_dir):
 
 
 def index_counts(spark, sf_dir):
-    return index_result(*build_index(spread(documents(spark, sf_dir))))
+    """Counted by the one pass that writes the index."""
+    return index_totals(index_corpus(spread(documents(spark, sf_dir)), Scratch(spark, "counted").path)[0])
 
 
 # --- search -----------------------------------------------------------------
@@ -421,6 +422,12 @@ def walk_summary(spark, sf_dir):
                           F.array_join("urls", " ").alias("urls"))
 
 
+def crawl_report(spark, sf_dir):
+    """The report of one walk per site: its URLs and its errors, row by row."""
+    visited, _, errors = _walk(spark, sf_dir, _one_per_site, True, settings.MAX_PAGES, settings.MAX_DEPTH)
+    return walk_report(visited, errors, F.lit(1.5))
+
+
 # --- streaming --------------------------------------------------------------
 
 def streamed_chunks(spark, sf_dir):
@@ -579,7 +586,7 @@ QUERIES = {f.__name__: f for f in (
     chunks, chunks_small, chunk_offsets, chunk_totals, hash_embed, index_info, index_counts,
     vector_topk, vector_topk_blocks, vector_topk_threshold, vector_topk_each, vector_topk_edges, unit_vectors, vector_best_score, retrieved, retrieved_turns,
     context, sources, prompts, answers, answers_strict, unsafe_flags, refusals, turn_answers,
-    page_titles, page_text, page_errors, links, robots, walked_pages, walk_stats, walk_summary,
+    page_titles, page_text, page_errors, links, robots, walked_pages, walk_stats, walk_summary, crawl_report,
     streamed_chunks, index_reloaded, index_delta, streamed_versions, streamed_answers,
     read_docs_files, upload_docs, upload_errors, embedded_by_model, generated_answers,
 )}
