@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 BLANKS = r"[ \t-\r]+"  # U+0020 and U+0009 to U+000D
@@ -11,6 +13,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1000):
+    """While it is open, jobs pass texts to Python in small batches, which bounds what workers and the engine hold of them."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """The names, each lengthened until no column of the table has it."""
     taken, out = {c.lower() for c in df.columns}, []

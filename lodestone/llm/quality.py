@@ -21,7 +21,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.llm.columns import text_of, unused, words_of
+from lodestone.llm.columns import small_batches, text_of, unused, words_of
 from lodestone.plans.scratch import Scratch
 
 ORDER = 5
@@ -32,7 +32,7 @@ HELD_OUT = 5           # one of so many trusted documents sets the quantile inst
 LEAST_TRUSTED = 30     # languages with fewer trusted documents use the quantile over all languages
 SHARD_ROWS = 3_000_000
 LABELS_IN_MEMORY = 500_000  # trusted ids, 8 bytes each, that are broadcast; more are joined by a shuffle
-_KNOWN = 200_000
+_KNOWN = 100_000
 _START, _END = "\x02", "\x03"
 
 
@@ -243,7 +243,8 @@ def with_perplexity(docs: DataFrame, model: DataFrame, text: str = "text", perpl
         out = out.withColumn(total, F.col(total) + _log_probability(F.col(text), held, order))
         if i + 1 == parts:
             out = out.select(*keep, signs, F.when(F.col(signs) > 0, F.exp(-F.col(total) / F.col(signs))).alias(perplexity))
-        out = scratch.write(out, f"scored-{i}")
+        with small_batches(spark):
+            out = scratch.write(out, f"scored-{i}")
         held.destroy()
     return out
 
@@ -275,8 +276,8 @@ def quality(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str =
     if count < LEAST_TRUSTED:
         sure = trusted(scored, good).filter("perplexity is not null")
         every = sure.agg(level).first()[0]
-    by_lang = sure.groupBy(F.col(lang).alias(own_lang)).agg(level.alias(own), F.count("*").alias(number)).filter(
-        F.col(number) >= LEAST_TRUSTED).drop(number)
+    by_lang = scratch.write_small(sure.groupBy(F.col(lang).alias(own_lang)).agg(level.alias(own), F.count("*").alias(number)).filter(
+        F.col(number) >= LEAST_TRUSTED).drop(number), "levels")
     limit = F.coalesce(own, F.lit(every).cast("double")) * MARGIN * F.exp(SLACK / F.sqrt(F.greatest(signs, F.lit(1))))
     out = scored.join(by_lang, F.col(lang).eqNullSafe(F.col(own_lang)), "left").withColumn("threshold", limit)
     return out.withColumn("kept", F.col("perplexity").isNotNull() & F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True))

@@ -18,7 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.llm.columns import unused
+from lodestone.llm.columns import small_batches, unused
 from lodestone.llm.graph import components
 from lodestone.plans.scratch import Scratch
 
@@ -138,7 +138,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     Null and wordless texts have fingerprint 0 and are linked like any other; an empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.write(docs.select(key, fingerprint(F.col(text), shingle).alias("fp")), "fingerprints")
+    with small_batches(docs.sparkSession):
+        marked = scratch.write(docs.select(key, fingerprint(F.col(text), shingle).alias("fp")), "fingerprints")
     return marked.join(groups(marked, key, scratch, bits), "fp").select(key, "fp", "component_id")
 
 
@@ -150,12 +151,16 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     Null, empty and wordless texts are alike; long texts are read whole; an empty table stays empty.
     """
     scratch = Scratch(docs.sparkSession, "simhash")
-    marked = scratch.write(docs.select(F.col(key).alias("_key"), fingerprint(F.col(text), shingle).alias("_fp")), "fingerprints")
+    with small_batches(docs.sparkSession):
+        marked = scratch.write(docs.select(F.col(key).alias("_key"), fingerprint(F.col(text), shingle).alias("_fp")), "fingerprints")
     found = groups(marked.select("_key", F.col("_fp").alias("fp")), "_key", scratch, bits).select(
         F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_low"))
     fp, root, low = unused(docs, "_fp", "_root", "_low")
     first = marked.join(found, "_fp").filter(F.col("_key").eqNullSafe(F.col("_low"))).groupBy("_root").agg(
         F.min("_fp").alias("_fp"), F.first("_low").alias("_low")).select(
         F.col("_fp").alias(fp), F.col("_root").alias(root), F.col("_low").alias(low))
+    if marked.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1 or _key is null").isEmpty():
+        return docs.join(scratch.write_small(first.select(F.col(low).alias(key)), "first"), key, "left_semi").select(*docs.columns)
+    # rows that share a key are told apart by their fingerprints
     return (docs.withColumn(fp, fingerprint(F.col(text), shingle)).join(first, fp)
             .filter(F.col(key).eqNullSafe(F.col(low))).dropDuplicates([root]).drop(fp, root, low))
