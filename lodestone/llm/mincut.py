@@ -32,11 +32,15 @@ CHROME_WORDS = frozenset("""ad ads advert advertisement adverts alert banner bre
     cookie cookies disclaimer disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices pager
     pagination popup promo promotion recommended related reply replies respond search share sharing sidebar signup social sponsor
     sponsored subscribe toolbar widget""".split())
+AMBIGUOUS_WORDS = frozenset("""alert banner disclaimer footer header login menu modal navigation notice notices promotion recommended
+    related search share sharing social toolbar widget""".split())  # beside another word they may be part of a subject
 CONTENT_WORDS = frozenset("article content entry main post story".split())
 NEVER_WRAPPERS = frozenset("comment comments disqus replies reply respond".split())
 
 # Evidence in tenths; positive speaks for content.
 IN_ARTICLE, OUTSIDE, IN_CHROME, LINKS = 60, -120, -400, -120
+IN_ARTICLE_LINKS = -50   # in an article, in place of LINKS: its lists of links are content
+IN_ARTICLE_CLASS = -130  # in an article, in place of IN_CHROME, for a compound like "social-history"; paragraphs outvote it
 CHROME_CLASS = -70  # in place of IN_CHROME on pages without an article, for class, id or role; long paragraphs outvote it
 PARAGRAPH, HEADING, NEUTRAL, PER_WORD, MOST_WORDS = 20, 10, -30, 2, 40
 FOLLOWING, SIBLING = 10, 20
@@ -54,18 +58,22 @@ _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 class _Element:
-    __slots__ = ("name", "parent", "words", "chrome", "classed", "wraps", "article")
+    __slots__ = ("name", "parent", "words", "chrome", "classed", "compound", "wraps", "article")
 
     def __init__(self, name, parent, attrs):
         self.name, self.parent, self.wraps = name, parent, False
         marks = [a or b or c for a, b, c in _MARKS.findall(attrs)] if attrs else []
-        self.words = {w.lower() for mark in marks for w in _WORD.findall(mark)}
+        named = [{w.lower() for w in _WORD.findall(token)} for mark in marks for token in mark.split()]
+        self.words = set().union(*named)
         self.chrome = name in CHROME or (name not in WRAPPERS and not CHROME_WORDS.isdisjoint(self.words))
         # chrome by its marks alone, or a form around other things; what readers say about a page stays chrome
         self.classed = self.chrome and (name not in CHROME or name == "form") and NEVER_WRAPPERS.isdisjoint(self.words)
+        telling = [words for words in named if not CHROME_WORDS.isdisjoint(words)]
+        self.compound = self.classed and name not in CHROME and all(
+            words - CHROME_WORDS and words & CHROME_WORDS <= AMBIGUOUS_WORDS for words in telling)
         self.article = name in ("article", "main") or not CONTENT_WORDS.isdisjoint(self.words)
         if name == "header" and not any(e.article for e in _up(parent, None)):  # an article's own header has its title
-            self.chrome, self.classed = True, False
+            self.chrome, self.classed, self.compound = True, False, False
         if self.article and not self.chrome:
             while parent is not None and NEVER_WRAPPERS.isdisjoint(parent.words):
                 parent.wraps, parent = True, parent.parent
@@ -163,14 +171,20 @@ def evidence(blocks: list[_Block]) -> list[int]:
     for path in paths:
         marks = [e for e in path if e.chrome and not e.wraps and id(e) not in around]
         chrome = 0 if not marks else 1 if all(e.classed for e in marks) else 2
-        placed.append((chrome, any(e.article for e in path)))
-    any_article = any(article and not chrome for chrome, article in placed)
+        placed.append((chrome, any(e.article for e in path), bool(marks) and all(e.compound for e in marks)))
+    any_article = any(article and not chrome for chrome, article, _ in placed)
     out = []
-    for block, (chrome, article) in zip(blocks, placed, strict=True):
-        score = PER_WORD * min(block.text.count(" ") + 1, MOST_WORDS) + int(LINKS * block.linked)
+    for block, (chrome, article, compound) in zip(blocks, placed, strict=True):
+        links = IN_ARTICLE_LINKS if article and not chrome else LINKS
+        score = PER_WORD * min(block.text.count(" ") + 1, MOST_WORDS) + int(links * block.linked)
         name = block.parent.name
         score += PARAGRAPH if name in ("p", "blockquote", "pre") else HEADING if name[:1] == "h" and name[1:].isdigit() else 0
-        score += (CHROME_CLASS if chrome == 1 and not any_article else IN_CHROME) if chrome else (IN_ARTICLE if article else OUTSIDE) if any_article else NEUTRAL
+        if not chrome:
+            score += (IN_ARTICLE if article else OUTSIDE) if any_article else NEUTRAL
+        elif article and compound:
+            score += IN_ARTICLE + IN_ARTICLE_CLASS
+        else:
+            score += CHROME_CLASS if chrome == 1 and not any_article else IN_CHROME
         out.append(score)
     return out
 
@@ -257,7 +271,8 @@ def main_text(page: str | None) -> str:
 
 
 def main_texts(page: Column) -> Column:
-    """The main text of each page. A null page has an empty text; broken markup is read as far as it makes sense."""
+    """The main text of each page. A null or empty page has an empty text; broken markup is read as far as it makes sense, long
+    pages whole; of equally good cuts the one with less text counts; repeated pages have the same text."""
 
     @F.pandas_udf("string")
     def of(pages: pd.Series) -> pd.Series:

@@ -5,9 +5,11 @@ source quotas; a pattern's second and third repetition cost more than its first
 while unread text of a fitting source is left. The flow runs on the driver over one row per pattern, never per document.
 
 A pattern's flow is laid out along its documents in seeded order, repetition after repetition, and cut where one
-source's share ends. Only the cuts are searched for: in a histogram of 4,096 hash ranges per pattern, then among the
-documents of the ranges that hold a cut. Whether a document is taken follows from its hash alone, so texts are never
-shuffled, a hot source is spread over all tasks, and reruns agree.
+source's share ends. The documents of each size class are cut by themselves, from the longest down, and what a class takes
+too much or too little is carried to the next: in the end a cut is off by half a short document. Only the cuts are searched
+for: in a histogram of 4,096 hash ranges per pattern, then among the documents of the ranges that hold a cut. Whether a
+document is taken follows from its hash and size alone, so texts are never shuffled, a hot source is spread over all
+tasks, and reruns agree.
 """
 
 from __future__ import annotations
@@ -26,7 +28,9 @@ MAX_COPIES = 3
 COPY_COSTS = (0, 1, 3)       # cost of a word's first, second and third use
 SEED = 20240229
 MAX_PATTERNS = 20_000        # the driver holds a row per pattern; more are refused, not cut
+CLASSES = (2048, 256, 32)    # words: longer documents than these are cut first
 _RANGES = 12                 # bits of the histogram
+_ALL = (1 << 63) - 1         # above every seeded key
 
 
 @dataclass(frozen=True)
@@ -132,7 +136,8 @@ def _cuts(plan: Plan) -> list[tuple]:
 
 
 def _cut_keys(marked: DataFrame, cuts: DataFrame) -> DataFrame:
-    """For every cut inside a repetition: the last hash whose documents lie, by their middle, before the cut."""
+    """For every cut inside a repetition: the last hash whose documents lie, by their middle, before the cut, and the words
+    up to it."""
     shift = 63 - _RANGES
     ranged = marked.withColumn("range", F.shiftright("key", shift))
     before = F.sum("words").over(Window.partitionBy("pattern").orderBy("range")) - F.col("words")
@@ -142,13 +147,44 @@ def _cut_keys(marked: DataFrame, cuts: DataFrame) -> DataFrame:
     near = ranged.join(F.broadcast(ranges.select("pattern", "range").distinct()), ["pattern", "range"])
     keys = near.groupBy("pattern", "range", "key").agg(F.sum("size").alias("words"))
     run = Window.partitionBy("pattern", "range").orderBy("key")
-    middle = keys.withColumn("middle", F.sum("words").over(run) - F.col("words") / 2)
+    middle = keys.withColumn("upto", F.sum("words").over(run)).withColumn("middle", F.col("upto") - F.col("words") / 2)
     inside = middle.join(F.broadcast(ranges.select("pattern", "range", "before", "rest").distinct()), ["pattern", "range"])
-    found = inside.groupBy("pattern", "rest", "range").agg(
-        F.max(F.when(F.col("before") + F.col("middle") < F.col("rest"), F.col("key"))).alias("last"))
+    found = inside.groupBy("pattern", "rest", "range", "before").agg(
+        F.max(F.when(F.col("before") + F.col("middle") < F.col("rest"), F.struct("key", "upto"))).alias("last"))
     # where no document of the range lies before the cut, all earlier ranges do
     return found.select("pattern", "rest", F.coalesce(
-        "last", F.call_function("shiftleft", F.col("range").cast("long"), F.lit(shift)) - 1).alias("last"))
+        "last.key", F.call_function("shiftleft", F.col("range").cast("long"), F.lit(shift)) - 1).alias("last"),
+        (F.col("before") + F.coalesce("last.upto", F.lit(0))).alias("taken"))
+
+
+def _settled(marked: DataFrame, plan: Plan) -> dict[tuple, list]:
+    """``source, whole, last`` of every cut, in order, by pattern and size class: rows up to the key ``last`` lie before it."""
+    spark = marked.sparkSession
+    words = {(r["pattern"], r["class"]): r["words"] for r in marked.groupBy("pattern", "class").agg(
+        F.sum("size").alias("words")).collect()}  # a row per pattern and class
+    by_pattern = defaultdict(list)
+    for pattern, source, whole, rest in _cuts(plan):
+        by_pattern[pattern].append((source, whole, rest))
+    carried: dict = defaultdict(Fraction)
+    out: dict = defaultdict(list)
+    for size_class in range(len(CLASSES) + 1):
+        goals = {}
+        for pattern, cuts in by_pattern.items():
+            held, least = words.get((pattern, size_class), 0), {}
+            for i, (_, whole, rest) in enumerate(cuts):
+                own = Fraction(rest * held, plan.sizes[pattern]) if plan.sizes[pattern] else Fraction(0)
+                goal = min(max(own + carried[pattern, i], least.get(whole, 0)), held)  # later cuts never lie before earlier ones
+                least[whole], goals[pattern, i] = goal, (own + carried[pattern, i], round(goal), held)
+        inside = sorted({(p, goal) for (p, _), (_, goal, held) in goals.items() if 0 < goal < held})
+        found = {}
+        if inside:
+            rows = _cut_keys(marked.filter(F.col("class") == size_class), spark.createDataFrame(inside, "pattern string, rest long"))
+            found = {(r["pattern"], r["rest"]): (r["last"], r["taken"]) for r in rows.collect()}  # one row per cut
+        for (pattern, i), (wanted, goal, held) in goals.items():
+            last, taken = (-1, 0) if goal <= 0 else (_ALL, held) if goal >= held else found[pattern, goal]
+            carried[pattern, i] = wanted - taken
+            out[pattern, size_class].append((*by_pattern[pattern][i][:2], last))
+    return out
 
 
 def mix(docs: DataFrame, members: Column, size: Column, key: list[str], weights=WEIGHTS, share: Fraction = Fraction(1),
@@ -158,33 +194,28 @@ def mix(docs: DataFrame, members: Column, size: Column, key: list[str], weights=
     ``members`` is an array of source names (null names a source of its own), ``size`` a count; null counts as none.
     Sources get ``share`` of all words by weight, in the order of their code points, null last. The seeded order is by a
     hash of the columns ``key``; rows equal in them are taken alike. Documents of no source or no words get no copy or,
-    where they are, none that counts. All other columns stay; ``size``, ``shares`` and ``copies`` are replaced.
+    where they are, none that counts. All other columns stay, whatever their names; ``size``, ``shares`` and ``copies`` are replaced.
     """
     scratch = Scratch(docs.sparkSession, "mix")
     spark = docs.sparkSession
     members = F.array_sort(F.array_distinct(F.coalesce(members, F.array().cast("array<string>"))))
-    pattern, place, cuts_of = unused(docs, "_pattern", "_key", "_cuts")
+    pattern, place, cuts_of, of_class = unused(docs, "_pattern", "_key", "_cuts", "_class")
     rows = docs.withColumns({
         "size": F.coalesce(size, F.lit(0)).cast("long"), pattern: F.to_json(members),
         place: F.shiftrightunsigned(F.xxhash64(F.lit(seed), *key), 1)})
+    size_class = F.coalesce(*[F.when(F.col("size") > most_words, i) for i, most_words in enumerate(CLASSES)], F.lit(len(CLASSES)))
     marked = scratch.write(rows.select(F.col(pattern).alias("pattern"), members.alias("members"), "size",
-                                       F.col(place).alias("key")), "marked")
+                                       F.col(place).alias("key"), size_class.alias("class")), "marked")
     plan = plan_mix(marked.groupBy("pattern").agg(F.first("members").alias("members"), F.sum("size").alias("size")),
                     weights, share, most)
-    cuts = spark.createDataFrame(_cuts(plan), "pattern string, source string, whole long, rest long")
-    keyed = cuts.join(_cut_keys(marked, cuts), ["pattern", "rest"], "left").select(
-        "pattern", "source", "whole", F.coalesce("last", F.lit(-1)).alias("last")).collect()  # one row per cut
-    by_pattern = defaultdict(list)
-    for row in sorted(keyed, key=lambda r: _order(r["source"])):
-        by_pattern[row["pattern"]].append((row["source"], row["whole"], row["last"]))
-    table = spark.createDataFrame(list(by_pattern.items()),
-                                  f"{pattern} string, {cuts_of} array<struct<source:string,whole:long,last:long>>")
+    table = spark.createDataFrame([(*k, cuts) for k, cuts in _settled(marked, plan).items()],
+                                  f"{pattern} string, {of_class} int, {cuts_of} array<struct<source:string,whole:long,last:long>>")
     below = lambda cut: F.coalesce(cut["whole"] + (F.col(place) <= cut["last"]).cast("long"), F.lit(0))
     shares = F.transform(F.col(cuts_of), lambda cut, i: F.struct(
         cut["source"].alias("source"), (below(cut) - below(F.get(F.col(cuts_of), i - 1))).alias("copies")))
-    out = (rows.join(F.broadcast(table), pattern, "left")
+    out = (rows.withColumn(of_class, size_class).join(F.broadcast(table), [pattern, of_class], "left")
            .withColumn("shares", F.filter(F.coalesce(shares, F.array().cast("array<struct<source:string,copies:bigint>>")),
                                           lambda x: x["copies"] > 0))
            .withColumn("copies", F.aggregate("shares", F.lit(0).cast("long"), lambda a, x: a + x["copies"]))
-           .drop(pattern, place, cuts_of))
+           .drop(pattern, place, cuts_of, of_class))
     return out, plan

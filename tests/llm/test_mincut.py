@@ -71,6 +71,16 @@ def test_wrappers_with_chrome_words(mark):
     assert main_text(f"<article><p>{LONG}</p></article><div class='{mark}'><p>{more}</p></div>") == LONG
 
 
+def test_compound_classes_and_linked_lists_in_an_article():
+    more = f"{LONG} {LONG}"
+    for mark in ("social-history", "header-files explained", "searchTheory"):
+        assert main_text(f"<article><p>{LONG}</p><section class='{mark}'><p>{more}</p></section></article>") == f"{LONG}\n{more}"
+    for mark in ("social", "share-search", "ad-box", "social-history comments", "newsletterBox", "related"):
+        assert main_text(f"<article><p>{LONG}</p><section class='{mark}'><p>{more}</p></section></article>") == LONG
+    assert main_text(f"<article><p>{LONG}</p><ul><li><a href=x>item</a></li><li><a href=y>other item</a></li></ul></article>") == f"{LONG}\nitem\nother item"
+    assert main_text(f"<article><p>{LONG}</p></article><div class='social-history'><p>{more}</p></div><ul><li><a href=x>item</a></li></ul>") == LONG
+
+
 def test_many_elements_without_an_end():
     assert main_text("<svg>" * 20000 + f"<script>x" * 20000 + f"<p>{LONG}") == LONG
 
