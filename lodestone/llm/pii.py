@@ -7,27 +7,35 @@ parts are mapped part by part, so mentions still refer to the same person.
 
 Distinctness is checked over the whole corpus: the table of distinct entities is grouped by surrogate, and all but one of
 those that meet, or that meet a real entity, are keyed anew until none is left. A family name is settled once, for all who
-bear it, and a given name among the bearers of its family name. Each new keying of a name makes it longer, and later ones
-lengthen mail locals and phones, so these never run out. Texts are never shuffled for that. The few entities that had to be keyed
-anew are joined back by a key of the text; all others are mapped in place.
+bear it, and a given name among the bearers of its family name; a mail site once for all its addresses, and a mailbox
+within its site. Each new keying of a name makes it longer, and later ones lengthen everything else but addresses of hosts,
+so no number of entities ends a job. Texts are never shuffled for that. The few entities that had to be keyed anew are
+joined back by a key of the text; all others are mapped in place.
+
+The key is a setting of the session, ``spark.lodestone.surrogates.key``. Without it every call draws a key of its own that
+nobody can look up, so that surrogates agree within a call only.
 """
 
 from __future__ import annotations
 
+import secrets
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lodestone.llm.columns import text_key, text_of
+from lodestone.llm.columns import text_key, text_of, unused
 from lodestone.plans.scratch import Scratch
 
-KEY = "change-me"    # the secret of the surrogates; the same key gives the same surrogates
+KEY = "spark.lodestone.surrogates.key"  # the setting with the secret; the same key gives the same surrogates
 ATTEMPTS = 40        # keyings tried for an entity before its type counts as exhausted
-SAME_LENGTH = 2      # keyings anew after which mail locals and phones grow by a sign each time
+SAME_LENGTH = 2      # keyings anew after which mailboxes, mail sites and phones grow by a sign each time
+FIXED_LENGTH = 12    # the same for cards, ids and bank accounts, whose length is part of their form
+ROWS = 2_000         # entities that one task settles
 
 # Titles by gender and script, and the names given in their place.
 TITLES = {"m": ("Mr", "Mister", "Sir", "Herr", "Señor", "Sr", "Monsieur", "Господин", "Κύριος"),
-          "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа", "Κυρία")}
+          "f": ("Mrs", "Ms", "Miss", "Madam", "Frau", "Señora", "Sra", "Madame", "Mme", "Госпожа", "Κυρία"),
+          "?": ("Dr", "Doctor", "Prof", "Professor", "Доктор", "Профессор")}
 NAMES = {
     ("latin", "m"): "Adrian Bruno Carl David Emil Felix Gabriel Hugo Ivan Jonas Leo Martin Oscar Paul Simon Victor".split(),
     ("latin", "f"): "Alma Bianca Clara Diana Elena Flora Greta Helena Irene Julia Laura Maria Nora Paula Sara Vera".split(),
@@ -57,13 +65,21 @@ OTHERS = ((r"\p{IsHan}", "安白北长成大东方高光广海和华江金京来
 
 _TITLE = "|".join(sorted((t for ts in TITLES.values() for t in ts), key=len, reverse=True))
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
+_OWN_NETS = r"^(?:10|127|169\.254|192\.168|172\.(?:1[6-9]|2\d|3[01]))\."  # addresses that mean nothing outside a network
+_OTHER_NETS = (23, 31, 45, 52, 64, 78, 89, 91, 104, 128, 142, 151, 163, 178, 185, 198, 203, 217)
+_H = "[0-9A-Fa-f]{1,4}"
 _PATTERNS = {  # the first that fits names the type
     "email": r"[\p{L}\p{N}][\p{L}\p{N}._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}",
     "ip": rf"(?:{_OCTET}\.){{3}}{_OCTET}(?!\.?\d)",
-    "secret": r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})(?![\p{L}\p{N}])",
+    "ipv6": rf"(?=[0-9A-Fa-f:]*\d)(?:(?:{_H}:){{7}}{_H}|(?:{_H}:){{1,6}}(?::{_H}){{1,6}})(?![\p{{L}}\p{{N}}:])",
+    "secret": r"(?:[0-9a-f]{32,}|[0-9A-F]{32,})(?![\p{L}\p{N}])",
+    "token": r"(?:(?:sk|pk|rk)_(?:live|test)_[A-Za-z0-9]{10,}|A[KS]IA[0-9A-Z]{16}|gh[opsur]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}"
+             r"|AIza[0-9A-Za-z_-]{30,})(?![\p{L}\p{N}])",
     "iban": r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "phone": r"\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{2,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)"
-             r"|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)",
+             r"|\(\d{3}\) ?\d{3}-\d{4}(?!\d)|\d{3}[.-]\d{3}[.-]\d{4}(?!\d)|\d{3} \d{3} \d{4}(?! ?\d)"
+             r"|00[1-9]\d{0,2}[ .-]\d{1,4}(?:[ .-]?\d{2,4}){1,4}(?!\d)|\(0[1-9]\d{0,3}\) ?\d{3,8}(?:[ -]\d{2,5})?(?!\d)"
+             r"|0[1-9]\d{1,3}[ /]\d{3,8}(?:[ -]\d{2,5})?(?!\d)",
     "id": r"\d{3}-\d{2}-\d{4}(?!\d)",
     "card": r"\d{4}([ -]?)\d{4}[ -]?\d{4}[ -]?\d{1,7}(?![\p{L}\p{N}])",
     "name": rf"(?:{_TITLE})\.? \p{{Lu}}[\p{{L}}'’-]+(?: \p{{Lu}}[\p{{L}}'’-]+)?(?![\p{{L}}])",
@@ -114,6 +130,14 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(values, F.lit(0), lambda a, b: a + b) % 10
 
 
+def _mod97(account: Column) -> Column:
+    """A bank account's number modulo 97, country and check digits last, letters as 10 to 35."""
+    moved = F.concat(F.substring(account, 5, 64), F.substring(account, 1, 4))
+    step = lambda a, c: F.when(c.rlike("[0-9]"), (a * 10 + F.coalesce(F.try_to_number(c, F.lit("9")).cast("int"), F.lit(0))) % 97).otherwise(
+        (a * 100 + F.ascii(c) - 55) % 97)
+    return F.aggregate(_chars(moved), F.lit(0), step)
+
+
 def _script(word: Column) -> Column:
     return F.when(word.rlike(r"^\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"^\p{IsGreek}"), "greek").otherwise("latin")
 
@@ -137,7 +161,8 @@ def normal_of(kind: Column, raw: Column) -> Column:
     gender = F.when(title.isin(*TITLES["m"]), "m").when(title.isin(*TITLES["f"]), "f").otherwise("?")
     return (F.when(kind.isin("email", "secret"), F.lower(raw)).when(kind == "ip", raw)
             .when(kind == "iban", F.replace(raw, F.lit(" "), F.lit("")))
-            .when(kind == "name", F.concat(gender, F.lit(":"), F.regexp_replace(raw, rf"^(?:{_TITLE})\.? ", "")))
+            .when(kind == "ipv6", F.lower(raw)).when(kind == "token", raw)
+            .when(kind == "name", F.concat(gender, F.lit(":"), F.lower(F.regexp_replace(raw, rf"^(?:{_TITLE})\.? ", ""))))
             .when(kind == "phone", F.concat(F.regexp_extract(raw, r"^\+\d{1,3}", 0), F.lit(":"), F.regexp_replace(
                 raw, r"^\+\d{1,3}|[^0-9]", "")))
             .otherwise(digits))
@@ -173,28 +198,53 @@ def given_of(gender: Column, first: Column, attempt: Column, key: str) -> Column
         s, F.sha2(digest, 512), 1 + attempt))).otherwise(listed(s)))
 
 
+def site_of(domain: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of a mail site: its ending stays."""
+    ending = F.substring_index(domain, ".", -1)
+    site = F.substring(domain, F.lit(1), F.length(domain) - F.length(ending) - 1)
+    grown = F.concat(site, F.repeat(F.lit("a"), F.greatest(attempt - SAME_LENGTH, F.lit(0))))
+    return F.concat(_alike(grown, _digest(key, attempt, F.lit("site"), domain)), F.lit("."), ending)
+
+
+def mailbox_of(normal: Column, attempt: Column, key: str) -> Column:
+    """The surrogate of a mail address's local part."""
+    grown = F.concat(F.substring_index(normal, "@", 1), F.repeat(F.lit("a"), F.greatest(attempt - SAME_LENGTH, F.lit(0))))
+    return _alike(grown, _digest(key, attempt, F.lit("email"), normal), wide=True)
+
+
 def surrogate_of(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
     """The surrogate of a normal form, itself a normal form."""
     own = _digest(key, attempt, kind, normal)
     more = F.greatest(attempt - SAME_LENGTH, F.lit(0))
-    local, domain = F.substring_index(normal, "@", 1), F.substring_index(normal, "@", -1)
-    ending = F.substring_index(domain, ".", -1)
-    site = F.substring(domain, F.lit(1), F.length(domain) - F.length(ending) - 1)
-    email = F.concat(_alike(F.concat(local, F.repeat(F.lit("a"), more)), own, wide=True), F.lit("@"), _alike(site, F.sha2(F.concat_ws("|", F.lit(key), F.lit("site"), domain), 512)),
-                     F.lit("."), ending)
-    octets = F.transform(F.split(normal, r"\."), lambda _, i: (1 + _byte(own, i) % 254).cast("string"))
-    digits = _alike(normal, own)
+    later = F.repeat(F.lit("0"), F.greatest(attempt - FIXED_LENGTH, F.lit(0)))
+    email = F.concat(mailbox_of(normal, attempt, key), F.lit("@"), site_of(F.substring_index(normal, "@", -1), F.lit(0), key))
+    nets = F.array(*[F.lit(str(n)) for n in _OTHER_NETS])
+    kept = F.size(F.split(F.regexp_extract(normal, _OWN_NETS, 0), r"\.")) - 1  # octets that say it is a network's own
+    octets = F.transform(F.split(normal, r"\."), lambda o, i: F.when(i < kept, o).when((i == 0), F.get(
+        nets, _byte(own, i) % len(_OTHER_NETS))).otherwise((1 + _byte(own, i) % 254).cast("string")))
+    hexes = F.array_join(F.transform(_chars(normal), lambda c, i: F.when(
+        c == ":", c).otherwise(_pick("123456789abcdef", _byte(own, i)))), "")
+    ipv6 = F.when(normal.rlike("^(?:f[cd]|fe[89ab]|2001:0?db8:)"), F.concat(
+        F.substring_index(normal, ":", 1), F.substring(hexes, F.length(F.substring_index(normal, ":", 1)) + 1, F.lit(64)))).otherwise(hexes)
+    head = F.regexp_extract(normal, "^(?:[sprk]{2}_(?:live|test)_|A[KS]IA|gh[opsur]_|xox[abprs]-|AIza)", 0)
+    token = F.concat(head, _alike(F.substring(normal, F.length(head) + 1, F.lit(1 << 20)), own))
+    digits = _alike(F.concat(normal, later), own)
     residue = (F.substring(digits, -1, 1).cast("int") + _luhn(normal) - _luhn(digits) + 10) % 10
     card = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), residue.cast("string"))
-    iban = F.concat(F.substring(normal, 1, 2), _alike(F.substring(normal, 3, 64), own))
+    account = _alike(F.concat(F.substring(normal, 5, 64), later), F.sha2(own, 512))
+    country = F.substring(normal, 1, 2)
+    sums = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0")  # a valid number stays valid
+    iban = F.concat(country, F.when(_mod97(normal) == 1, sums).otherwise(_alike(F.substring(normal, 3, 2), own)), account)
     gender, first, last = parts_of(normal)
     family = family_of(last, attempt, key)
     name = F.concat(gender, F.lit(":"), F.when(normal.contains(" "), F.concat(
         given_of(gender, first, attempt, key), F.lit(" "), family)).otherwise(family))
     code = F.substring_index(normal, ":", 1)
-    phone = F.concat(code, F.lit(":"), _alike(F.concat(F.substring_index(normal, ":", -1), F.repeat(F.lit("0"), more)), own))
-    return (F.when(kind == "email", email).when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", card)
-            .when(kind == "secret", F.substring(own, F.lit(1), F.length(normal))).when(kind == "phone", phone)
+    number = F.substring_index(normal, ":", -1)
+    zeros = F.regexp_extract(number, "^0*", 0)
+    phone = F.concat(code, F.lit(":"), zeros, _alike(F.concat(F.substring(number, F.length(zeros) + 1, F.lit(64)), F.repeat(F.lit("0"), more)), own))
+    return (F.when(kind == "email", email).when(kind == "ipv6", ipv6).when(kind == "token", token).when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", card)
+            .when(kind == "secret", F.substring(F.repeat(own, F.ceil(F.length(normal) / 128).cast("int")), F.lit(1), F.length(normal))).when(kind == "phone", phone)
             .when(kind == "iban", iban).when(kind == "name", name).otherwise(digits))
 
 
@@ -209,13 +259,13 @@ def render(kind: Column, raw: Column, normal: Column) -> Column:
     model = lambda i: F.when(i < head, F.substring(raw, i + 1, F.lit(1))).when(i < head + more, "").otherwise(
         F.substring(raw, i + 1 - more, F.lit(1)))
     cased = F.array_join(F.transform(_chars(normal), lambda c, i: F.when(model(i) != F.lower(model(i)), F.upper(c)).otherwise(c)), "")
-    grown = F.concat(filled("0-9"), F.substring(signs, 1 + F.length(F.regexp_replace(raw, "[^0-9]", "")), F.lit(1 << 20)))
+    grown = lambda keep: F.concat(filled(keep), F.substring(signs, 1 + F.length(F.regexp_replace(raw, f"[^{keep}]", "")), F.lit(1 << 20)))
+    bare = F.regexp_replace(raw, rf"^(?:{_TITLE})\.? ", "")
+    named = F.when((bare == F.upper(bare)) & (F.length(bare) > 1), F.upper(F.substring(normal, 3, 1 << 20))).otherwise(F.substring(normal, 3, 1 << 20))
     capital = (raw == F.upper(raw)) & (raw != F.lower(raw))
     title = F.regexp_extract(raw, rf"^((?:{_TITLE})\.? )", 1)
-    return (F.when(kind.isin("email", "secret"), F.when(raw == F.lower(raw), normal).when(capital, F.upper(normal)).otherwise(cased)).when(kind == "ip", normal)
-            .when(kind == "iban", filled("A-Z0-9"))
-            .when(kind == "name", F.concat(title, F.substring(normal, 3, 1 << 20)))
-            .when(kind == "phone", grown).otherwise(filled("0-9")))
+    return (F.when(kind.isin("email", "secret", "ipv6"), F.when(raw == F.lower(raw), normal).when(capital, F.upper(normal)).otherwise(cased)).when(kind.isin("ip", "token"), normal)
+            .when(kind == "iban", grown("A-Z0-9")).when(kind == "name", F.concat(title, named)).otherwise(grown("0-9")))
 
 
 # --- whole tables -----------------------------------------------------------
@@ -223,8 +273,8 @@ def render(kind: Column, raw: Column, normal: Column) -> Column:
 def _found(text: Column) -> Column:
     """``raw, kind, normal`` of the entities of a text, in order."""
     titled = reduce(lambda a, b: a | b, [text.contains(t) for ts in TITLES.values() for t in ts])
-    # every pattern needs a digit, an at sign, a title or a secret's 32 hex digits, which may all be letters
-    raw = F.when(text.rlike("[0-9@]|[a-f]{32}|[A-F]{32}") | titled, F.regexp_extract_all(text, F.lit(f"({_ENTITY})"), 1)).otherwise(
+    # every pattern needs a digit, an at sign, a title, a token's sign or a secret's 32 hex digits, which may all be letters
+    raw = F.when(text.rlike("[0-9@]|[a-f]{32}|[A-F]{32}|[A-Z]{20}|AIza|xox|gh[opsur]_|_live_|_test_") | titled, F.regexp_extract_all(text, F.lit(f"({_ENTITY})"), 1)).otherwise(
         F.array().cast("array<string>"))
     kinds = F.transform(raw, lambda r: F.struct(r.alias("raw"), kind_of(r).alias("kind")))
     return F.transform(kinds, lambda e: F.struct(e["raw"].alias("raw"), e["kind"].alias("kind"),
@@ -235,21 +285,34 @@ def rekeyed(entities: DataFrame, key: str, scratch: Scratch, attempts: int = ATT
     """``kind, normal, surrogate`` of those distinct entities whose first surrogate would meet another or a real one.
 
     Names are settled in parts: as kind ``family`` the family names, as kind ``given`` names with a given one, which must
-    only differ from others of the same family name. No family name's surrogate is a real one, so no whole name is.
+    only differ from others of the same family name. Mail addresses too: as kind ``site`` their sites, as kind ``mailbox``
+    addresses, which must only differ from others of the same site. No family name's or site's surrogate is a real one, so
+    no whole name or address is.
     """
-    normal, names = F.col("normal"), entities.filter("kind = 'name'")
+    normal, names, mails = F.col("normal"), entities.filter("kind = 'name'"), entities.filter("kind = 'email'")
     gender, first, last = parts_of(normal)
-    settled = (entities.filter("kind <> 'name'").select("kind", "normal")
+    domain = F.substring_index(normal, "@", -1)
+    settled = (entities.filter("kind not in ('name', 'email')").select("kind", "normal")
                .unionByName(names.select(F.lit("family").alias("kind"), last.alias("normal")).distinct())
-               .unionByName(names.filter(normal.contains(" ")).select(F.lit("given").alias("kind"), "normal")))
-    give = lambda df: df.withColumn("surrogate", F.when(F.col("kind") == "family", family_of(
-        normal, F.col("attempt"), key)).when(F.col("kind") == "given", given_of(gender, first, F.col("attempt"), key)).otherwise(
+               .unionByName(names.filter(normal.contains(" ")).select(F.lit("given").alias("kind"), "normal"))
+               .unionByName(mails.select(F.lit("site").alias("kind"), domain.alias("normal")).distinct())
+               .unionByName(mails.select(F.lit("mailbox").alias("kind"), "normal")))
+    settled = scratch.write(settled, "settled")
+    parts = max(1, min(settled.count() // ROWS, 8 * settled.sparkSession.sparkContext.defaultParallelism))
+    # rows are few bytes and much work: by their number, not by their size
+    spread = lambda df: df.repartition(parts) if parts > 1 else df
+    give = lambda df: spread(df).withColumn("surrogate", F.when(F.col("kind") == "family", family_of(
+        normal, F.col("attempt"), key)).when(F.col("kind") == "given", given_of(gender, first, F.col("attempt"), key)).when(
+        F.col("kind") == "site", site_of(normal, F.col("attempt"), key)).when(
+        F.col("kind") == "mailbox", mailbox_of(normal, F.col("attempt"), key)).otherwise(
         surrogate_of(F.col("kind"), normal, F.col("attempt"), key)))
     table = scratch.write(give(settled.select("kind", "normal", F.lit(0).alias("attempt"))), "attempt-0")
-    real = table.filter("kind <> 'given'").select("kind", normal.alias("shown"))
+    real = table.filter("kind not in ('given', 'mailbox')").select("kind", F.when(
+        F.col("kind") == "family", F.lower(normal)).otherwise(normal).alias("shown"))
     for turn in range(1, attempts + 1):
-        shown = table.withColumn("shown", F.when(F.col("kind") == "given", F.concat("surrogate", F.lit(" "), last)).otherwise(
-            F.col("surrogate")))
+        shown = table.withColumn("shown", F.when(F.col("kind") == "given", F.concat("surrogate", F.lit(" "), last)).when(
+            F.col("kind") == "mailbox", F.concat("surrogate", F.lit("@"), domain)).when(
+            F.col("kind") == "family", F.lower("surrogate")).otherwise(F.col("surrogate")))
         # an entity that keeps its attempt goes before one that was moved, then the smaller before the larger
         keeper = shown.groupBy("kind", "shown").agg(F.min(F.struct("attempt", "normal")).alias("keeper"), F.count("*").alias("n"))
         shared = (shown.join(keeper.filter("n > 1"), ["kind", "shown"])
@@ -263,48 +326,56 @@ def rekeyed(entities: DataFrame, key: str, scratch: Scratch, attempts: int = ATT
                      .join(of("given", "normal"), "normal", "left").filter("family is not null or given is not null"))
             family = F.coalesce("family", family_of(F.col("_last"), F.lit(0), key))
             given = F.coalesce("given", given_of(gender, first, F.lit(0), key))
-            return moved.filter("kind not in ('family', 'given')").unionByName(whole.select("kind", "normal", F.concat(
+            posted = (mails.select("kind", "normal", domain.alias("_site")).join(of("site", "_site"), "_site", "left")
+                      .join(of("mailbox", "normal"), "normal", "left").filter("site is not null or mailbox is not null"))
+            address = F.concat(F.coalesce("mailbox", mailbox_of(normal, F.lit(0), key)), F.lit("@"),
+                               F.coalesce("site", site_of(F.col("_site"), F.lit(0), key)))
+            return (moved.filter("kind not in ('family', 'given', 'site', 'mailbox')").unionByName(whole.select("kind", "normal", F.concat(
                 gender, F.lit(":"), F.when(normal.contains(" "), F.concat(given, F.lit(" "), family)).otherwise(family)).alias("surrogate")))
+                .unionByName(posted.select("kind", "normal", address.alias("surrogate"))))
         stay = table.join(moved, ["kind", "normal"], "left_anti")
         again = table.join(moved, ["kind", "normal"], "left_semi").withColumn("attempt", F.lit(turn)).drop("surrogate")
         table = scratch.write(stay.unionByName(give(again)), f"attempt-{turn}")
     raise ValueError(f"no distinct surrogates left after {attempts} keyings")
 
 
-def with_surrogates(docs: DataFrame, text: str = "text", key: str = KEY) -> DataFrame:
+def with_surrogates(docs: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
     """``docs`` with surrogates in ``text`` and the replaced entities in ``pii``, a list of ``raw, kind, surrogate``.
 
     All rows and other columns stay; a column ``pii`` is replaced. A null or empty text has no entities and stays. A name
     is detected by its title, and its parts map alike whether they come together or the last alone: all bearers of a family
-    name keep one in common. Repeated rows get the same surrogates, as do reruns with the key.
+    name keep one in common. Repeated rows get the same surrogates, as do reruns with the key (by default that of the
+    setting ``KEY``). Long texts are searched whole; an empty table stays empty.
     """
-    scratch = Scratch(docs.sparkSession, "pii")
-    entity = F.col("_found")
+    spark = docs.sparkSession
+    key = key or spark.conf.get(KEY, None) or secrets.token_hex(32)
+    scratch = Scratch(spark, "pii")
+    found, special_of, pieces_of, key_of = unused(docs.drop("pii"), "_found", "_special", "_pieces", "_k")
+    entity = F.col(found)
     entities = scratch.write(
         docs.select(F.explode(_found(text_of(text))).alias("e")).select("e.kind", "e.normal").distinct(), "entities")
     special = scratch.write(rekeyed(entities, key, scratch), "rekeyed")
-    keyed = docs.withColumn("_found", _found(text_of(text)))
+    keyed = docs.withColumn(found, _found(text_of(text)))
     if special.isEmpty():
-        keyed = keyed.withColumn("_special", F.lit(None).cast("map<string,string>"))
+        keyed = keyed.withColumn(special_of, F.lit(None).cast("map<string,string>"))
     else:
         own = (docs.select(text_key(text_of(text)).alias("k"), F.explode(_found(text_of(text))).alias("e"))
                .select("k.a", "k.b", "e.kind", "e.normal").distinct().join(special, ["kind", "normal"])
-               .groupBy(F.struct("a", "b").alias("_k")).agg(F.map_from_entries(F.collect_list(F.struct(
-                   F.concat_ws("|", "kind", "normal"), "surrogate"))).alias("_special")))
-        keyed = keyed.withColumn("_k", text_key(text_of(text))).join(scratch.write(own, "special"), "_k", "left").drop("_k")
+               .groupBy(F.struct("a", "b").alias(key_of)).agg(F.map_from_entries(F.collect_list(F.struct(
+                   F.concat_ws("|", "kind", "normal"), "surrogate"))).alias(special_of)))
+        keyed = keyed.withColumn(key_of, text_key(text_of(text))).join(scratch.write(own, "special"), key_of, "left").drop(key_of)
     known = F.transform(entity, lambda e: F.struct(e["raw"].alias("raw"), e["kind"].alias("kind"), F.coalesce(
-        F.try_element_at("_special", F.concat_ws("|", e["kind"], e["normal"])),
+        F.try_element_at(special_of, F.concat_ws("|", e["kind"], e["normal"])),
         surrogate_of(e["kind"], e["normal"], F.lit(0), key)).alias("normal")))
     shown = F.transform(known, lambda e: F.struct(e["raw"].alias("raw"), e["kind"].alias("kind"),
                                                   render(e["kind"], e["raw"], e["normal"]).alias("surrogate")))
     pieces = F.split(F.col(text), _ENTITY)
-    woven = F.array_join(F.transform(F.col("_pieces"), lambda p, i: F.concat(
+    woven = F.array_join(F.transform(F.col(pieces_of), lambda p, i: F.concat(
         p, F.coalesce(F.get(F.col("pii"), i)["surrogate"], F.lit("")))), "")
-    return (keyed.withColumn("pii", F.when(F.size("_found") > 0, shown).otherwise(
+    return (keyed.withColumn("pii", F.when(F.size(found) > 0, shown).otherwise(
                 F.array().cast("array<struct<raw:string,kind:string,surrogate:string>>")))
-            .withColumn("_pieces", F.when(F.size("_found") > 0, pieces))
-            .withColumn(text, F.when(F.col("_pieces").isNull(), F.col(text)).otherwise(woven))
-            .drop("_found", "_special", "_pieces").select(*[c for c in docs.columns if c != "pii"], "pii"))
+            .withColumn(pieces_of, F.when(F.size(found) > 0, pieces))
+            .withColumn(text, F.when(F.col(pieces_of).isNull(), F.col(text)).otherwise(woven)).select(*[c for c in docs.columns if c != "pii"], "pii"))
 
 
 def counts(pii: Column) -> list[Column]:
