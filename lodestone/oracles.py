@@ -337,6 +337,17 @@ FROM documents WHERE NOT ({_GOOD}) ORDER BY key LIMIT 5""",
 SELECT doc_id AS doc_key, chunk_index, url || '#' || chunk_index AS chunk_id, content FROM chunks""",
     "chunks_small": _chunks(30, 10) + """
 SELECT doc_id AS doc_key, chunk_index, content FROM chunks""",
+    "chunks_sql": _chunks() + f""",
+s AS (SELECT doc_id, chunk_index, {_snippet('content')} AS snippet FROM chunks),
+cb AS ({_buckets('doc_id, chunk_index', 'content', 'chunks')}),
+sb AS ({_buckets('doc_id, chunk_index', 'snippet', 's')}),
+cn AS (SELECT doc_id, chunk_index, sum(n * n) AS sq FROM cb GROUP BY 1, 2),
+sn AS (SELECT doc_id, chunk_index, sum(n * n) AS sq FROM sb GROUP BY 1, 2),
+p AS (SELECT doc_id, chunk_index, sum(cb.n * sb.n) AS product FROM cb JOIN sb USING (doc_id, chunk_index, bucket) GROUP BY 1, 2)
+SELECT doc_id AS doc_key, chunk_index, src_start, src_start + length(content) AS src_end, snippet, split_part(url, '/', 3) AS domain,
+  coalesce(round(CAST(product AS DOUBLE) / sqrt(CAST(cn.sq AS DOUBLE) * CAST(sn.sq AS DOUBLE)), 4), 0) AS likeness
+FROM chunks JOIN s USING (doc_id, chunk_index) LEFT JOIN p USING (doc_id, chunk_index) LEFT JOIN cn USING (doc_id, chunk_index)
+  LEFT JOIN sn USING (doc_id, chunk_index)""",
     "chunk_offsets": _chunks() + """
 SELECT doc_id AS doc_key, chunk_index, start_char, start_char + n AS end_char, src_start, src_start + n AS src_end
 FROM (SELECT *, length(content) AS n, CAST(coalesce(sum(length(content) - 100) OVER (PARTITION BY doc_id

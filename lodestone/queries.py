@@ -27,6 +27,7 @@ from lodestone.sources.docs import read_docs
 from lodestone.sources.index import open_index, write_index
 from lodestone.sources.pages import as_questions, read_pages, spread
 from lodestone.sources.uploads import read_uploads
+from lodestone.sql import register as register_sql
 from lodestone.streaming.ingest import ingest_stream, read_ingested, table_path
 from lodestone.streaming.published import ask_published, index_stream
 
@@ -139,6 +140,17 @@ def chunks_small(spark, sf_dir):
     return _chunks(spark, sf_dir, 30, 10).select("doc_key", "chunk_index", "content")
 
 
+def chunks_sql(spark, sf_dir):
+    """Chunks, their sites and how like their document's title they are, all in one SQL statement."""
+    register_sql(spark)
+    spread(documents(spark, sf_dir)).createOrReplaceTempView("sql_documents")
+    return spark.sql("""
+        SELECT d.doc_key, c.chunk_index, c.src_start, c.src_end, snippet(c.chunk) AS snippet, url_domain(d.url) AS domain,
+               round(cosine(embed_tokens(c.chunk), embed_tokens(snippet(c.chunk))), 4) AS likeness
+        FROM (SELECT * FROM sql_documents WHERE length(trim(BOTH ' \\n' FROM content)) >= 50) d,
+            LATERAL chunk_text(d.content, 800, 100) c""")
+
+
 def chunk_offsets(spark, sf_dir):
     return _chunks(spark, sf_dir).select(
         "doc_key", "chunk_index", "start_char", "end_char", "src_start", "src_end")
@@ -583,7 +595,7 @@ def generated_answers(spark, sf_dir):
 QUERIES = {f.__name__: f for f in (
     url_domain, url_normalize, doc_key, same_site, site_sizes,
     clean_text, clean_boilerplate, snippets, short_docs, doc_error_digest, doc_stats, latest_docs,
-    chunks, chunks_small, chunk_offsets, chunk_totals, hash_embed, index_info, index_counts,
+    chunks, chunks_small, chunks_sql, chunk_offsets, chunk_totals, hash_embed, index_info, index_counts,
     vector_topk, vector_topk_blocks, vector_topk_threshold, vector_topk_each, vector_topk_edges, unit_vectors, vector_best_score, retrieved, retrieved_turns,
     context, sources, prompts, answers, answers_strict, unsafe_flags, refusals, turn_answers,
     page_titles, page_text, page_errors, links, robots, walked_pages, walk_stats, walk_summary, crawl_report,
