@@ -177,3 +177,31 @@ def test_scratch_folder_goes_with_its_block(spark):
     with Scratch(spark, "gone") as scratch:
         assert scratch.write(spark.range(3), "t").count() == 3 and os.path.exists(scratch.path.removeprefix("file:"))
     assert not os.path.exists(scratch.path.removeprefix("file:"))
+
+
+def test_refused_uploads_are_not_read(spark, tmp_path):
+    (tmp_path / "in" / "deep").mkdir(parents=True)
+    for name, text in (("a.txt", "alpha"), ("deep/b.MD", "beta"), ("big.txt", "x" * 500), ("c.exe", "code"), ("d.pdf", "%PDF"), ("txt", "none"),
+                       ("e.json", " ")):
+        (tmp_path / "in" / name).write_text(text)
+    docs, errors = read_uploads(spark, str(tmp_path / "in"), max_bytes=100)
+    assert {r["content"] for r in docs.collect()} == {"alpha", "beta"}
+    assert {r["key"]: r["message"] for r in errors.collect()} == {
+        "big.txt": "File is larger than 100 bytes", "c.exe": "Unsupported file type '.exe'", "d.pdf": "PDF text must be given as page texts",
+        "txt": "Unsupported file type ''", "e.json": "Uploaded file is empty or could not extract text."}
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters: [IsNotNull(length), LessThanOrEqual(length,100)" in plan
+    assert plan.count("content:binary") <= 1
+
+
+def test_rules_too_many_to_broadcast(spark):
+    from lodestone.operators.robots import apply_rules, robots_filter, rule_tables
+
+    rules = spark.createDataFrame([("big.com", i, f"/{i % 7}/{i}", i % 2 == 0) for i in range(60)] + [("big.com", 99, "/", False), ("b.org", 0, "/x", False)],
+                                  "domain string, seq int, path_prefix string, allow boolean")
+    urls = spark.createDataFrame([(f"https://big.com/{i % 7}/{i % 70}",) for i in range(400)] + [("https://b.org/y",), ("https://c.net/",)], "url string")
+    want = sorted(map(tuple, robots_filter(urls, rules).collect()))
+    tables = rule_tables(rules, most=0)
+    got = apply_rules(urls, *tables)
+    assert sorted(map(tuple, got.collect())) == want and {r[1] for r in want} == {True, False}
+    assert "_part" in got._jdf.queryExecution().optimizedPlan().toString()
