@@ -54,12 +54,12 @@ class _Scorer:
         self.whole = _whole(self.q64)
 
     def load(self, vectors):
+        self.vectors = vectors
         self.v32 = vectors.astype(np.float32, copy=False)
-        self.v64 = vectors.astype(np.float64)
-        self.v_sq = np.einsum("ij,ij->i", self.v64, self.v64)
+        self.v_sq = np.einsum("ij,ij->i", vectors, vectors, dtype=np.float64, casting="safe")
         self.v_scale = _inverse(self.v_sq) if self.cosine else None
         # Sums of products of whole numbers below 2^24 are exact in float32 already.
-        self.exact32 = (self.whole and _whole(self.v64)
+        self.exact32 = (self.whole and _whole(vectors)
                         and self.q_sq.max(initial=0.0) * self.v_sq.max(initial=0.0) < 2.0 ** 48)
         longest = np.sqrt(self.v_sq.max(initial=0.0))
         reach = 1.0 if self.cosine else np.sqrt(self.q_sq) * longest
@@ -72,7 +72,7 @@ class _Scorer:
             out = np.empty(len(rows))
             for at in range(0, len(rows), _GATHER):
                 r, c = rows[at:at + _GATHER], cols[at:at + _GATHER]
-                out[at:at + _GATHER] = np.einsum("ij,ij->i", self.q64[r], self.v64[c])
+                out[at:at + _GATHER] = np.einsum("ij,ij->i", self.q64[r], self.vectors[c].astype(np.float64))
         if self.cosine:
             length = np.sqrt(self.q_sq[rows] * self.v_sq[cols])
             out = np.divide(out, length, out=np.zeros_like(out), where=length > 0)
@@ -113,12 +113,12 @@ def _whole(numbers):
 
 def _first_copies(vectors, k):
     """Rows other than the later copies of a vector: of equal vectors only the first ``k`` can be among the best."""
-    words = np.ascontiguousarray(vectors).view(np.uint8).reshape(len(vectors), -1)
-    prints = words @ _PRINT[:words.shape[1]]
+    prints = (vectors * _PRINT[:vectors.shape[1]]).sum(axis=1)
     order = np.argsort(prints, kind="stable")
     place = _place(prints[order])
     keep = np.ones(len(vectors), bool)
     if place.max(initial=0) >= k:  # only then compare the vectors themselves
+        words = np.ascontiguousarray(vectors).view(np.uint8).reshape(len(vectors), -1)
         order = np.lexsort(np.flipud(words.T))
         copies = np.cumsum(np.r_[False, (words[order[1:]] != words[order[:-1]]).any(axis=1)])
         keep[order] = _place(copies) < k
@@ -251,16 +251,20 @@ def bounded_top_k(questions: DataFrame, vectors: DataFrame, k: int = settings.TO
 
     own = F.greatest(F.coalesce("top_k", F.lit(k)), F.lit(0)) if "top_k" in questions.columns else F.lit(k)
     asked = questions.select("q_id", "embedding", own.cast("int").alias("_k"))
-    per_id = asked.groupBy("q_id").agg(F.count("*").alias("n"), F.max("_k").alias("_k"))
-    count, copies, largest, rows = per_id.agg(
-        F.coalesce(F.sum("n"), F.lit(0)), F.max("n"), F.max("_k"), F.sum(F.col("_k").cast("long"))).first()
-    if (copies or 1) > 1:
+    head = _head(asked)
+    if head.num_rows <= settings.BROADCAST_QUESTIONS:
+        ks = head.column("_k").to_numpy()
+        count, largest, rows = head.num_rows, int(ks.max(initial=0)), int(ks.sum())
+        copies = pc.max(pc.value_counts(head.column("q_id")).field("counts")).as_py() if count else 1
+    else:
+        per_id = asked.groupBy("q_id").agg(F.count("*").alias("n"), F.max("_k").alias("_k"))
+        count, copies, largest, rows = per_id.agg(F.sum("n"), F.max("n"), F.max("_k"), F.sum(F.col("_k").cast("long"))).first()
+    if copies > 1:
         raise ValueError("question ids are not unique")
     scratch = None
-    head = _head(asked) if count <= settings.BROADCAST_QUESTIONS else None
     if count == 0:
         hits, most = spark.createDataFrame([], schema), 0
-    elif head is not None and _fits(head):
+    elif _fits(head):
         hits, most = score(head)[0], rows
     else:
         scratch = Scratch(spark, "top-k")
