@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lodestone.llm.columns import text_of
+from lodestone.llm.columns import small_batches, text_of
 from lodestone.plans.scratch import Scratch
 
 DEPTH = 4
@@ -32,7 +32,7 @@ TOP = 2000
 BUDGET = 1_000_000     # suffixes that a group may hold in memory
 MAX_GROUPS = 100_000
 BITS = 27
-_CHUNK = 1 << 21       # bytes of text hashed at a time
+_CHUNK = 1 << 20       # bytes of text hashed at a time
 _NO_LANG = "und"
 _CLASS = np.zeros(256, np.uint8)
 _CLASS[[0x20, 0x09]] = 1
@@ -268,7 +268,8 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = LEAST, budget:
     phrases of two to ``DEPTH`` words with at least ``least`` occurrences, as symbols (0 after the phrase's end)."""
     spark, seed = docs.sparkSession, 0
     while True:
-        words = scratch.write(_count_words(docs, seed), f"words-{seed}")
+        with small_batches(spark):
+            words = scratch.write(_count_words(docs, seed), f"words-{seed}")
         if words.groupBy("symbol").agg(F.count("*").alias("k")).filter("k > 1").isEmpty():
             break
         seed += 1
@@ -277,7 +278,8 @@ def phrase_counts(docs: DataFrame, scratch: Scratch, least: int = LEAST, budget:
     groups = max(1, min(MAX_GROUPS, -(-2 * total // budget)))
     most = max(total // groups // 2, 1)  # a quarter of the budget; at most 2 * groups prefixes exceed it
     common = spark.sparkContext.broadcast(_Frequent(frequent.select(F.col("symbol").alias("key")), bits))
-    pairs = scratch.write(_count_pairs(docs, seed, common).filter(F.col("n") >= least), "pairs")
+    with small_batches(spark):
+        pairs = scratch.write(_count_pairs(docs, seed, common).filter(F.col("n") >= least), "pairs")
     held = spark.sparkContext.broadcast((common.value, _Frequent(pairs.select("key"), bits), _heavy(frequent, "symbol", most),
                                          _heavy(pairs, "key", most), groups))
     common.destroy()
