@@ -1,6 +1,8 @@
 import re
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline as pipeline
 from lodestone.llm.mixing import quotas
 from lodestone.llm.quality import quality
@@ -71,3 +73,30 @@ def test_empty_table_runs_through(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         assert docs.columns[:5] == COLUMNS
     assert docs.count() == 0
+
+
+CLASHES = ["_k", "_data", "_windows", "_root", "_fp", "_low", "_pattern", "_key", "_cuts", "_class", "_sum", "_signs", "_id", "_lang",
+           "_own", "_n", "_found", "_special", "_pieces", "pii", "perplexity", "word"]
+
+
+def test_stages_with_nulls_repeated_rows_and_clashing_names(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = docs.filter("n_chars between 500 and 3000").first()
+    odd = spark.createDataFrame(
+        [(None, None, None, None, None), (1_000_001, None, "en", "src1", 0), (1_000_002, "", None, None, 0), (1_000_003, " \n", "en", "src1", 2),
+         (None, text["text"], text["lang"], None, text["n_chars"])] + [tuple(text)] * 3, docs.schema)
+    table = docs.unionByName(odd)
+    for c in CLASHES:
+        table = table.withColumn(c, F.lit(c))
+    before = table.count()
+    for name, stage in pipeline.STAGES:
+        table = stage(spark, table, sf_dir).checkpoint()
+        rows = table.collect()
+        assert set(COLUMNS + CLASHES) <= set(table.columns) and 0 < len(rows) <= before
+        assert {(c, r[c]) for r in rows for c in CLASHES} == {(c, c) for c in CLASHES}
+        before = len(rows)
+        if name == "quality":
+            assert not any((r["text"] or "").strip() == "" for r in rows)           # texts without words are rejected
+            assert sum(r["doc_id"] == text["doc_id"] for r in rows) in (0, 4)       # repeated rows are judged alike
+        if name == "near_duplicates":
+            assert len({r["text"] for r in rows}) == len(rows) and sum(r["text"] == text["text"] for r in rows) <= 1
