@@ -28,12 +28,15 @@ class Scratch:
     """One run's private folder of written tables. Lost executors re-read files instead of recomputing.
 
     Results are lazy, so the folder outlives the call that made it; ``drop`` it once the result is consumed, or use the
-    object in a ``with`` block around the action.
+    object in a ``with`` block around the action. What is left goes when the session's driver ends.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.path = f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+        folder, files = self._folder()
+        files.mkdirs(folder)
+        files.deleteOnExit(folder)
 
     def __enter__(self):
         return self
@@ -43,8 +46,13 @@ class Scratch:
 
     def drop(self) -> None:
         """Delete the folder, on whatever storage it lies."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(folder, True)
+        folder, files = self._folder()
+        files.delete(folder, True)
+
+    def _folder(self, name: str = ""):
+        """A folder below, and the storage it lies on."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+        return folder, folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
 
     def write(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
         target = f"{self.path}/{name}"
@@ -57,8 +65,8 @@ class Scratch:
 
     def bytes(self, name: str) -> int:
         """Bytes of the files of a written table."""
-        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        return folder.getFileSystem(self.spark._jsc.hadoopConfiguration()).getContentSummary(folder).getLength()
+        folder, files = self._folder(name)
+        return files.getContentSummary(folder).getLength()
 
     def write_small(self, df: DataFrame, name: str, max_rows: int = 1_000_000, max_bytes: int = 64 << 20) -> DataFrame:
         """Written table, marked for broadcast only when its files and counted rows are within the bounds."""
