@@ -36,14 +36,23 @@ def chunk_windows(text: str, size: int, overlap: int):
         start = (end if end < n else start + size) - overlap
 
 
+def kept_windows(text: str, size: int, overlap: int, drop_redundant_tail: bool = False) -> list[tuple[int, int]]:
+    """``chunk_windows`` as a list, without a last chunk that lies inside the one before it if that is asked for."""
+    windows = list(chunk_windows(text, size, overlap))
+    if drop_redundant_tail and len(windows) > 1 and windows[-1][0] >= windows[-2][0] and windows[-1][1] <= windows[-2][1]:
+        windows.pop()
+    return windows
+
+
 def chunk_docs(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
-               text_col: str = "content") -> DataFrame:
+               text_col: str = "content", drop_redundant_tail: bool = False) -> DataFrame:
     """One row per chunk: the other columns of ``docs``, then ``chunk_index, content, start_char, end_char,
     src_start, src_end``.
 
     ``start_char``/``end_char`` are the recorded offsets (each chunk starts ``overlap`` before the recorded end
     of the one before, so they drift when whitespace was stripped); ``src_start``/``src_end`` are exact. Both
-    come out of the same pass over the text, so no window over a document's chunks, and no shuffle, is needed.
+    come out of the same pass over the text, so no window over a document's chunks, and no shuffle, is needed. The rule
+    leaves a last chunk that lies wholly inside its predecessor; ``drop_redundant_tail`` leaves it out.
     """
     if not 0 <= overlap < size:
         raise ValueError(f"need 0 <= overlap < size, got size={size} overlap={overlap}")
@@ -67,7 +76,7 @@ def chunk_docs(docs: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVE
             rows, chars = [], 0
             for i, text in enumerate(batch.column(text_col).to_pylist()):
                 text, recorded = text or "", 0
-                for index, (a, b) in enumerate(chunk_windows(text, size, overlap)):
+                for index, (a, b) in enumerate(kept_windows(text, size, overlap, drop_redundant_tail)):
                     end = recorded + b - a
                     rows.append((i, index, text[a:b], recorded, end, a, b))
                     recorded = end - overlap

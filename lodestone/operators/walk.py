@@ -44,8 +44,7 @@ def walk_links(starts: DataFrame, pages: DataFrame, links: DataFrame, rules: Dat
     if not starts.groupBy("site").count().where("count > 1").isEmpty():
         raise ValueError("a site has more than one start")
     if rules is not None:
-        lengths, first = rule_tables(rules)
-        rules = scratch.write_small(lengths, "rule-lengths"), scratch.write_small(first, "rules")
+        rules = rule_tables(rules)
     frontier = starts.select(F.col("site").cast("string").alias("site"), domain(F.col("start_url")).alias("host"),
                              F.lit(0).cast("bigint").alias("done"), F.col("start_url").alias("url"),
                              F.array(F.lit(0)).alias("ord"))

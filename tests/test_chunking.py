@@ -95,3 +95,14 @@ def test_latest_by_key_with_a_hot_key(spark):
     assert got == {"hot": "v499", "a": "y"}
     plan = latest_by_key(frame)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_redundant_tails_can_be_left_out(spark):
+    docs = spark.createDataFrame([(i, ("word " * n).strip()) for i, n in enumerate((1, 6, 8, 9, 20, 33, 47))] + [(90, "x" * 95)], "id int, content string")
+    plain = {(r["id"], r["chunk_index"]): r for r in chunk_docs(docs, 40, 12).collect()}
+    short = {(r["id"], r["chunk_index"]): r for r in chunk_docs(docs, 40, 12, drop_redundant_tail=True).collect()}
+    last = {i: max(k for d, k in plain if d == i) for i, _ in plain}
+    gone = set(plain) - set(short)
+    assert set(short) <= set(plain) and all(short[k] == plain[k] for k in short)
+    redundant = {(i, k) for i, k in last.items() if k and plain[i, k]["src_end"] <= plain[i, k - 1]["src_end"]}
+    assert gone == redundant and redundant and len(redundant) < len(last)
