@@ -212,40 +212,43 @@ def mailbox_of(normal: Column, attempt: Column, key: str) -> Column:
     return _alike(grown, _digest(key, attempt, F.lit("email"), normal), wide=True)
 
 
-def surrogate_of(kind: Column, normal: Column, attempt: Column, key: str) -> Column:
-    """The surrogate of a normal form, itself a normal form."""
+def surrogate_of(kind: Column, normal: Column, attempt: Column, key: str, whole: bool = True) -> Column:
+    """The surrogate of a normal form, itself a normal form. ``whole`` if names and mail addresses may be among them.
+
+    What is replaced sign by sign is chosen first and replaced once, which keeps the expression small.
+    """
     own = _digest(key, attempt, kind, normal)
-    more = F.greatest(attempt - SAME_LENGTH, F.lit(0))
+    more = F.repeat(F.lit("0"), F.greatest(attempt - SAME_LENGTH, F.lit(0)))
     later = F.repeat(F.lit("0"), F.greatest(attempt - FIXED_LENGTH, F.lit(0)))
-    email = F.concat(mailbox_of(normal, attempt, key), F.lit("@"), site_of(F.substring_index(normal, "@", -1), F.lit(0), key))
+    number = F.substring_index(normal, ":", -1)
+    zeros = F.regexp_extract(number, "^0*", 0)
+    head = F.regexp_extract(normal, "^(?:[sprk]{2}_(?:live|test)_|A[KS]IA|gh[opsur]_|xox[abprs]-|AIza)", 0)
+    rest = lambda text, start: F.substring(text, F.length(start) + 1, F.lit(1 << 20))
+    same = _alike(F.when(kind == "iban", F.concat(F.substring(normal, 5, 64), later)).when(
+        kind == "phone", F.concat(rest(number, zeros), more)).when(kind == "token", rest(normal, head)).otherwise(F.concat(normal, later)), own)
     nets = F.array(*[F.lit(str(n)) for n in _OTHER_NETS])
     kept = F.size(F.split(F.regexp_extract(normal, _OWN_NETS, 0), r"\.")) - 1  # octets that say it is a network's own
     octets = F.transform(F.split(normal, r"\."), lambda o, i: F.when(i < kept, o).when((i == 0), F.get(
         nets, _byte(own, i) % len(_OTHER_NETS))).otherwise((1 + _byte(own, i) % 254).cast("string")))
     hexes = F.array_join(F.transform(_chars(normal), lambda c, i: F.when(
         c == ":", c).otherwise(_pick("123456789abcdef", _byte(own, i)))), "")
-    ipv6 = F.when(normal.rlike("^(?:f[cd]|fe[89ab]|2001:0?db8:)"), F.concat(
-        F.substring_index(normal, ":", 1), F.substring(hexes, F.length(F.substring_index(normal, ":", 1)) + 1, F.lit(64)))).otherwise(hexes)
-    head = F.regexp_extract(normal, "^(?:[sprk]{2}_(?:live|test)_|A[KS]IA|gh[opsur]_|xox[abprs]-|AIza)", 0)
-    token = F.concat(head, _alike(F.substring(normal, F.length(head) + 1, F.lit(1 << 20)), own))
-    digits = _alike(F.concat(normal, later), own)
-    residue = (F.substring(digits, -1, 1).cast("int") + _luhn(normal) - _luhn(digits) + 10) % 10
-    card = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 1), residue.cast("string"))
-    account = _alike(F.concat(F.substring(normal, 5, 64), later), F.sha2(own, 512))
+    net = F.when(normal.rlike("^(?:f[cd]|fe[89ab]|2001:0?db8:)"), F.substring_index(normal, ":", 1)).otherwise("")
+    residue = (F.substring(same, -1, 1).cast("int") + _luhn(normal) - _luhn(same) + 10) % 10
     country = F.substring(normal, 1, 2)
-    sums = F.lpad((98 - _mod97(F.concat(country, F.lit("00"), account))).cast("string"), 2, "0")  # a valid number stays valid
-    iban = F.concat(country, F.when(_mod97(normal) == 1, sums).otherwise(_alike(F.substring(normal, 3, 2), own)), account)
-    gender, first, last = parts_of(normal)
-    family = family_of(last, attempt, key)
-    name = F.concat(gender, F.lit(":"), F.when(normal.contains(" "), F.concat(
-        given_of(gender, first, attempt, key), F.lit(" "), family)).otherwise(family))
-    code = F.substring_index(normal, ":", 1)
-    number = F.substring_index(normal, ":", -1)
-    zeros = F.regexp_extract(number, "^0*", 0)
-    phone = F.concat(code, F.lit(":"), zeros, _alike(F.concat(F.substring(number, F.length(zeros) + 1, F.lit(64)), F.repeat(F.lit("0"), more)), own))
-    return (F.when(kind == "email", email).when(kind == "ipv6", ipv6).when(kind == "token", token).when(kind == "ip", F.array_join(octets, ".")).when(kind == "card", card)
-            .when(kind == "secret", F.substring(F.repeat(own, F.ceil(F.length(normal) / 128).cast("int")), F.lit(1), F.length(normal))).when(kind == "phone", phone)
-            .when(kind == "iban", iban).when(kind == "name", name).otherwise(digits))
+    sums = F.when(_mod97(normal) == 1, 98 - _mod97(F.concat(country, F.lit("00"), same))).otherwise(_byte(own, F.lit(60)) % 100)
+    out = (F.when(kind == "ip", F.array_join(octets, ".")).when(kind == "ipv6", F.concat(net, rest(hexes, net)))
+           .when(kind == "card", F.concat(F.substring(same, F.lit(1), F.length(same) - 1), residue.cast("string")))
+           .when(kind == "secret", F.substring(F.repeat(own, F.ceil(F.length(normal) / 128).cast("int")), F.lit(1), F.length(normal)))
+           .when(kind == "phone", F.concat(F.substring_index(normal, ":", 1), F.lit(":"), zeros, same))
+           .when(kind == "token", F.concat(head, same))
+           .when(kind == "iban", F.concat(country, F.lpad(sums.cast("string"), 2, "0"), same)))  # a valid number stays valid
+    if whole:
+        gender, first, last = parts_of(normal)
+        family = family_of(last, attempt, key)
+        out = out.when(kind == "email", F.concat(mailbox_of(normal, attempt, key), F.lit("@"), site_of(
+            F.substring_index(normal, "@", -1), F.lit(0), key))).when(kind == "name", F.concat(gender, F.lit(":"), F.when(
+                normal.contains(" "), F.concat(given_of(gender, first, attempt, key), F.lit(" "), family)).otherwise(family)))
+    return out.otherwise(same)
 
 
 def render(kind: Column, raw: Column, normal: Column) -> Column:
@@ -305,7 +308,7 @@ def rekeyed(entities: DataFrame, key: str, scratch: Scratch, attempts: int = ATT
         normal, F.col("attempt"), key)).when(F.col("kind") == "given", given_of(gender, first, F.col("attempt"), key)).when(
         F.col("kind") == "site", site_of(normal, F.col("attempt"), key)).when(
         F.col("kind") == "mailbox", mailbox_of(normal, F.col("attempt"), key)).otherwise(
-        surrogate_of(F.col("kind"), normal, F.col("attempt"), key)))
+        surrogate_of(F.col("kind"), normal, F.col("attempt"), key, whole=False)))
     table = scratch.write(give(settled.select("kind", "normal", F.lit(0).alias("attempt"))), "attempt-0")
     real = table.filter("kind not in ('given', 'mailbox')").select("kind", F.when(
         F.col("kind") == "family", F.lower(normal)).otherwise(normal).alias("shown"))
