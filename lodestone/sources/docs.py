@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from lodestone import schemas, settings
 from lodestone.functions.urls import doc_key
 from lodestone.operators.latest import latest_by_key
+from lodestone.sources.pages import few_tasks
 
 
 def _or_empty(spark: SparkSession, schema, read) -> DataFrame:
@@ -32,9 +33,9 @@ def read_docs(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     empty = T.StructType([*schema, T.StructField("_file", T.StringType())])
 
     def scan():
-        return (spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json")
-                .option("columnNameOfCorruptRecord", "_bad").json(path)
-                .withColumn("_file", F.col("_metadata.file_name")))
+        files = (spark.read.schema(schema).option("multiLine", True).option("pathGlobFilter", "*.json")
+                 .option("columnNameOfCorruptRecord", "_bad").json(path))
+        return few_tasks(files.select("*", F.col("_metadata.file_name").alias("_file")))
 
     raw = _or_empty(spark, empty, scan).where(F.col("_file") != settings.SUMMARY_FILE)
     broken = F.col("_bad").isNotNull() | F.col("url").isNull()

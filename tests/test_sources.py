@@ -205,3 +205,37 @@ def test_rules_too_many_to_broadcast(spark):
     got = apply_rules(urls, *tables)
     assert sorted(map(tuple, got.collect())) == want and {r[1] for r in want} == {True, False}
     assert "_part" in got._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_many_small_files_make_few_tasks(spark, tmp_path):
+    from lodestone.sources.pages import TASKS_PER_CORE
+
+    for name, text in ((f"{i}.{kind}", text) for i in range(1500) for kind, text in (("txt", f"alpha {i}"), ("json", '{"url": "u"}'))):
+        (tmp_path / name).write_text(text)
+    most = TASKS_PER_CORE * spark.sparkContext.defaultParallelism
+    uploads, _ = read_uploads(spark, str(tmp_path))
+    docs, _ = read_docs(spark, str(tmp_path))
+    assert uploads.rdd.getNumPartitions() <= most and docs.rdd.getNumPartitions() <= most
+    assert uploads.count() == 3000 and docs.count() == 1500
+
+
+def test_docs_of_uploads_take_one_scan(spark, uploads):
+    docs, _ = read_uploads(spark, uploads)
+    assert docs._jdf.queryExecution().executedPlan().toString().count("FileScan binaryFile") == 1
+
+
+def test_bad_bytes_of_uploads_are_dropped(spark, tmp_path):
+    (tmp_path / "a.txt").write_bytes(b"caf\xc3\xa9 \xff\xc0\x80 ok\xed\xa0\x80")
+    (tmp_path / "b.txt").write_bytes("ä😀".encode())
+    docs, _ = read_uploads(spark, str(tmp_path))
+    assert {r["content"] for r in docs.collect()} == {b"caf\xc3\xa9 \xff\xc0\x80 ok\xed\xa0\x80".decode("utf-8", "ignore").strip(), "ä😀"}
+
+
+def test_one_file_each_row(spark, tmp_path):
+    from lodestone.queries import _one_file_each
+
+    rows = spark.createDataFrame([("ä",), (None,), ("b\nc",), ("ä",)], "value string").coalesce(1)
+    _one_file_each(rows, f"file://{tmp_path}/in", "text")
+    names = os.listdir(tmp_path / "in")
+    assert sorted((tmp_path / "in" / n).read_text() for n in names) == ["\n", "b\nc\n", "ä\n", "ä\n"]
+    assert len({n.split("-")[1] for n in names}) > 1 and all(n.startswith("part-") and n.endswith(".txt") for n in names)
