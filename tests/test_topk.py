@@ -160,3 +160,37 @@ def test_each_question_has_its_own_k_and_ids_are_unique(spark):
     assert [r["doc_key"] for r in sorted(got, key=lambda r: r["rank"]) if r["q_id"] == 3] == [i for i, _ in best]
     with pytest.raises(ValueError):
         top_k_join(asked.unionByName(asked.limit(1)), vectors, keys=["doc_key"])
+
+
+def test_best_of_groups_of_columns():
+    from lodestone.operators.topk import _tops
+
+    scores = np.random.default_rng(3).random((5, 1037)).astype(np.float32)
+    tops = _tops(scores, 64)
+    assert 64 <= tops.shape[1] < 128 and (tops.max(axis=1) == scores.max(axis=1)).all()
+    kth = np.sort(tops, axis=1)[:, -3]
+    assert ((scores >= kth[:, None]).sum(axis=1) >= 3).all() and _tops(scores, 2000) is scores
+
+
+def test_searches_ask_every_twentieth_row(spark, tmp_path):
+    from lodestone.queries import QUERIES
+
+    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(90)] + [(None, [1.0, 1.0, 1.0])]
+    spark.createDataFrame(rows, f"vec_id long, embedding {VECTOR}").write.parquet(f"{tmp_path}/embeddings.parquet")
+    asked = {n: {r["q_id"] for r in QUERIES[n](spark, str(tmp_path)).select("q_id").collect()}
+             for n in ("vector_topk", "vector_topk_blocks", "vector_topk_edges")}
+    assert asked["vector_topk"] == asked["vector_topk_blocks"] == {0, 20, 40, 60, 80} and asked["vector_topk_edges"] == {0, 40, 80}
+
+
+def test_tokens_are_counted_in_pieces_of_bounded_size(monkeypatch):
+    import pyarrow as pa
+
+    from lodestone.functions import vectors as v
+
+    texts = pa.array(["a b", None, "ä" * 50 + " b", "", "c c c", "x " * 40])
+    whole = v._token_counts(texts, 16)
+    monkeypatch.setattr(v, "_PIECE", 20)
+    pieces = list(v._pieces(texts))
+    assert [at for at, _ in pieces] == [0, 2, 3, 5] and sum(len(p) for _, p in pieces) == 6
+    assert np.concatenate([v._token_counts(p, 16) for _, p in pieces]).tolist() == whole.tolist()
+    assert [at for at, _ in v._pieces(texts.slice(2, 2))] == [0, 1] and v._bucket.cache_info().maxsize <= 1 << 17
