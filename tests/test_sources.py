@@ -239,3 +239,6 @@ def test_one_file_each_row(spark, tmp_path):
     names = os.listdir(tmp_path / "in")
     assert sorted((tmp_path / "in" / n).read_text() for n in names) == ["\n", "b\nc\n", "ä\n", "ä\n"]
     assert len({n.split("-")[1] for n in names}) > 1 and all(n.startswith("part-") and n.endswith(".txt") for n in names)
+    _one_file_each(rows, f"{tmp_path}/tables", "csv")
+    sizes = sorted(os.path.getsize(tmp_path / "tables" / n) for n in os.listdir(tmp_path / "tables"))
+    assert len(sizes) == 4 and sizes[0] == 0 < sizes[1]
