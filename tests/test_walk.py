@@ -5,7 +5,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lodestone.operators.robots import robots_filter
+from lodestone.operators import walk
+from lodestone.operators.robots import apply_rules, robots_filter
 from lodestone.operators.numbering import number_within
 from lodestone.operators.walk import crawl_stats, crawl_summary, error_rows, walk_links
 from lodestone.plans.crawl import crawl
@@ -183,3 +184,18 @@ def test_repeated_urls_and_starts(spark):
     assert len(rows) == 2 and not any("old" in r["content"] for r in rows)
     with pytest.raises(ValueError):
         crawl(starts.unionByName(spark.createDataFrame([("s", "https://a.com/2")], starts.schema)), pages)
+
+
+def test_rules_are_asked_once_for_all_levels(spark, monkeypatch):
+    """Per level they made the whole queue of the level be computed twice."""
+    asked = []
+    monkeypatch.setattr(walk, "apply_rules", lambda urls, *rules: asked.append(1) or apply_rules(urls, *rules))
+    starts = spark.createDataFrame([("s", "https://a.com/0")], "site string, start_url string")
+    pages = spark.createDataFrame([(f"https://a.com/{i}", 500) for i in range(3)], "url string, content_length int")
+    links = spark.createDataFrame([("https://a.com/0", 0, "https://a.com/1"), ("https://a.com/1", 0, "https://a.com/2"),
+                                   ("https://a.com/1", 1, "https://a.com/gone"), ("https://a.com/1", 2, "https://a.com/gone/too")],
+                                  "src_url string, pos int, dst_url string")
+    rules = spark.createDataFrame([("a.com", 0, "/2", False), ("a.com", 1, "/gone/", False)], "domain string, seq int, path_prefix string, allow boolean")
+    visited, skipped, errors = walk_links(starts, pages, links, rules)
+    assert len(asked) == 1 and skipped.isEmpty() and visited.count() == 2
+    assert {(r["url"][14:], r["reason"]) for r in errors.collect()} == {("2", "robots"), ("gone", "missing"), ("gone/too", "robots")}
