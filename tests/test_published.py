@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lodestone.plans import upkeep
 from lodestone.plans.ask import ask_batch, retrieve
-from lodestone.plans.index import build_index
+from lodestone.plans.index import build_index, by_key
 from lodestone.plans.upkeep import (
     build_published, drop_old_versions, merge_segments, published_errors, update_published, upsert_published)
 from lodestone.schemas import DOC
@@ -255,3 +255,18 @@ def test_a_stored_index_is_what_ask_takes(spark, tmp_path):
     assert isinstance(index, StoredIndex)
     asked = spark.createDataFrame([(1, words("w3x", 30))], "q_id int, question string")
     assert ask_batch(asked, index).first()["sources"][0]["url"] == "u/3"
+
+
+def test_chunks_of_dealt_documents_are_written_once(spark, tmp_path):
+    """Documents are sorted before they get vectors, so that no chunk is written or shuffled with them; a null key too."""
+    rows = _corpus(spark, 40).select("doc_key", "url", "title", "content")
+    rows = rows.unionByName(rows.limit(1).withColumn("doc_key", F.lit(None).cast("string")))
+    chunks, _ = build_index(by_key(rows), 60, 10)
+    index = write_index(chunks, str(tmp_path / "index"), ordered=True)
+    assert "Exchange" not in chunks._jdf.queryExecution().executedPlan().toString().split("MapInArrow")[0]
+    listed = spark.read.parquet(index.table.full(index.segments[0]["files"])).filter("first is not null").orderBy("first").collect()
+    assert len(listed) > 1 and all(a["last"] < b["first"] for a, b in zip(listed, listed[1:]))
+    whole = write_index(build_index(rows, 60, 10)[0], str(tmp_path / "other"))
+    key = lambda i: sorted((str(r["doc_key"]), r["chunk_index"], r["content"], str(r["embedding"])) for r in i.chunks.collect())
+    assert key(index) == key(whole)
+    assert not any(n.startswith("raw") for n in index.table._names("data"))
