@@ -1,4 +1,6 @@
+import glob
 import hashlib
+import os
 import random
 from collections import defaultdict
 
@@ -79,5 +81,22 @@ def test_state_outlives_a_run(spark, tmp_path):
     assert "RocksDB" not in spark.conf.get("spark.sql.streaming.stateStore.providerClass", "")
 
 
+def test_stores_reserve_no_disk(spark, tmp_path):
+    local = os.environ.get("SPARK_LOCAL_DIRS") or spark.sparkContext.getConf().get(
+        "spark.local.dir", spark._jvm.java.lang.System.getProperty("java.io.tmpdir"))
+    folders = lambda: set(glob.glob(f"{local}/spark-*/StateStoreId*"))
+    taken = lambda folder: sum(os.lstat(f"{d}/{f}").st_blocks * 512 for d, _, files in os.walk(folder) for f in files)
+    before = folders()
+    spark.createDataFrame(_rows(), "doc_id long, text string").write.parquet(str(tmp_path / "in"))
+    stream = dedup_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "state"), trigger={"processingTime": "1 second"})
+    try:  # while it runs its stores stay
+        stream.processAllAvailable()
+        sizes = [taken(f) for f in folders() - before]
+    finally:
+        stream.stop()
+    assert len(sizes) >= int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert max(sizes) < 1 << 20
+
+
 def test_no_batch_no_groups(spark, tmp_path):
     assert read_groups(spark, str(tmp_path / "none"), spark.range(1).schema["id"].dataType).count() == 0
