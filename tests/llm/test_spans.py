@@ -4,9 +4,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lodestone.llm.queries import QUERIES
-from lodestone.llm.spans import keep_bytes, phrases, remove_repeats
+from lodestone.llm.spans import _copied, keep_bytes, phrases, remove_repeats
 
 
 def brute(texts, length):
@@ -65,6 +66,27 @@ def test_windows_of_equal_bytes_have_equal_triggers():
     assert len(phrases(data[:399], np.array([399]))["start"]) == 0
 
 
+@pytest.mark.parametrize("common", [4, 1000])
+def test_places_of_a_common_phrase_do_not_meet_in_one_task(spark, tmp_path, common):
+    settings = {"spark.sql.adaptive.enabled": "false", "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "4"}
+    before = {k: spark.conf.get(k) for k in settings}
+    copies = {(1, 7): 400, (1, 8): 4, (2, 9): 2, (2, 10): 1}
+    places = [(g, p, i) for (g, p), n in copies.items() for i in range(n)]
+    spark.createDataFrame(places, "gram long, phrase long, start int").repartition(8).write.parquet(str(tmp_path / "mixed"))
+    mixed = spark.read.parquet(str(tmp_path / "mixed"))
+    entries = spark.createDataFrame([(*k, n) for k, n in copies.items()], "gram long, phrase long, copies long")
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = _copied(mixed, entries, common).withColumn("task", F.spark_partition_id()).collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r["gram"], r["phrase"], r["start"]) for r in got) == sorted(x for x in places if x[:2] != (2, 10))
+    tasks = {r["task"] for r in got if r["phrase"] == 7}
+    assert len(tasks) > 1 if common == 4 else len(tasks) == 1
+
+
 def test_kept_bytes_and_empty_table(spark):
     assert keep_bytes(b"0123456789", [(1, 2), (4, 4)], 2) == (b"06789", [(1, 6)])
     assert keep_bytes(b"01", [], 2) == (b"01", [])
