@@ -172,14 +172,29 @@ def test_best_of_groups_of_columns():
     assert ((scores >= kth[:, None]).sum(axis=1) >= 3).all() and _tops(scores, 2000) is scores
 
 
-def test_searches_ask_every_twentieth_row(spark, tmp_path):
-    from lodestone.queries import QUERIES
+SEARCHES = {  # what a row is to get of all rows, best first
+    "vector_topk": lambda i, best: best[:5],
+}
+
 
-    rows = [(i, [float(i % 7), 1.0, float(i % 3)]) for i in range(90)] + [(None, [1.0, 1.0, 1.0])]
+@pytest.fixture
+def table_of_vectors(spark, tmp_path):
+    vectors = np.random.default_rng(11).integers(-2, 3, (45, 4)) / 4  # products are exact
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)]
     spark.createDataFrame(rows, f"vec_id long, embedding {VECTOR}").write.parquet(f"{tmp_path}/embeddings.parquet")
-    asked = {n: {r["q_id"] for r in QUERIES[n](spark, str(tmp_path)).select("q_id").collect()}
-             for n in ("vector_topk", "vector_topk_blocks", "vector_topk_edges")}
-    assert asked["vector_topk"] == asked["vector_topk_blocks"] == {0, 20, 40, 60, 80} and asked["vector_topk_edges"] == {0, 40, 80}
+    return str(tmp_path), vectors
+
+
+@pytest.mark.parametrize("name", SEARCHES)
+def test_registered_searches_ask_every_row(spark, table_of_vectors, name):
+    from lodestone.queries import QUERIES
+
+    path, vectors = table_of_vectors
+    scores = np.round(vectors @ vectors.T, 6)
+    best = [sorted(enumerate(row.tolist()), key=lambda h: (-h[1], h[0])) for row in scores]
+    want = {(i, at, *hit) for i in range(45) for at, hit in enumerate(SEARCHES[name](i, best[i]), 1)}
+    got = QUERIES[name](spark, path).select("q_id", "rank", "vec_id", "score").collect()
+    assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
 def test_tokens_are_counted_in_pieces_of_bounded_size(monkeypatch):
