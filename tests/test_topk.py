@@ -174,6 +174,7 @@ def test_best_of_groups_of_columns():
 
 SEARCHES = {  # what a row is to get of all rows, best first
     "vector_topk": lambda i, best: best[:5],
+    "vector_topk_blocks": lambda i, best: best[:5],
 }
 
 
