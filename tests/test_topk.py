@@ -176,6 +176,7 @@ SEARCHES = {  # what a row is to get of all rows, best first
     "vector_topk": lambda i, best: best[:5],
     "vector_topk_blocks": lambda i, best: best[:5],
     "vector_topk_threshold": lambda i, best: [h for h in best if h[1] >= 0.3][:1 + i % 5],
+    "vector_topk_each": lambda i, best: best[:1 + i % 20],
 }
 
 
