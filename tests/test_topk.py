@@ -177,6 +177,7 @@ SEARCHES = {  # what a row is to get of all rows, best first
     "vector_topk_blocks": lambda i, best: best[:5],
     "vector_topk_threshold": lambda i, best: [h for h in best if h[1] >= 0.3][:1 + i % 5],
     "vector_topk_each": lambda i, best: best[:1 + i % 20],
+    "vector_topk_edges": lambda i, best: [h for h in best if i % 2 == 0 and h[1] >= 0.25],
 }
 
 
@@ -200,6 +201,30 @@ def test_registered_searches_ask_every_row(spark, table_of_vectors, name):
     assert len(got) == len(want) and {tuple(r) for r in got} == want
 
 
+def test_a_task_hands_on_hits_before_it_holds_too_many(monkeypatch):
+    import pyarrow as pa
+
+    from lodestone.operators import topk
+    from types import SimpleNamespace
+
+    vectors = np.random.default_rng(12).integers(-2, 3, (60, 4)) / 4
+    questions, ks = vectors[:20], np.array([1_000_000, 3] * 10, np.int32)
+    batch = pa.RecordBatch.from_pydict({"vec_id": list(range(60)), "embedding": pa.array(vectors.tolist(), pa.list_(pa.float64()))})
+    monkeypatch.setattr(topk, "_BATCH", 10)
+
+    def hits():
+        run = topk._score_partition(SimpleNamespace(value=(pa.array(range(20)), questions, ks)), ["vec_id"], "embedding", 0.25, "inner")
+        return [b.to_pylist() for b in run([batch])]
+
+    whole = {tuple(r.values()) for rows in hits() for r in rows}
+    monkeypatch.setattr(topk, "_HELD", 50)
+    handed = [tuple(r.values()) for rows in hits() for r in rows]
+    assert len(handed) == len(set(handed)) and whole <= set(handed)
+    for q, k in enumerate(ks):  # what is handed on besides is beaten
+        rows = [sorted((-s, v) for i, v, s, _ in found if i == q)[:k] for found in (whole, handed)]
+        assert rows[0] == rows[1]
+
+
 def test_tokens_are_counted_in_pieces_of_bounded_size(monkeypatch):
     import pyarrow as pa
 
