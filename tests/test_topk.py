@@ -225,6 +225,15 @@ def test_a_task_hands_on_hits_before_it_holds_too_many(monkeypatch):
         assert rows[0] == rows[1]
 
 
+def test_best_scores_are_of_every_row(spark, table_of_vectors):
+    from lodestone.queries import QUERIES
+
+    path, vectors = table_of_vectors
+    top = np.round(vectors[:, ::-1] @ vectors.T, 6).max(axis=1)
+    got = QUERIES["vector_best_score"](spark, path).collect()
+    assert sorted(map(tuple, got)) == [(i, t if t >= 0.3 else 0.0) for i, t in enumerate(top.tolist())]
+
+
 def test_tokens_are_counted_in_pieces_of_bounded_size(monkeypatch):
     import pyarrow as pa
 
