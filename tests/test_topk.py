@@ -234,6 +234,18 @@ def test_best_scores_are_of_every_row(spark, table_of_vectors):
     assert sorted(map(tuple, got)) == [(i, t if t >= 0.3 else 0.0) for i, t in enumerate(top.tolist())]
 
 
+def test_turns_of_every_conversation_are_asked(spark, tmp_path):
+    from lodestone.queries import QUERIES
+
+    texts = [f"The {w} of the valley tells of rain, of {w} and of the long way home." for w in ("river", "miller", "raven", "shepherd")]
+    spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in enumerate(texts)],
+                          "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    turns = [(c, t, role, texts[c % 4]) for c in range(45) for t, role in enumerate(("system", "user", "assistant", "user"))]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = QUERIES["retrieved_turns"](spark, str(tmp_path)).where("rank = 1").select("q_id", "doc_key").collect()
+    assert {(r["q_id"], r["doc_key"]) for r in got} == {(f"{c}-{t}", c % 4) for c in range(45) for t in (1, 3)} and len(got) == 90
+
+
 def test_tokens_are_counted_in_pieces_of_bounded_size(monkeypatch):
     import pyarrow as pa
 
