@@ -11,7 +11,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Link every larger neighbour of a node to the node's smallest neighbour."""
     both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-    return (both.filter("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    return (both.filter("b > a").join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
             .filter("a <> b").distinct())
 
 
@@ -19,7 +19,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """Link every smaller neighbour of a node, and the node itself, to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
     low = down.groupBy("a").agg(F.min("b").alias("low"))
-    moved = down.join(low, "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
+    moved = down.join(low.hint("merge"), "a").select(F.col("b").alias("a"), F.col("low").alias("b"))
     return moved.unionByName(low.select("a", F.col("low").alias("b"))).filter("a <> b").distinct()
 
 
@@ -32,9 +32,11 @@ def components(edges: DataFrame, scratch: Scratch, name: str = "components") ->
 
     Rounds grow with the logarithm of the longest path. Each round is a written table, so a lost executor costs one
     re-read; a node of many neighbours is reduced by a partial minimum, and the joins may be split by the engine.
-    Self-edges are ignored; an empty table gives an empty result.
+    Self-edges are ignored; an empty table gives an empty result. No join broadcasts: how many rows a written table has, its
+    bytes don't tell.
     """
-    table, before, turn = edges.select("a", "b").filter("a <> b").distinct(), None, 0
+    # written first, or each of the many references below would compute the edges anew
+    table, before, turn = scratch.write(edges.select("a", "b").filter("a <> b").distinct(), f"{name}-edges"), None, 0
     while True:
         table = scratch.write(_small_star(_large_star(table)), f"{name}-{turn}")
         after = _state(table)

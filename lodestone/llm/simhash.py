@@ -108,7 +108,9 @@ def links(fingerprints: DataFrame, bits: int = MAX_BITS, block: int = BLOCK) ->
                                  .alias("anchor"))
     sizes = placed.groupBy("anchor").agg(F.count("*").alias("size"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     pairs = sizes.filter((F.col("size") == 2) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= bits)).select("a", "b")
-    met = placed.join(sizes.filter("size > 2").select("anchor", F.ceil(F.col("size") / block).cast("int").alias("blocks")), "anchor")
+    # the engine takes the anchors for as few bytes as the fingerprints they come from, and would broadcast them
+    met = placed.join(sizes.filter("size > 2").select("anchor", F.ceil(F.col("size") / block).cast("int").alias("blocks")).hint("merge"),
+                      "anchor")
     cold = met.filter("blocks = 1").groupBy("anchor").agg(F.collect_list("fp").alias("fps"))
     own = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     hot = (met.filter("blocks > 1").withColumn("own", own)
@@ -126,9 +128,9 @@ def groups(marked: DataFrame, key: str, scratch: Scratch, bits: int = MAX_BITS)
     """
     each = scratch.write(marked.groupBy("fp").agg(F.min(key).alias("low")), "distinct")
     roots = components(links(each.select("fp"), bits), scratch)
-    rooted = scratch.write(each.join(roots, each["fp"] == roots["node"], "left").select(
+    rooted = scratch.write(each.join(roots.hint("merge"), each["fp"] == roots["node"], "left").select(
         "fp", "low", F.coalesce("root", "fp").alias("root")), "rooted")
-    return rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root")
+    return rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("low").alias("component_id")).hint("merge"), "root")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
@@ -140,7 +142,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", sh
     scratch = Scratch(docs.sparkSession, "simhash")
     with small_batches(docs.sparkSession):
         marked = scratch.write(docs.select(key, fingerprint(F.col(text), shingle).alias("fp")), "fingerprints")
-    return marked.join(groups(marked, key, scratch, bits), "fp").select(key, "fp", "component_id")
+    return marked.join(groups(marked, key, scratch, bits).hint("merge"), "fp").select(key, "fp", "component_id")
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE,
@@ -156,7 +158,7 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle:
     found = groups(marked.select("_key", F.col("_fp").alias("fp")), "_key", scratch, bits).select(
         F.col("fp").alias("_fp"), F.col("root").alias("_root"), F.col("component_id").alias("_low"))
     fp, root, low = unused(docs, "_fp", "_root", "_low")
-    first = marked.join(found, "_fp").filter(F.col("_key").eqNullSafe(F.col("_low"))).groupBy("_root").agg(
+    first = marked.join(found.hint("merge"), "_fp").filter(F.col("_key").eqNullSafe(F.col("_low"))).groupBy("_root").agg(
         F.min("_fp").alias("_fp"), F.first("_low").alias("_low")).select(
         F.col("_fp").alias(fp), F.col("_root").alias(root), F.col("_low").alias(low))
     if marked.groupBy("_key").agg(F.count("*").alias("n")).filter("n > 1 or _key is null").isEmpty():

@@ -73,6 +73,25 @@ def test_dense_groups_connect_like_all_pairs_but_stay_linear(spark, block):
             assert (y in want[x]) == (roots.get(a, a) == roots.get(b, b))
 
 
+def test_no_join_broadcasts_what_it_takes_for_small(spark, tmp_path):
+    rng = random.Random(5)
+    spark.createDataFrame([(rng.getrandbits(63),) for _ in range(50)], "fp long").write.parquet(f"{tmp_path}/fps")
+    for df in (op.links(spark.read.parquet(f"{tmp_path}/fps")), op.near_duplicates(_docs(spark))):
+        assert "Broadcast" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_components_compute_their_edges_once(spark):
+    rows = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for batch in batches:
+            rows.add(batch.num_rows)
+            yield batch
+
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long").coalesce(1).mapInArrow(counted, "a long, b long")
+    assert components(edges, Scratch(spark, "t")).count() == 41 and rows.value == 40
+
+
 def test_components_of_long_paths_and_nothing(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
     roots = {r["node"]: r["root"] for r in components(edges, Scratch(spark, "t")).collect()}
