@@ -242,3 +242,13 @@ def test_one_file_each_row(spark, tmp_path):
     _one_file_each(rows, f"{tmp_path}/tables", "csv")
     sizes = sorted(os.path.getsize(tmp_path / "tables" / n) for n in os.listdir(tmp_path / "tables"))
     assert len(sizes) == 4 and sizes[0] == 0 < sizes[1]
+
+
+def test_uploads_are_decoded_once_above_the_few_tasks(spark, tmp_path):
+    for i in range(3):
+        (tmp_path / f"{i}.txt").write_bytes([b"fine", b"bad \xff byte", b" \n"][i])
+    docs, errors = read_uploads(spark, str(tmp_path))
+    assert {r["content"] for r in docs.collect()} == {"fine", "bad  byte"} and errors.count() == 1
+    for df in (docs, errors):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("ArrowEvalPython") == 1 and plan.index("ArrowEvalPython") < plan.index("Coalesce")
